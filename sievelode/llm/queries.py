@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelode.llm import generated, secrets, shared_spans
+from sievelode.llm import function_docs, generated, natural_language, secrets, shared_spans
 from sievelode.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,8 +39,30 @@ def p3_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_amounts(load(spark, sf_dir, "review"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return function_docs.documented(load(spark, sf_dir, "review")).drop("doc")
+
+
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return function_docs.function_pairs(load(spark, sf_dir, "review"))
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = natural_language.train_languages(load(spark, sf_dir, "documents"))
+    return natural_language.languages_in(load(spark, sf_dir, "review"), model)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).select("review_id", "nl_lang")
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_kinds, p3_found, p3_amounts)}
+    found = (p1_found, p1_redacted, p2_found, p2_kinds, p3_found, p3_amounts, p4_found, p4_pairs, p5_found, p5_shares)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
