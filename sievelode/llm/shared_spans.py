@@ -78,9 +78,9 @@ def _pieces(texts: list[str | None], span: int) -> Iterator[list[tuple[int, int,
 
 
 def _phrases(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """``k, f, d, fp, pos``: the content-defined phrases of each text, each once with a place."""
+    """``k, f, fp, pos``: the content-defined phrases of each text, each once with a place."""
     for batch in batches:
-        for some in _pieces(batch.column(3).to_pylist(), span):
+        for some in _pieces(batch.column(2).to_pylist(), span):
             h, m, inside = window_minima([p for _, _, p in some], span, gram)
             width = span - gram + 1
             best = np.where(inside, m, np.uint64(0))
@@ -94,15 +94,16 @@ def _phrases(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterato
             _, first = np.unique(np.stack([rows, fp]), axis=1, return_index=True)
             take = pa.array(rows[first])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(fp[first]), pa.array(pos[first].astype(np.int32))],
-                ["k", "f", "d", "fp", "pos"],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(fp[first]), pa.array(pos[first].astype(np.int32))],
+                ["k", "f", "fp", "pos"],
             )
 
 
 def _located(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """``k, f, fp, start, n, passage``: runs of windows around each occurrence of a recurring phrase.
+    """``k, f, fp, start, n, q, around``: runs of ``n`` windows around each occurrence of a recurring phrase.
 
-    The phrases of a shard's texts go into one automaton; all its texts are streamed through it.
+    The phrases of a shard's texts go into one automaton; all its texts are streamed through it. ``around`` is the
+    run's text without the phrase, which stands at its offset ``q``.
     """
     width = span - gram + 1
     for batch in batches:
@@ -147,27 +148,41 @@ def _located(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterato
                 h, m, inside = window_minima([p for _, _, p in near[:some]], span, gram)
                 starts = np.cumsum([0, *(len(p) for _, _, p in near[: some - 1])])
                 known = [s + p - near[j][1] for j, s in enumerate(starts.tolist()) for p in hits[j] if 0 <= p - near[j][1] < len(near[j][2]) - gram + 1]
-                ok = np.flatnonzero(inside & np.isin(m, h[np.array(known, dtype=np.int64)]))
+                places_of = np.unique(np.array(known, dtype=np.int64))
+                ok = np.flatnonzero(inside & np.isin(m, h[places_of]))
                 if len(ok):
                     of = np.searchsorted(starts, ok, side="right") - 1
-                    new = np.concatenate([[True], (np.diff(ok) != 1) | (m[ok[1:]] != m[ok[:-1]]) | (of[1:] != of[:-1])])
+                    least = _leftmost(h, m, ok, places_of)
+                    new = np.concatenate([[True], (np.diff(ok) != 1) | (least[1:] != least[:-1]) | (of[1:] != of[:-1])])
                     first = np.flatnonzero(new)
                     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ok)], strict=True):
                         i, offset, piece = near[of[a]]
-                        for s in range(a, b, width):  # long runs of one phrase, as in repeated letters, are cut
-                            n = min(width, b - s)
-                            local = int(ok[s] - starts[of[a]])
-                            out.append((i, int(m[ok[a]].astype(np.int64)), offset + local, n, piece[local : local + n + span - 1]))
+                        local, q = int(ok[a] - starts[of[a]]), int(least[a] - starts[of[a]])
+                        around = piece[local:q] + piece[q + gram : local + b - a + span - 1]
+                        out.append((i, int(m[ok[a]].astype(np.int64)), offset + local, b - a, q - local, around))
                 del near[:some], hits[:some]
-            columns = list(zip(*out, strict=True)) or [()] * 5
+            columns = list(zip(*out, strict=True)) or [()] * 6
             take = pa.array(columns[0], pa.int64())
+            types = (pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True))],
-                ["k", "f", "fp", "start", "n", "passage"],
+                [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, t) for c, t in zip(columns[1:], types, strict=True))],
+                ["k", "f", "fp", "start", "n", "q", "around"],
             )
             at = upto
 
 
+def _leftmost(h: np.ndarray, m: np.ndarray, ok: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each window of ``ok`` the leftmost place at or behind its start that has the window's least hash."""
+    out = np.full(len(ok), -1, dtype=np.int64)
+    open_ones, at = np.arange(len(ok)), np.searchsorted(places, ok)
+    while len(open_ones):
+        place = places[np.minimum(at, len(places) - 1)]
+        fits = h[place] == m[ok[open_ones]]
+        out[open_ones[fits]] = place[fits]
+        open_ones, at = open_ones[~fits], at[~fits] + 1
+    return out
+
+
 def shared_spans(
     df: DataFrame, key: str = "review_id", fields: tuple[str, ...] = ("content", "reuse"), span: int = 200, gram: int = 100
 ) -> DataFrame:
@@ -188,34 +203,43 @@ def shared_spans(
         .where("k is not null")
         .select("k", F.posexplode(F.array(*(f"t{i}" for i in range(len(fields))))).alias("f", "text"))
         .where(F.length("text") >= span)
-        .select("k", F.col("f").cast("byte").alias("f"), F.hash("text").alias("d"), "text")
+        .select("k", F.col("f").cast("byte").alias("f"), "text")
     )
-    phrases = texts.mapInArrow(lambda b: _phrases(b, span, gram), "k long, f byte, d int, fp long, pos int").persist(StorageLevel.MEMORY_AND_DISK)
+    phrases = texts.mapInArrow(lambda b: _phrases(b, span, gram), "k long, f byte, fp long, pos int").persist(StorageLevel.MEMORY_AND_DISK)
     seen = phrases.select(F.col("fp").alias("p"), "k").groupBy("p").agg(F.min("k").alias("a"), F.max("k").alias("b"))
     recurring = seen.where("a <> b").select(F.col("p").alias("fp"))
-    routes = phrases.join(recurring, "fp").groupBy("k", "f", "d").agg(F.collect_set("pos").alias("places"))
+    routes = phrases.join(recurring, "fp").groupBy("k", "f").agg(F.collect_set("pos").alias("places"))
     near = (
-        texts.join(routes, ["k", "f", "d"])
+        texts.join(routes, ["k", "f"])
         .select("k", "f", "text", "places")
-        .mapInArrow(lambda b: _located(b, span, gram), "k long, f byte, fp long, start int, n int, passage string")
-        .withColumn("g", F.xxhash64("passage"))
+        .mapInArrow(lambda b: _located(b, span, gram), "k long, f byte, fp long, start int, n short, q short, around string")
+        .withColumn("id", F.xxhash64("fp", "n", "q", "around"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     # Exact check. Equal windows have the same least phrase, so only passages of one phrase can share a window.
-    passages = near.groupBy("fp", "g", "n").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.any_value("passage").alias("passage"))
-    whole = passages.where("a <> b").select("fp", "g", "n", F.lit(0).alias("at"), F.col("n").alias("m"))
+    passages = (
+        near.groupBy("id").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.any_value(F.struct("fp", "n", "q", "around")).alias("x"))
+        .select("id", "a", "b", "x.*").persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    whole = passages.where("a <> b").select("id", F.lit(0).alias("at"), F.col("n").cast("int").alias("upto"))
     varied = passages.groupBy("fp").agg(F.count("*").alias("v"), F.count_if(F.col("a") == F.col("b")).alias("open")).where("v > 1 and open > 0").select("fp")
     windows = (
         passages.join(varied, "fp")
-        .select("fp", "g", "n", "a", "b", "passage", F.explode(F.expr("sequence(0, n - 1)")).alias("at"))
-        .select("fp", "g", "n", "a", "b", "at", F.xxhash64(F.substring("passage", F.col("at") + 1, F.lit(span))).alias("w"))
+        .select("id", "fp", "q", "a", "b", "around", F.explode(F.expr("sequence(0, n - 1)")).alias("at"))
+        .select("id", "a", "b", "at", F.xxhash64("fp", F.col("q") - F.col("at"), F.substring("around", F.col("at") + 1, F.lit(span - gram))).alias("w"))
     )
     met = windows.groupBy("w").agg(F.min("a").alias("lo"), F.max("b").alias("hi")).where("lo <> hi").select("w")
-    parts = windows.where("a = b").join(met, "w").select("fp", "g", "n", "at", F.lit(1).alias("m"))
+    parts = windows.where("a = b").select("w", "id", F.col("at").cast("short").alias("at")).join(met, "w").groupBy("id").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    # Neighbouring windows of a passage become one piece: a place starts one unless its neighbour is there too.
+    firsts = F.filter("ats", lambda x: ~F.array_contains("ats", (x - 1).cast("short")))
+    ends = F.filter("ats", lambda x: ~F.array_contains("ats", (x + 1).cast("short")))
+    pieces = parts.select("id", F.explode(F.arrays_zip(firsts.alias("lo"), ends.alias("hi"))).alias("x")).select(
+        "id", F.col("x.lo").cast("int").alias("at"), (F.col("x.hi") + 1).cast("int").alias("upto")
+    )
     runs = (
-        near.select("k", "f", "fp", "g", "n", "start")
-        .join(whole.unionByName(parts), ["fp", "g", "n"])
-        .select("k", "f", (F.col("start") + F.col("at")).alias("s"), (F.col("start") + F.col("at") + F.col("m") - 1 + span).alias("e"))
+        near.select("k", "f", "id", "start")
+        .join(whole.unionByName(pieces), "id")
+        .select("k", "f", (F.col("start") + F.col("at")).alias("s"), (F.col("start") + F.col("upto") - 1 + span).alias("e"))
     )
     order = W.Window.partitionBy("k", "f").orderBy("s", "e")
     before = F.max("e").over(order.rowsBetween(W.Window.unboundedPreceding, -1))
