@@ -8,6 +8,7 @@ The spans found are labelled by multinomial logistic regression on hashed n-gram
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ _DENSE = re.compile(f"[{DENSE}]")
 _WORDS = re.compile(rf"[{DENSE}]+|[฀-๿]+|[^\W\d_{DENSE}฀-๿]+(?:['’][^\W\d_]+)*")
 #: What is not language: addresses, paths, calls, identifiers, formats, tags, code in backquotes.
 _NOISE = re.compile(
-    r"https?://\S+|www\.\S+|\S+@\S+|\{@?\w+[^}]*\}|</?\w[^>]*>|`[^`]*`|%\(?\w*\)?[sdfr]|:\w+ \w+:|(?<!\S)[@\\]\w+"
+    r"\b(?:TODO|FIXME|XXX|HACK|TBD|NOTE)\b:?|https?://\S+|www\.\S+|\S+@\S+|\{@?\w+[^}]*\}|</?\w[^>]*>|`[^`]*`|%\(?\w*\)?[sdfr]|:\w+ \w+:|(?<!\S)[@\\]\w+"
     r"|[A-Za-z0-9_.$-]*[A-Za-z0-9$]_[A-Za-z0-9_.$]*(?:\([^)]*\))?|\b\w+(?:\.\w+)*\([^)]*\)|\b[a-z]+[A-Z]\w*|\b[A-Z][a-z]+[A-Z]\w*"
     r"|(?<!\w)[.~]?/?(?:[\w.-]+[/\\])+[\w.-]*|\b\w+\.(?:py|js|go|java|json|ya?ml|toml|md|txt|csv|html?|sh|conf|cfg)\b|(?<!\S)--?\w[\w-]*(?:=\S+)?|\b\w*\d\w*\b"
 )
@@ -160,7 +161,16 @@ class LanguageModel:
         return [self.languages[i] for i in scores.argmax(axis=1)]
 
 
-def fit_languages(samples: list[tuple[str, list[str]]], dims: int = 1 << 14, steps: int = 60, penalty: float = 1e-5) -> LanguageModel:
+def _script(words: list[str]) -> str:
+    """The script of most letters: the first word of the letters' Unicode names, kana before Han."""
+    letters = "".join(words)
+    names = [unicodedata.name(c, "?").split(" ")[0] for c in letters[:: max(1, len(letters) // 40)]]
+    if any(n in ("HIRAGANA", "KATAKANA") for n in names):
+        return "KANA"
+    return max(set(names), key=names.count)
+
+
+def fit_languages(samples: list[tuple[str, list[str]]], dims: int = 1 << 14, steps: int = 40, penalty: float = 1e-5) -> LanguageModel:
     """The model of labelled word lists, fitted by full-batch gradient steps; labels that the fit contradicts are then dropped once."""
     languages = sorted({s[0] for s in samples})
     label = np.array([languages.index(s[0]) for s in samples])
@@ -178,7 +188,8 @@ def fit_languages(samples: list[tuple[str, list[str]]], dims: int = 1 << 14, ste
     k = len(languages)
     keep = np.ones(len(samples), dtype=bool)
     weights, bias = np.zeros((dims, k)), np.zeros(k)
-    for cleaning in (False, True):
+    for cleaning in (False, True):  # the second fit drops samples whose label the first contradicts
+        weights[:], bias[:] = 0, 0
         first, second = np.zeros((dims, k)), np.zeros((dims, k))
         if cleaning:
             keep = scores.argmax(axis=1) == label  # noqa: F821
@@ -201,7 +212,7 @@ def fit_languages(samples: list[tuple[str, list[str]]], dims: int = 1 << 14, ste
     return LanguageModel(languages, weights.astype(np.float32), bias.astype(np.float32))
 
 
-def train_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 120) -> LanguageModel:
+def train_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 80) -> LanguageModel:
     """A model fitted on at most ``per_language`` labelled rows of each language (a documented bound of the sample).
 
     Labels are cut to their first two letters in lower case; labels with fewer rows than a twentieth of the bound and
@@ -221,6 +232,18 @@ def train_languages(labelled: DataFrame, text: str = "text", lang: str = "lang",
                 words = words_of(sentence)
                 if len(words) >= 4 or any(_DENSE.match(w) and len(w) > 5 for w in words):
                     samples.append((row.l, words))
+    # Documents hold paragraphs in a second language: samples in another script than most of their label are left out.
+    scripts: dict[str, list[str]] = {}
+    for l, words in samples:
+        scripts.setdefault(l, []).append(_script(words))
+    usual = {l: max(set(x), key=x.count) for l, x in scripts.items()}
+    used: dict[str, int] = dict.fromkeys(usual, -1)
+    kept = []
+    for l, words in samples:
+        used[l] += 1
+        if scripts[l][used[l]] == usual[l] or usual[l] == "KANA" and scripts[l][used[l]] == "CJK":
+            kept.append((l, words))
+    samples = kept
     counts: dict[str, int] = {}
     for l, _ in samples:
         counts[l] = counts.get(l, 0) + 1
