@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelode.llm import function_docs, generated, natural_language, secrets, shared_spans
+from sievelode.llm import function_docs, generated, leakage, mixing, natural_language, secrets, sentences, shared_spans
 from sievelode.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +60,38 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.where("distance = 0").select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaked(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.count_if(F.col("distance") == 0).alias("n_exact"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = load(spark, sf_dir, "mix_targets")
+    return mixing.mix_shares(mixing.mix(load(spark, sf_dir, "documents"), targets), targets)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(load(spark, sf_dir, "documents")).select("doc_id", "sent_start").distinct()
+
+
+def p8_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (p1_found, p1_redacted, p2_found, p2_kinds, p3_found, p3_amounts, p4_found, p4_pairs, p5_found, p5_shares)
+    found = (
+        p1_found, p1_redacted, p2_found, p2_kinds, p3_found, p3_amounts, p4_found, p4_pairs, p5_found, p5_shares,
+        p6_found, p6_items, p7_mix, p7_shares, p8_found, p8_sentences,
+    )
     return {f.__name__: f for f in found}
 
 
