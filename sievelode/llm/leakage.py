@@ -27,9 +27,9 @@ def units_of(text: str | None) -> list[str]:
 
 
 def is_dense(text: str | None) -> bool:
-    """Whether most letters belong to a script without spaces, so that characters are the units."""
-    letters = [c for c in text or "" if c.isalpha()]
-    return bool(letters) and 2 * sum(bool(_DENSE.match(c)) for c in letters) > len(letters)
+    """Whether characters are the units: more letters of a script without spaces than words of other scripts."""
+    dense = len(_DENSE.findall(text or ""))
+    return dense > sum(not _DENSE.search(w) for w in units_of(text))
 
 
 def piece_length(passage: int, errors: int) -> int:
