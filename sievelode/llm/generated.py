@@ -220,11 +220,14 @@ def not_handwritten(df: DataFrame, key: str = "file_id", path: str = "file", tex
         judged.where("category = 'third-party' and digest is not null").groupBy("digest").agg(F.lit(True).alias("foreign"))
     )
     both = judged.join(foreign, "digest", "left")
-    copy = F.col("foreign") & (F.coalesce(F.col("category"), F.lit("")) != "third-party")
+    copied = both.withColumn("copy", F.coalesce(F.col("foreign"), F.lit(False)) & (F.coalesce(F.col("category"), F.lit("")) != "third-party"))
     return (
-        both.withColumn("category", F.when(copy, "third-party").otherwise(F.col("category")))
-        .withColumn("reason", F.when(copy, "copy").otherwise(F.col("reason")))
+        copied.select(
+            F.col("k").alias(key),
+            F.when(F.col("copy"), "third-party").otherwise(F.col("category")).alias("category"),
+            F.when(F.col("copy"), "copy").otherwise(F.col("reason")).alias("reason"),
+        )
         .where("category is not null")
-        .groupBy(F.col("k").alias(key))
+        .groupBy(key)
         .agg(F.min_by("category", "reason").alias("category"), F.min("reason").alias("reason"))
     )
