@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -122,7 +123,7 @@ def mix(
     """
     tokens = token_counts(df, key, text, source, vocabulary).where("source is not null and n_tokens > 0").groupBy(key, "source").agg(F.max("n_tokens").alias("n_tokens"))
     tokens = tokens.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)))
-    tokens = tokens.withColumn("bucket", F.expr(f"cast(h div {(1 << 40) // buckets} as int)"))
+    tokens = tokens.withColumn("bucket", F.expr(f"cast(h div {(1 << 40) // buckets} as int)")).persist(StorageLevel.MEMORY_AND_DISK)
     lengths = tokens.groupBy("source", "n_tokens").agg(F.count("*").alias("n_docs"))
     wanted = (
         targets.select(source_name("source").alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeat").cast("int").alias("max_repeat"))
@@ -135,6 +136,7 @@ def mix(
     size = F.lit(total_tokens).cast("double") if total_tokens is not None else F.min(F.col("tokens") * F.col("max_repeat") / F.col("share")).over(everything)
     budgets = stock.withColumn("budget", F.least(F.floor(size * F.col("share") + 1e-9), F.col("tokens") * F.col("max_repeat"))).select("source", "budget", "max_repeat")
     quotas = lengths.join(budgets, "source").groupBy("source").applyInPandas(_quotas, "source string, n_tokens long, n_docs long, whole int, extra long")
+    quotas = quotas.persist(StorageLevel.MEMORY_AND_DISK)  # one row per source and length
     filled = tokens.join(quotas.where("extra > 0").select("source", "n_tokens", "extra"), ["source", "n_tokens"], "left_semi").groupBy("source", "n_tokens", "bucket").agg(F.count("*").alias("c"))
     upto = W.Window.partitionBy("source", "n_tokens").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, 0)
     edges = (

@@ -142,9 +142,9 @@ def split_block(text: str) -> list[int]:
             break
         if _still_open(text, start, end):
             continue
-        left, tail = text[start:end], text[max(start, end - 48) : end]
+        left, tail = text[start:end], text[max(start, end - 24) : end]
         for is_break, entire, before, after in rules:
-            if before.search(left if entire else tail) and after.match(text, end):
+            if after.match(text, end) and before.search(left if entire else tail):
                 if is_break:
                     start = end
                     while text[start].isspace():
