@@ -51,17 +51,22 @@ def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, max_depth:
         frontier = cut_lineage(new.join(met.select("repo", "seed", "module"), ["repo", "seed", "module"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        met = cut_lineage(met.unionByName(frontier))
+        met = met.unionByName(frontier)  # each part is written, so the union has no long lineage
     return met.where("depth > 0")
 
 
-def _spread(labels: DataFrame, step: DataFrame, rounds: int, same: bool = False) -> DataFrame:
-    """Least label that reaches each module along ``step`` (``repo, module, next``), to the fixpoint."""
+def _spread(labels: DataFrame, step: DataFrame, rounds: int) -> DataFrame:
+    """Least label that reaches each module along ``step`` (``repo, module, next``), to the fixpoint.
+
+    Three steps are taken before the lineage is cut and the labels are compared with those before.
+    """
     for _ in range(rounds):
-        sent = labels.join(step, ["repo", "module"]).select("repo", F.col("next").alias("module"), "label")
-        new = cut_lineage(labels.unionByName(sent).groupBy("repo", "module").agg(F.min("label").alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "old"), ["repo", "module"]).where("label <> old")
-        done = changed.isEmpty()
+        new = labels
+        for _ in range(3):
+            sent = new.join(step, ["repo", "module"]).select("repo", F.col("next").alias("module"), "label")
+            new = new.unionByName(sent).groupBy("repo", "module").agg(F.min("label").alias("label"))
+        new = cut_lineage(new)
+        done = new.join(labels.withColumnRenamed("label", "old"), ["repo", "module"]).where("label <> old").isEmpty()
         labels = new
         if done:
             break
@@ -85,22 +90,22 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             break
         modules = e.select("repo", F.col("src").alias("module")).union(e.select("repo", F.col("dst").alias("module"))).distinct()
         forward = e.select("repo", F.col("src").alias("module"), F.col("dst").alias("next"))
-        colour = cut_lineage(_spread(modules.withColumn("label", F.col("module")), forward, max_rounds))
+        colour = _spread(modules.withColumn("label", F.col("module")), cut_lineage(forward), max_rounds)
         inside = (
             e.join(colour.select("repo", F.col("module").alias("src"), F.col("label").alias("a")), ["repo", "src"])
             .join(colour.select("repo", F.col("module").alias("dst"), F.col("label").alias("b")), ["repo", "dst"])
             .where("a = b")
         )
         back = cut_lineage(inside.select("repo", F.col("dst").alias("module"), F.col("src").alias("next")))
-        found = cut_lineage(colour.where("module = label"))
-        frontier = found
+        found = frontier = colour.where("module = label")
         for _ in range(max_rounds):
             new = frontier.join(back, ["repo", "module"]).select("repo", F.col("next").alias("module"), "label").distinct()
             frontier = cut_lineage(new.join(found, ["repo", "module"], "left_anti"))
             if frontier.isEmpty():
                 break
-            found = cut_lineage(found.unionByName(frontier))
-        settled = found if settled is None else cut_lineage(settled.unionByName(found))
+            found = found.unionByName(frontier)
+        found = cut_lineage(found)
+        settled = found if settled is None else settled.unionByName(found)
         gone = found.select("repo", "module")
         e = cut_lineage(
             e.join(gone.withColumnRenamed("module", "src"), ["repo", "src"], "left_anti").join(gone.withColumnRenamed("module", "dst"), ["repo", "dst"], "left_anti")

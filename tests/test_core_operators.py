@@ -1,0 +1,233 @@
+"""Micro tests of the core operators: results by hand, nulls, empty tables, ties and cycles."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sievelode.functions import scalar
+from sievelode.operators import code_ast, graph, matching, retrieval, rules, scoring, state, timeseries, vectors
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def one(spark, expression, **values):
+    row = spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items()))
+    return row.select(expression).first()[0]
+
+
+# ---- functions ----
+
+
+@pytest.mark.parametrize("raw,weight,tier", [("critical", 20, "P0"), ("Major", 10, "P1"), ("minor ", 3, "P2"), ("info", 1, "P2"), ("blocker?", 5, "P2"), ("", 5, "P2")])
+def test_severities(spark, raw, weight, tier):
+    assert one(spark, scalar.severity_weight(F.col("s")), s=raw) == weight
+    assert one(spark, scalar.tier(F.col("s")), s=raw) == tier
+
+
+def test_missing_severity(spark):
+    row = spark.createDataFrame([(None,)], "s string").select(scalar.severity_weight(F.col("s")), scalar.tier(F.col("s"))).first()
+    assert tuple(row) == (5, "P2")
+
+
+@pytest.mark.parametrize("version,key", [("1.2.3", [1, 2, 3]), ("1.2", [1, 2, 0]), ("v2", [2, 0, 0]), ("1.2.3.4rc1", [1, 2, 3]), ("", [0, 0, 0])])
+def test_version_keys(spark, version, key):
+    assert one(spark, scalar.version_key(F.col("v")), v=version) == key
+
+
+@pytest.mark.parametrize("path,clean", [("E:\\a\\b.py", "a/b.py"), ("./a//b.py", "a/b.py"), ("/a/./b", "a/b"), ("a/b", "a/b")])
+def test_paths(spark, path, clean):
+    assert one(spark, scalar.normal_path(F.col("p")), p=path) == clean
+
+
+def test_terms_and_keywords(spark):
+    assert one(spark, scalar.search_terms(F.col("t")), t="Ab_1 扫描 x模") == ["ab_1", "x", "扫", "描", "模", "扫描", "描模"]
+    assert one(spark, scalar.search_terms(F.col("t")), t="") == []
+    assert one(spark, scalar.keywords(F.col("t")), t="The the fox 扫描模块 of") == ["the", "fox", "扫描模块"]
+    assert one(spark, scalar.slug(F.col("t")), t="--A b_C!") == "a-b-c"
+    assert [one(spark, scalar.token_estimate(F.col("t")), t=t) for t in ("", "a", "abcdefgh", "ab扫描")] == [0, 1, 2, 2]
+
+
+def test_softmax(spark):
+    out = spark.createDataFrame([([1.0, 1.0],), ([1000.0, 0.0],)], "v array<double>").select(scalar.softmax(F.col("v"))).collect()
+    assert out[0][0] == [0.5, 0.5] and out[1][0][0] == pytest.approx(1.0)
+
+
+# ---- scoring and state ----
+
+FINDINGS = "review_id long, ord int, repo string, file string, severity string, title string, line int, confidence string, loaded_at string"
+
+
+def test_scores_and_governance(spark):
+    rows = [
+        (1, 1, "r", "f", "critical", "t", 3, "low", "b"), (1, 1, "r", "f", "critical", "t", 3, "low", "a"), (1, 2, "r", "f", "major", "t", 3, None, "a"),
+        (1, 3, "r", "f", None, "u", None, "high", "a"), (1, 4, "r", "f", "info", "u", None, None, "a"), (2, 1, "s", None, *["critical"] * 1, "x", 1, None, "a"),
+    ]
+    df = scoring.latest(spark.createDataFrame(rows, FINDINGS), ["review_id", "ord"], "loaded_at").select(*[c.split()[0] for c in FINDINGS.split(", ")])
+    assert df.count() == 5
+    assert rows_of(scoring.scores(df, ["review_id"])) == [(1, 64, 4), (2, 80, 1)]
+    assert rows_of(scoring.tier_counts(df, ["repo"])) == [("r", 1, 1, 2), ("s", 1, 0, 0)]
+    assert {(r.title, r.line): (r.ord, r.tier, r.denoised) for r in scoring.governed(df).where("review_id = 1").collect()} == {("t", 3): (1, "P2", True), ("u", None): (3, "P2", False)}
+    assert rows_of(scoring.guard_verdicts(df.where("severity is null or severity <> 'critical'"), ["repo"])) == [("r", "warn", 0)]
+    assert scoring.scores(df.limit(0), ["review_id"]).count() == 0
+
+
+def test_state(spark):
+    df = spark.createDataFrame([(1, "k", "x", "high", 1), (2, "k", " ", "low", 2), (3, "m", None, None, 3)], "i int, key string, e string, c string, at int")
+    got = rows_of(state.upsert_counts(df, [F.col("key")], F.col("c") == "high", "e", ["at"]))
+    assert got == [("k", 2, True, "x"), ("m", 1, False, None)]
+    old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "k string, digest string")
+    new = spark.createDataFrame([("b", "1"), ("c", "2"), ("d", "1")], "k string, digest string")
+    assert rows_of(state.compare_snapshots(old, new, ["k"])) == [("a", "gone"), ("b", "same"), ("c", "changed"), ("d", "new")]
+    scores = spark.createDataFrame([("p", 1, 5), ("p", 2, 7), ("p", 3, 7), ("p", 4, None), ("p", 5, 9)], "k string, at int, s int")
+    assert [r.kept for r in state.kept_or_rolled_back(scores, ["k"], ["at"], "s").orderBy("at").collect()] == [True, True, False, False, False]
+
+
+# ---- matching ----
+
+
+def test_requirements(spark):
+    lines = ["Foo-a==1.2.3  # c", "bar >= 2", "baz[x]~=1.0", "# no", "-r x.txt", "", None, "qux"]
+    df = spark.createDataFrame([(i, "r", "s", line) for i, line in enumerate(lines)], "line_id long, repo string, source string, line string")
+    parsed = matching.parse_requirements(df)
+    assert rows_of(parsed.select("name", "op", "version")) == [("bar", ">=", "2"), ("baz", "~=", "1.0"), ("foo-a", "==", "1.2.3"), ("qux", "", "*")]
+    sig = spark.createDataFrame([(1, "foo-A", "1.2.3", None, "high"), (2, "bar", "1.0", "1.9", "low"), (3, "bar", None, "2.0.0", "low")], "sig_id long, package string, lo string, hi string, severity string")
+    assert rows_of(matching.vulnerable(matching.merge_requirements(parsed), sig).select("name", "sig_id")) == [("bar", 3), ("foo-a", 1)]
+
+
+def test_policies_and_anti_join(spark):
+    df = spark.createDataFrame([("src\\a.min.js",), ("src/a.py",), ("x/a.py",), (None,)], "p string")
+    rules_ = [("deny", "*.min.js"), ("allow", "src/*")]
+    got = {r.p: r.decision for r in matching.decide(df, "p", rules_, ("deny", "ask", "allow"), "ask").collect()}
+    assert got == {"src\\a.min.js": "deny", "src/a.py": "allow", "x/a.py": "ask", None: "ask"}
+    known = spark.createDataFrame([("src/a.py",), (None,)], "q string")
+    assert rows_of(matching.missing_references(df, "p", known, "q")) == [("src\\a.min.js",), ("x/a.py",)]
+
+
+# ---- graphs ----
+
+
+def edge_table(spark, edges):
+    return spark.createDataFrame([("g", a, b) for a, b in edges], "repo string, src string, dst string")
+
+
+def test_graph_by_hand(spark):
+    e = edge_table(spark, [("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("d", None), ("x", "a"), ("d", "ext")])
+    assert {r.module: (r.fan_in, r.fan_out) for r in graph.coupling(e).collect()} == {"a": (2, 1), "b": (1, 1), "c": (1, 2), "d": (1, 0), "x": (0, 1)}
+    assert rows_of(graph.components(e)) == [("g", "a", "a"), ("g", "b", "a"), ("g", "c", "a")]
+    assert {r.module: r.level for r in graph.levels(e).collect()} == {"x": 0, "a": -1, "b": -1, "c": -1, "d": -1, "ext": -1}
+    assert {(r.module, r.depth) for r in graph.reach(e, graph.hubs(e), reverse=True).collect()} == {("c", 1), ("x", 1), ("b", 2)}
+    none = e.limit(0)
+    assert graph.components(none).count() == graph.levels(none).count() == graph.coupling(none).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    names = [f"m{i:02d}" for i in range(14)]
+    edges = {(rng.choice(names), rng.choice(names)) for _ in range(22)}
+    far = {(a, b) for a, b in edges if a != b}
+    while True:
+        more = far | {(a, d) for a, b in far for c, d in far if b == c}
+        if more == far:
+            break
+        far = more
+    want = set()
+    for a in names:
+        ring = {b for b in names if (a, b) in far and (b, a) in far} | {a}
+        if len(ring) > 1:
+            want.add(("g", a, min(ring)))
+    assert {tuple(r) for r in graph.components(edge_table(spark, sorted(edges))).collect()} == want
+
+
+# ---- retrieval ----
+
+
+def test_retrieval(spark):
+    df = spark.createDataFrame([(1, "red fox"), (2, "red red dog"), (3, None), (4, "")], "doc_id long, text string")
+    post = retrieval.postings(df)
+    assert rows_of(retrieval.index_terms(post)) == [("dog", 1, 1), ("fox", 1, 1), ("red", 2, 3)]
+    assert rows_of(retrieval.all_terms(post, "doc_id", ["red", "dog"])) == [(2,)]
+    assert retrieval.all_terms(post, "doc_id", ["red", "cat"]).count() == 0 and retrieval.all_terms(post, "doc_id", []).count() == 0
+    q = spark.createDataFrame([(9, "RED fox fox")], "item_id long, text string")
+    top = retrieval.ranked(retrieval.bm25(df, q), "item_id", "doc_id", "score", 5).orderBy("rank").collect()
+    assert [r.doc_id for r in top] == [1, 2] and top[0].hits == 2
+    fused = retrieval.fuse([spark.createDataFrame([(1, 7, 0), (1, 8, 1)], "g long, k long, rank int")] * 2, "g", "k")
+    assert {r.k: r.score for r in fused.collect()}[7] == pytest.approx(2 / 61, abs=1e-8)
+
+
+def test_nearest_vectors_in_blocks(spark):
+    rows = [(i, [float((i * 7 + j) % 5), float(i % 3), 1.0]) for i in range(30)] if False else [(i, [float(i % 5), float(i % 3), 1.0 + i / 10]) for i in range(30)]
+    df = spark.createDataFrame([*rows, (99, None)], "vec_id long, embedding array<double>")
+    q = df.where("vec_id % 10 = 0")
+    a, b = (rows_of(retrieval.nearest(df, q, block=n)) for n in (1, 100))
+    assert a == b and len(a) == 15
+    assert retrieval.nearest(df.limit(0), q).count() == 0 and retrieval.nearest(df, q.limit(0)).count() == 0
+
+
+# ---- series ----
+
+
+def test_series(spark):
+    df = spark.createDataFrame([("k", i, i, float(v)) for i, v in enumerate([1, 2, 4, 100])] + [("z", 0, 9, 5.0)], "k string, ts int, id long, v double")
+    roll = {r.id: (r.roll_mean, r.roll_std) for r in timeseries.rolling(df, "k", "ts", "id", "v").collect()}
+    assert roll[0] == (1.0, None) and roll[1] == (1.5, round(0.5**0.5, 6)) and roll[9] == (5.0, None)
+    smooth = {r.id: r.smooth for r in timeseries.centred_average(df, "k", "ts", "id", "v", 4).collect()}
+    assert smooth[0] == 0.75 and smooth[3] == 26.5
+    got = {r.k: r.ewma for r in timeseries.ewma(df, "k", "ts", "id", "v").collect()}
+    x = 1.0
+    for v in (2, 4, 100):
+        x = 0.8 * x + 0.2 * v
+    assert got == {"k": round(x, 6), "z": 5.0}
+    assert timeseries.control_alarms(df, "k", "v", 1.0).select("id", "side").collect() == [(3, "high")]
+    budget = timeseries.running_budget(df.where("k = 'k'"), "k", ["ts"], F.col("v"), 6)
+    assert [(r.used, r.over) for r in budget.orderBy("ts").collect()] == [(1, False), (3, False), (7, True), (107, True)]
+
+
+def test_grid_and_as_of(spark):
+    df = spark.sql("select 'k' k, timestamp'2024-01-01 00:30:00' ts, 1L id, 10.0D v union all select 'k', timestamp'2024-01-01 02:30:00', 2L, 20.0D union all select 'k', timestamp'2024-01-01 03:00:00', 3L, 7.0D")
+    got = [(r.ffill, r.interp) for r in timeseries.on_grid(df, "k", "ts", "id", "v", "1 hour", "2024-01-01 00:00:00", "2024-01-01 04:00:00").orderBy("at").collect()]
+    assert got == [(None, None), (10.0, 12.5), (10.0, 17.5), (7.0, 7.0), (7.0, None)]
+    left = spark.sql("select 'k' k, timestamp'2024-01-01 02:30:00' ts, 8L id, 0.0D v union all select 'k', timestamp'2024-01-01 00:00:00', 9L, 0.0D")
+    assert rows_of(timeseries.as_of(left, df, "k", "ts", "id", "id", "v")) == [(8, 2, 20.0), (9, None, None)]
+
+
+# ---- vectors, rules, trees ----
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], 0), (2, [3.0, 2.0], 1)], "id long, v array<double>, label int")
+    assert {(r.id, r.dim): r.value for r in vectors.batch_norm(df, "id", "v").collect()} == {(1, 0): -1.0, (2, 0): 1.0, (1, 1): 0.0, (2, 1): 0.0}
+    out = df.select(vectors.dense_relu(F.col("v"), [[1.0, -1.0], [-1.0, 0.0]], [0.5, 0.0]).alias("o")).collect()
+    assert [r.o for r in out] == [[0.0, 0.0], [1.5, 0.0]]
+    odd = spark.createDataFrame([(i, float(i % 10)) for i in range(300)] + [(999, 500.0), (998, None)], "id long, x double")
+    best = vectors.isolation_scores(odd, "id", ["x"]).orderBy(F.desc("score")).first()
+    assert best.id == 999
+    assert vectors.isolation_scores(odd.limit(0), "id", ["x"]).count() == 0
+
+
+def test_held_out_accuracy_of_the_forest(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(4.0 * (i % 3), 1), rng.gauss(-3.0 * (i % 3), 1)], i % 3) for i in range(400)]
+    out = vectors.random_forest(spark.createDataFrame(rows, "id long, v array<double>, label int"), "id", "v", "label").collect()
+    assert len(out) > 80 and sum(r.label == r.prediction for r in out) / len(out) > 0.9
+
+
+def test_rules(spark):
+    df = spark.createDataFrame([(1, 'x = eval(y)\nos.system("a")\nok'), (1, 'x = eval(y)\nos.system("a")\nok'), (2, "http://localhost/x"), (3, None), (4, "")], "id long, t string")
+    assert rows_of(rules.scan_texts(df, "id", "t").select("id", "rule")) == [(1, "eval-call"), (1, "shell-call")]
+    assert rows_of(rules.scan_lines(df, "id", "t", rules.SECURITY_RULES)) == [(1, 1, "eval-call"), (1, 2, "shell-call")]
+    shape = {r.id: (r.n_words, r.longest_line, r.few_words, r.placeholder) for r in rules.text_shape(spark.createDataFrame([(1, "a TODO b\n" + "x" * 9), (2, "")], "id long, t string"), "id", "t").collect()}
+    assert shape == {1: (4, 9, True, "todo"), 2: (0, 0, True, None)}
+
+
+def test_trees(spark):
+    text = "import os, sys as s\nfrom a import b\ndef f(x, y=[]):\n    if x and y or b:\n        z = get()\n    try:\n        run(z)\n    except:\n        pass\n    return x == None\n"
+    df = spark.createDataFrame([(1, text), (1, text), (2, "def (:"), (3, None), (4, "")], "review_id long, content string")
+    facts = code_ast.code_facts(df).persist()
+    assert rows_of(code_ast.unused_imports(facts)) == [(1, "os", 1), (1, "s", 1)]
+    assert rows_of(code_ast.complexity_report(facts)) == [(1, 1, 5.0, 5, 0, "f")]
+    assert {r.kind for r in facts.collect()} >= {"bare-except", "mutable-default", "none-compare", "syntax-error"}
+    assert rows_of(code_ast.tainted_calls(facts, ("get",), ("run",))) == [(1, "f", "run", 7)]
