@@ -101,8 +101,9 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
         if len(rows) == block:
             found = against(rows) if found is None else found.unionByName(against(rows))
             rows = []
-    if rows or found is None:
-        part = against(rows or [(-1, [0.0])])
-        found = part if found is None else found.unionByName(part)
+    if rows:
+        found = against(rows) if found is None else found.unionByName(against(rows))
+    if found is None:
+        found = session.createDataFrame([], "query_id long, k long, cosine double")
     w = W.Window.partitionBy("query_id").orderBy(F.desc("cosine"), F.asc("k"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query_id", F.col("k").alias(key), F.round("cosine", 4).alias("cosine"), "rank")
