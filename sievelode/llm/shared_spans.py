@@ -78,25 +78,45 @@ def _pieces(texts: list[str | None], span: int) -> Iterator[list[tuple[int, int,
 
 
 def _phrases(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """``k, f, fp, pos``: the content-defined phrases of each text, each once with a place."""
+    """``k, f, fp, pos, met``: the content-defined phrases of each text, each once with a place.
+
+    Phrases that two keys of a batch have recur for certain: their rows are marked ``met``, and one row without a place
+    stands for them all, so that a phrase of very many texts is one row a batch where phrases are compared.
+    """
+    width = span - gram + 1
+    edge = np.zeros(width - 1, dtype=np.uint64)
     for batch in batches:
+        keys = np.asarray(batch.column(0))
+        rows, places, prints = [], [], []
         for some in _pieces(batch.column(2).to_pylist(), span):
             h, m, inside = window_minima([p for _, _, p in some], span, gram)
-            width = span - gram + 1
             best = np.where(inside, m, np.uint64(0))
-            edge = np.zeros(width - 1, dtype=np.uint64)
             chosen = np.flatnonzero(_sliding(np.concatenate([edge, best, edge]), width, np.maximum) == h)
             starts = np.cumsum([0, *(len(p) for _, _, p in some[:-1])])
             of = np.searchsorted(starts, chosen, side="right") - 1
-            rows = np.array([i for i, _, _ in some])[of]
-            pos = chosen - starts[of] + np.array([a for _, a, _ in some])[of]
-            fp = h[chosen].view(np.int64)
-            _, first = np.unique(np.stack([rows, fp]), axis=1, return_index=True)
-            take = pa.array(rows[first])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(fp[first]), pa.array(pos[first].astype(np.int32))],
-                ["k", "f", "fp", "pos"],
-            )
+            rows.append(np.array([i for i, _, _ in some])[of])
+            places.append((chosen - starts[of] + np.array([a for _, a, _ in some])[of]).astype(np.int32))
+            prints.append(h[chosen].view(np.int64))
+        if not rows:
+            continue
+        row, pos, fp = np.concatenate(rows), np.concatenate(places), np.concatenate(prints)
+        order = np.lexsort((pos, row, fp))
+        row, pos, fp = row[order], pos[order], fp[order]
+        first = np.concatenate([[True], (fp[1:] != fp[:-1]) | (row[1:] != row[:-1])])
+        row, pos, fp = row[first], pos[first], fp[first]
+        groups = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+        k = keys[row]
+        least, most = np.minimum.reduceat(k, groups), np.maximum.reduceat(k, groups)
+        met = np.repeat(least != most, np.diff([*groups, len(fp)]))
+        one = groups[least != most]
+        row, pos = np.concatenate([row, row[one]]), np.concatenate([pos, np.full(len(one), -1, np.int32)])
+        fp, met = np.concatenate([fp, fp[one]]), np.concatenate([met, np.ones(len(one), dtype=bool)])
+        back = np.lexsort((pos, row))  # rows of one text together, which packs better
+        take = pa.array(row[back])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(take), batch.column(1).take(take), pa.array(fp[back]), pa.array(pos[back]), pa.array(met[back])],
+            ["k", "f", "fp", "pos", "met"],
+        )
 
 
 def _located(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -193,8 +213,9 @@ def shared_spans(
     rows, rows with a null key neither give nor witness spans, rows delivered twice count once, and a stretch that
     only repeats within one key is not shared. ``gram`` is the length of the sampled phrases; it changes cost only.
 
-    Phrases are counted by their hash with partial aggregation, so that a passage that a third of all records holds
-    is no hot group; joins on hashes rely on the adaptive splitting of skewed partitions.
+    A phrase that many records of a batch have is one row where phrases are compared, and passages are aggregated before
+    the shuffle, so that a passage that a third of all records holds is no hot group; the joins on hashes of passages rely
+    on the adaptive splitting of skewed partitions.
     """
     if not 1 <= gram < span:
         raise ValueError("gram must be at least 1 and less than span")
@@ -205,10 +226,14 @@ def shared_spans(
         .where(F.length("text") >= span)
         .select("k", F.col("f").cast("byte").alias("f"), "text")
     )
-    phrases = texts.mapInArrow(lambda b: _phrases(b, span, gram), "k long, f byte, fp long, pos int").persist(StorageLevel.MEMORY_AND_DISK)
-    seen = phrases.select(F.col("fp").alias("p"), "k").groupBy("p").agg(F.min("k").alias("a"), F.max("k").alias("b"))
-    recurring = seen.where("a <> b").select(F.col("p").alias("fp"))
-    routes = phrases.join(recurring, "fp").groupBy("k", "f").agg(F.collect_set("pos").alias("places"))
+    phrases = texts.mapInArrow(lambda b: _phrases(b, span, gram), "k long, f byte, fp long, pos int, met boolean").persist(StorageLevel.MEMORY_AND_DISK)
+    # A phrase has at most one row a batch here, or is one that hardly recurs.
+    alike = W.Window.partitionBy("fp")
+    compared = phrases.where("not met or pos < 0").select("k", "f", "fp", "pos").withColumn(
+        "again", (F.min("k").over(alike) != F.max("k").over(alike)) | (F.min("pos").over(alike) < 0)
+    )
+    places = phrases.where("met and pos >= 0").select("k", "f", "pos").unionByName(compared.where("again and pos >= 0").select("k", "f", "pos"))
+    routes = places.groupBy("k", "f").agg(F.collect_set("pos").alias("places"))
     near = (
         texts.join(routes, ["k", "f"])
         .select("k", "f", "text", "places")
