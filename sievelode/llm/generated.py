@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,6 +152,15 @@ def is_data(text: str) -> bool:
     return words < 0.06 * total and literals > 0.55 * total
 
 
+_DIGITS = re.compile(r"0[xX][0-9a-fA-F]+|\d+")
+
+
+def is_repetitive(text: str) -> bool:
+    """Whether at most half of ten or more code lines differ but for their numbers, as in numbered accessors and fields."""
+    lines = [x for x in (y.strip() for y in _DIGITS.sub("#", text).split("\n")) if len(x) > 3 and not x.startswith(("//", "* ", "/*"))]
+    return len(lines) >= 10 and 2 * len(set(lines)) <= len(lines)
+
+
 def judge(path: str | None, text: str | None, notices: ahocorasick.Automaton) -> tuple[str | None, str | None]:
     """``(category, reason)`` of one file; ``(None, None)`` for a file that looks hand-written."""
     kind = path_kind(path)
@@ -172,6 +182,8 @@ def judge(path: str | None, text: str | None, notices: ahocorasick.Automaton) ->
         return ("data", "literals") if is_data(text) else ("minified", "density")
     if is_data(text):
         return "data", "literals"
+    if is_repetitive(text):
+        return "generated", "repetition"
     return None, None
 
 
@@ -215,7 +227,7 @@ def not_handwritten(df: DataFrame, key: str = "file_id", path: str = "file", tex
             )
 
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(path).cast("string"), F.col(text).cast("string"))
-    judged = rows.mapInArrow(scan, "k long, category string, reason string, digest long")
+    judged = rows.mapInArrow(scan, "k long, category string, reason string, digest long").persist(StorageLevel.MEMORY_AND_DISK)
     foreign = (
         judged.where("category = 'third-party' and digest is not null").groupBy("digest").agg(F.lit(True).alias("foreign"))
     )

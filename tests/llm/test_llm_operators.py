@@ -92,13 +92,13 @@ def test_files_nobody_wrote(spark):
         (3, "src/own.py", body.replace("one", "three")), (4, "lib/a.py", "# Code generated by zz 1.0. DO NOT EDIT.\n" + body.replace("one", "four")),
         (5, "tools/codegen.py", 'BANNER = "Code generated by zz. DO NOT EDIT."\n' + body.replace("one", "five")), (6, "a.min.js", None), (7, None, None),
         (8, "d.py", "TABLE = [\n" + "    0x12ab, 0x34cd, 17.25, 99.5,\n" * 60 + "]\n"), (9, None, "var a=b[1]||{};function f(x,y){return x?y:a}" * 30),
-        (10, "src/vendors/bill.py", body.replace("one", "ten")), (11, "E:\\x\\third_party\\y.go", ""), (12, "a/b.py", ""),
+        (10, "src/vendors/bill.py", body.replace("one", "ten")), (11, "E:\\x\\third_party\\y.go", ""), (12, "a/b.py", ""), (13, "a/c.py", "".join(f"def get_{i}(self):\n    return self._v{i}\n" for i in range(9))),
     ]
     df = spark.createDataFrame(rows, "file_id long, file string, src string").select("*", *(F.lit("x").alias(c) for c in ("k", "category", "digest", "foreign")))
     got = {r.file_id: (r.category, r.reason) for r in generated.not_handwritten(df).collect()}
     assert got == {
         1: ("third-party", "path"), 2: ("third-party", "copy"), 4: ("generated", "notice"), 6: ("minified", "path"), 8: ("data", "literals"),
-        9: ("minified", "density"), 11: ("third-party", "path"),
+        9: ("minified", "density"), 11: ("third-party", "path"), 13: ("generated", "repetition"),
     }
     assert generated.not_handwritten(df.limit(0)).count() == 0
 
