@@ -89,3 +89,31 @@ def tainted_calls(facts: DataFrame, sources: tuple[str, ...], sinks: tuple[str,
     calls = facts.where("kind = 'call'")
     first = calls.where(F.col("name").isin(*sources)).groupBy(key, "scope").agg(F.min("line").alias("from_line"))
     return calls.where(F.col("name").isin(*sinks)).join(first, [key, "scope"]).where("line >= from_line").select(key, "scope", F.col("name").alias("sink"), "line").distinct()
+
+
+def naming_breaks(facts: DataFrame, key: str = "review_id") -> DataFrame:
+    """``key``, ``kind``, ``name``, ``line`` of functions that are not in snake case and classes that are not in capitals by word."""
+    ok = F.when(F.col("kind") == "function", F.col("name").rlike("^_{0,2}[a-z][a-z0-9_]*$")).otherwise(F.col("name").rlike("^_?[A-Z][A-Za-z0-9]*$"))
+    return facts.where(F.col("kind").isin("function", "class") & ~ok).select(key, "kind", "name", "line").distinct()
+
+
+def file_outline(facts: DataFrame, key: str = "review_id") -> DataFrame:
+    """``key``, ``classes``, ``functions``, ``imports``: sorted distinct names, joined by commas. Bounded by one file's size."""
+    names = lambda kind, column="name": F.concat_ws(",", F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col(column)))))
+    return facts.groupBy(key).agg(names("class").alias("classes"), names("function").alias("functions"), names("import", "scope").alias("imports"))
+
+
+def minimalism(facts: DataFrame, known: tuple[str, ...], opaque: tuple[str, ...], key: str = "review_id") -> DataFrame:
+    """``key``, ``foreign_imports``, ``opaque_calls``, ``score``: 100 less 15 for each of up to 4 foreign imports and 5 for each of up to 4 opaque calls."""
+    top = F.split("scope", r"\.")[0]
+    n = F.count_distinct(F.when((F.col("kind") == "import") & ~top.isin(*known), top))
+    m = F.count_if((F.col("kind") == "call") & F.col("name").isin(*opaque))
+    counts = facts.groupBy(key).agg(n.alias("foreign_imports"), m.alias("opaque_calls"))
+    return counts.withColumn("score", F.greatest(F.lit(0), 100 - 15 * F.least("foreign_imports", F.lit(4)) - 5 * F.least("opaque_calls", F.lit(4))))
+
+
+def module_edges(facts: DataFrame, files: DataFrame, key: str = "review_id") -> DataFrame:
+    """``repo``, ``src``, ``dst``: which file (by the stem of its path) imports which module, for the graph operators."""
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/\\\\]+)$", 1), r"\.\w+$", "")
+    known = files.where("path is not null").select(key, "repo", stem.alias("src")).distinct()
+    return facts.where("kind = 'import'").select(key, F.col("scope").alias("dst")).distinct().join(known, key).select("repo", "src", "dst")

@@ -97,3 +97,25 @@ def tainted_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def long_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark, sf_dir).where("kind = 'length' and number > 20").select("review_id", "name", "line", "number")
+
+
+@query()
+def naming_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_ast.naming_breaks(_facts(spark, sf_dir))
+
+
+@query()
+def file_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_ast.file_outline(_facts(spark, sf_dir))
+
+
+@query()
+def minimalism_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_ast.minimalism(_facts(spark, sf_dir), ("os", "re", "sys", "json", "math", "time", "logging"), ("eval", "exec", "compile", "getattr", "run"))
+
+
+@query()
+def import_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievelode.operators import graph
+
+    return graph.coupling(code_ast.module_edges(_facts(spark, sf_dir), reviews(spark, sf_dir)).persist())
