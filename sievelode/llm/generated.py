@@ -156,9 +156,9 @@ _DIGITS = re.compile(r"0[xX][0-9a-fA-F]+|\d+")
 
 
 def is_repetitive(text: str) -> bool:
-    """Whether at most half of ten or more code lines differ but for their numbers, as in numbered accessors and fields."""
-    lines = [x for x in (y.strip() for y in _DIGITS.sub("#", text).split("\n")) if len(x) > 3 and not x.startswith(("//", "* ", "/*"))]
-    return len(lines) >= 10 and 2 * len(set(lines)) <= len(lines)
+    """Whether ten or more different code lines are at most half as many once their numbers are alike: numbered accessors, fields, tables of bytes."""
+    lines = {x for x in map(str.strip, text.split("\n")) if len(x) > 3 and not x.startswith(("//", "* ", "/*"))}
+    return len(lines) >= 10 and 2 * len({_DIGITS.sub("#", x) for x in lines}) <= len(lines)
 
 
 def judge(path: str | None, text: str | None, notices: ahocorasick.Automaton) -> tuple[str | None, str | None]:
