@@ -27,9 +27,12 @@ def first_bucket(df: DataFrame, text: str, buckets: list[tuple[str, str]], defau
     return df.withColumn("bucket", out)
 
 
-def repeated_literals(df: DataFrame, key: str, text: str, least: int = 3, top: int = 3) -> DataFrame:
-    """``key``, ``literal``, ``n``: the ``top`` quoted literals of six or more letters that stand ``least`` times or more; ties by text."""
-    found = F.regexp_extract_all(F.col(text), F.lit("[\"']([A-Za-z_/-]{6,})[\"']"), 1)
+LITERAL = "[\"']([A-Za-z_/-]{6,})[\"']"
+
+
+def repeated_literals(df: DataFrame, key: str, text: str, least: int = 3, top: int = 3, pattern: str = LITERAL) -> DataFrame:
+    """``key``, ``literal``, ``n``: the ``top`` matches of the pattern's group (quoted literals) that stand ``least`` times or more; ties by text."""
+    found = F.regexp_extract_all(F.col(text), F.lit(pattern), 1)
     counts = df.select(key, F.explode(found).alias("literal")).groupBy(key, "literal").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     best = counts.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "literal"))), 1, top).alias("x"))
     return best.select(key, F.explode("x").alias("x")).select(key, "x.literal", (-F.col("x.m")).alias("n"))

@@ -46,10 +46,11 @@ def adversarial_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir).join(flows, "review_id", "left").select("review_id", "ord", outcome.alias("outcome"))
 
 
-@query("""with c as (select review_id, literal, count(*) as n from (select review_id, unnest(regexp_extract_all(content, '["'']([A-Za-z_/-]{6,})["'']', 1)) as literal from (select distinct review_id, content from review where content is not null)) group by all having count(*) >= 2),
+@query("""with c as (select review_id, literal, count(*) as n from (select review_id, unnest(regexp_extract_all(content, '([a-z_]{4,})', 1)) as literal from (select distinct review_id, content from review where content is not null)) group by all having count(*) >= 5),
 r as (select *, row_number() over (partition by review_id order by n desc, literal) as rank from c) select review_id, literal, n from r where rank <= 3""")
-def repeated_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.repeated_literals(load(spark, sf_dir, "review").select("review_id", "content").distinct(), "review_id", "content", least=2)
+def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "review").select("review_id", "content").distinct()
+    return quality.repeated_literals(rows, "review_id", "content", least=5, pattern="([a-z_]{4,})")
 
 
 @query("""with x as (select review_id, max(len(string_split(content, chr(10)))) as n_lines, max(len(regexp_extract_all(content, '(?m)^(?:import|from|using|require)\\b'))) as n_imports from review where content is not null group by review_id)
