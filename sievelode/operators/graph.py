@@ -44,7 +44,7 @@ def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, max_depth:
     e = simple_edges(edges)
     step = e.select("repo", F.col("dst" if reverse else "src").alias("module"), F.col("src" if reverse else "dst").alias("next"))
     step = cut_lineage(step)
-    met = seeds.select("repo", "seed", F.col("seed").alias("module"), F.lit(0).alias("depth"))
+    met = cut_lineage(seeds.select("repo", "seed", F.col("seed").alias("module"), F.lit(0).alias("depth")))
     frontier = met
     for depth in range(1, max_depth + 1):
         new = frontier.join(step, ["repo", "module"]).select("repo", "seed", F.col("next").alias("module")).distinct()
@@ -73,6 +73,20 @@ def _spread(labels: DataFrame, step: DataFrame, rounds: int) -> DataFrame:
     return labels
 
 
+def _grow(found: DataFrame, step: DataFrame, rounds: int) -> DataFrame:
+    """All modules that ``found`` (``repo, module, label``) reaches along ``step``, each with its label, to the fixpoint."""
+    n = -1
+    for _ in range(rounds):
+        for _ in range(3):
+            sent = found.join(step, ["repo", "module"]).select("repo", F.col("next").alias("module"), "label")
+            found = found.unionByName(sent).distinct()
+        found = cut_lineage(found)
+        n, before = found.count(), n
+        if n == before:
+            break
+    return found
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Strongly connected components of two or more modules: ``repo``, ``module``, ``component`` (its least module).
 
@@ -97,14 +111,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             .where("a = b")
         )
         back = cut_lineage(inside.select("repo", F.col("dst").alias("module"), F.col("src").alias("next")))
-        found = frontier = colour.where("module = label")
-        for _ in range(max_rounds):
-            new = frontier.join(back, ["repo", "module"]).select("repo", F.col("next").alias("module"), "label").distinct()
-            frontier = cut_lineage(new.join(found, ["repo", "module"], "left_anti"))
-            if frontier.isEmpty():
-                break
-            found = found.unionByName(frontier)
-        found = cut_lineage(found)
+        found = _grow(colour.where("module = label"), back, max_rounds)
         settled = found if settled is None else settled.unionByName(found)
         gone = found.select("repo", "module")
         e = cut_lineage(
