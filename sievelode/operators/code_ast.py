@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import builtins
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,8 +13,15 @@ from pyspark.sql import functions as F
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert)
 
 
+def _is_built(node: ast.AST) -> bool:
+    """Whether a query's text is put together: an f-string with values, a sum or a format of a string."""
+    if isinstance(node, ast.JoinedStr):
+        return any(isinstance(v, ast.FormattedValue) for v in node.values)
+    return isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add | ast.Mod)
+
+
 def _facts(tree: ast.AST) -> Iterator[tuple[str, str, str, int, int]]:
-    """``(kind, scope, name, line, number)`` of a module: functions, classes, imports, loads, calls and findings."""
+    """``(kind, scope, name, line, number)`` of a module: functions, classes, imports, names, calls and findings."""
 
     def walk(node: ast.AST, scope: str) -> Iterator[tuple[str, str, str, int, int]]:
         for child in ast.iter_child_nodes(node):
@@ -32,16 +40,30 @@ def _facts(tree: ast.AST) -> Iterator[tuple[str, str, str, int, int]]:
             elif isinstance(child, ast.Import | ast.ImportFrom):
                 for alias in child.names:
                     yield "import", getattr(child, "module", None) or alias.name, (alias.asname or alias.name).split(".")[0], line, 1
-            elif isinstance(child, ast.Name) and isinstance(child.ctx, ast.Load):
-                yield "load", scope, child.id, line, 1
+            elif isinstance(child, ast.Name):
+                yield "load" if isinstance(child.ctx, ast.Load) else "store", scope, child.id, line, 1
+            elif isinstance(child, ast.arg):
+                yield "store", scope, child.arg, line, 1
+            elif isinstance(child, ast.Constant) and isinstance(child.value, str) and child.value.startswith(("http://", "https://", "ws://", "wss://", "ftp://")):
+                yield "address", scope, child.value.split("?")[0][:200], line, 1
             elif isinstance(child, ast.Call):
                 name = child.func.attr if isinstance(child.func, ast.Attribute) else getattr(child.func, "id", "")
                 if name:
                     yield "call", scope, name, line, len(child.args)
+                if name in ("execute", "run", "query") and child.args and _is_built(child.args[0]):
+                    yield "built-query", scope, name, line, 1
+            elif isinstance(child, ast.BinOp) and isinstance(child.op, ast.Div | ast.FloorDiv | ast.Mod) and isinstance(child.right, ast.Constant) and child.right.value == 0:
+                yield "zero-division", scope, "/", line, 1
+            elif isinstance(child, ast.While) and isinstance(child.test, ast.Constant) and child.test.value and not any(isinstance(x, ast.Break | ast.Return | ast.Raise) for x in ast.walk(child)):
+                yield "endless-loop", scope, "while", line, 1
             elif isinstance(child, ast.ExceptHandler) and child.type is None:
                 yield "bare-except", scope, "except", line, 1
             elif isinstance(child, ast.Compare) and any(isinstance(c, ast.Constant) and c.value is None for c in child.comparators) and any(isinstance(o, ast.Eq | ast.NotEq) for o in child.ops):
                 yield "none-compare", scope, "==", line, 1
+            for body in (getattr(child, "body", None), getattr(child, "orelse", None)):
+                for before, after in zip(body or [], (body or [])[1:], strict=False) if isinstance(body, list) else ():
+                    if isinstance(before, ast.Return | ast.Raise | ast.Break | ast.Continue):
+                        yield "unreachable", inner, type(before).__name__.lower(), after.lineno, 1
             yield from walk(child, inner)
 
     yield from walk(tree, "")
@@ -117,3 +139,24 @@ def module_edges(facts: DataFrame, files: DataFrame, key: str = "review_id") ->
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/\\\\]+)$", 1), r"\.\w+$", "")
     known = files.where("path is not null").select(key, "repo", stem.alias("src")).distinct()
     return facts.where("kind = 'import'").select(key, F.col("scope").alias("dst")).distinct().join(known, key).select("repo", "src", "dst")
+
+
+def undefined_names(facts: DataFrame, key: str = "review_id") -> DataFrame:
+    """``key``, ``name``, ``first_line``, ``n`` of names that are loaded but neither built in nor bound anywhere in the file (anti joins)."""
+    bound = facts.where(F.col("kind").isin("store", "import", "function", "class")).select(key, "name").distinct()
+    loads = facts.where((F.col("kind") == "load") & ~F.col("name").isin(*dir(builtins)))
+    return loads.join(bound, [key, "name"], "left_anti").groupBy(key, "name").agg(F.min("line").alias("first_line"), F.count("*").alias("n"))
+
+
+def outward_data(facts: DataFrame, network: tuple[str, ...], key: str = "review_id") -> DataFrame:
+    """``key``, ``network_imports``, ``addresses``: files that import a network module or hold an address."""
+    top = F.split("scope", r"\.")[0]
+    counts = facts.groupBy(key).agg(F.count_if((F.col("kind") == "import") & top.isin(*network)).alias("network_imports"), F.count_if(F.col("kind") == "address").alias("addresses"))
+    return counts.where("network_imports + addresses > 0")
+
+
+def threat_model(facts: DataFrame, entries: tuple[str, ...], sinks: tuple[str, ...], key: str = "review_id") -> DataFrame:
+    """``key``, ``entries``, ``sinks``, ``boundary``: calls that bring data in and that use it; a boundary has both."""
+    calls = facts.where("kind = 'call'")
+    counts = calls.groupBy(key).agg(F.count_if(F.col("name").isin(*entries)).alias("entries"), F.count_if(F.col("name").isin(*sinks)).alias("sinks"))
+    return counts.where("entries + sinks > 0").withColumn("boundary", (F.col("entries") > 0) & (F.col("sinks") > 0))

@@ -85,7 +85,7 @@ def complexity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bug_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = ("bare-except", "mutable-default", "none-compare", "syntax-error")
+    kinds = ("bare-except", "mutable-default", "none-compare", "syntax-error", "zero-division", "endless-loop", "unreachable", "built-query")
     return _facts(spark, sf_dir).where(F.col("kind").isin(*kinds)).select("review_id", "kind", "line").distinct()
 
 
@@ -119,3 +119,28 @@ def import_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelode.operators import graph
 
     return graph.coupling(code_ast.module_edges(_facts(spark, sf_dir), reviews(spark, sf_dir)).persist())
+
+
+@query()
+def undefined_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_ast.undefined_names(_facts(spark, sf_dir).persist())
+
+
+@query()
+def outward_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_ast.outward_data(_facts(spark, sf_dir), ("requests", "urllib", "http", "socket", "ftplib", "smtplib", "aiohttp", "httpx"))
+
+
+@query()
+def threat_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_ast.threat_model(_facts(spark, sf_dir), ("get", "input", "read", "recv"), ("run", "eval", "exec", "system", "write"))
+
+
+@query("""with r as (select distinct repo, ref from (select repo, unnest(regexp_extract_all(content, '[''"]([A-Za-z0-9_-]+/[A-Za-z0-9_/-]+)[''"]', 1)) as ref from review where content is not null)),
+k as (select distinct repo, regexp_replace(replace(path, chr(92), '/'), '[.][a-z]+$', '') as ref from review where path is not null) select repo, count(*) as n_broken from r anti join k using (repo, ref) group by repo""")
+def broken_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reviews(spark, sf_dir)
+    refs = F.regexp_extract_all("content", F.lit("['\"]([A-Za-z0-9_-]+/[A-Za-z0-9_/-]+)['\"]"), 1)
+    named = rows.select("repo", F.explode(refs).alias("ref")).distinct()
+    known = rows.where("path is not null").select("repo", F.regexp_replace(F.translate("path", "\\", "/"), "[.][a-z]+$", "").alias("ref")).distinct()
+    return named.join(known, ["repo", "ref"], "left_anti").groupBy("repo").agg(F.count("*").alias("n_broken"))

@@ -231,3 +231,14 @@ def test_trees(spark):
     assert rows_of(code_ast.complexity_report(facts)) == [(1, 1, 5.0, 5, 0, "f")]
     assert {r.kind for r in facts.collect()} >= {"bare-except", "mutable-default", "none-compare", "syntax-error"}
     assert rows_of(code_ast.tainted_calls(facts, ("get",), ("run",))) == [(1, "f", "run", 7)]
+    assert {r.name for r in code_ast.undefined_names(facts).collect()} == {"get", "run"}
+
+
+def test_tree_findings(spark):
+    text = "def f(a, q):\n    while True:\n        a = a / 0\n    return 1\n    a = 2\ndb.execute('x' + q)\ndb.execute(f'{q}')\ndb.execute('x')\nu = 'https://h/x?y'\n"
+    facts = code_ast.code_facts(spark.createDataFrame([(1, text)], "review_id long, content string"))
+    got = {(r.kind, r.line) for r in facts.collect()}
+    assert {("endless-loop", 2), ("zero-division", 3), ("unreachable", 5), ("built-query", 6), ("built-query", 7), ("address", 9)} <= got
+    assert ("built-query", 8) not in got
+    assert rows_of(code_ast.outward_data(facts, ("requests",))) == [(1, 0, 1)]
+    assert rows_of(code_ast.threat_model(facts, ("get",), ("execute",))) == [(1, 0, 3, False)]
