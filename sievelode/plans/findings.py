@@ -70,7 +70,7 @@ def self_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.error_rates(once(spark, sf_dir), ["dimension"])
 
 
-@query(f"with {ONCE}, r as (select repo, file, review_id, ord, {WEIGHT} as weight, row_number() over (partition by repo, file order by {WEIGHT} desc, review_id, ord) as rank from f) select repo, file, review_id, ord, weight, rank from r where rank <= 5")
+@query(f"with {ONCE}, r as (select repo, file, review_id, ord, {WEIGHT} as weight, row_number() over (partition by repo, file order by {WEIGHT} desc, review_id, ord) as rank from f) select repo, file, review_id, ord, weight, cast(rank as int) as rank from r where rank <= 5")
 def worst_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievelode.functions.scalar import severity_weight
 
@@ -91,7 +91,7 @@ def rule_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.upsert_counts(rows, [F.col("rule"), F.col("dimension")], F.col("confidence") == "high", "suggestion", ["found_at", "review_id", "ord"])
 
 
-@query(f"with {ONCE}, r as (select repo, review_id, ord, found_at, row_number() over (partition by repo order by found_at desc, review_id desc, ord desc) as place from f) select * from r where place <= 3")
+@query(f"with {ONCE}, r as (select repo, review_id, ord, found_at, row_number() over (partition by repo order by found_at desc, review_id desc, ord desc) as place from f) select repo, review_id, ord, found_at, cast(place as int) as place from r where place <= 3")
 def last_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = once(spark, sf_dir).select("repo", "review_id", "ord", "found_at")
     return state.last_n(rows, ["repo"], [F.desc("found_at"), F.desc("review_id"), F.desc("ord")], 3)

@@ -38,7 +38,7 @@ def and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.all_terms(retrieval.postings(documents(spark, sf_dir)), "doc_id", ["warning", "lockfile", "reader", "lockfile"])
 
 
-@query(f"with {BM25} select item_id, doc_id, score, hits, rank from b where rank < 10")
+@query(f"with {BM25} select item_id, doc_id, score, hits, cast(rank as int) as rank from b where rank < 10")
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = retrieval.bm25(documents(spark, sf_dir), _stated(spark, sf_dir))
     return retrieval.ranked(scored, "item_id", "doc_id", "score", 10)
@@ -72,7 +72,7 @@ def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with x as (select doc_id, text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') as w, list_transform(string_split(text, chr(10)), lambda l: length(l)) as ll from documents where text is not null)
-select doc_id, len(w) as n_words, list_max(ll) as longest_line, len(w) < 40 as few_words, list_max(ll) > 160 as long_line, case when contains(lower(text), 'lorem ipsum') then 'lorem ipsum' when contains(lower(text), 'todo') then 'todo' when contains(lower(text), 'fixme') then 'fixme' end as placeholder from x""")
+select doc_id, cast(len(w) as int) as n_words, cast(list_max(ll) as int) as longest_line, len(w) < 40 as few_words, list_max(ll) > 160 as long_line, case when contains(lower(text), 'lorem ipsum') then 'lorem ipsum' when contains(lower(text), 'todo') then 'todo' when contains(lower(text), 'fixme') then 'fixme' end as placeholder from x""")
 def text_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.text_shape(documents(spark, sf_dir), "doc_id", "text")
 
@@ -83,13 +83,13 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id % 20 = 0), s as (select q.query_id, e.vec_id, list_cosine_similarity(q.v, e.embedding::double[]) as c from q join embeddings e on e.vec_id <> q.query_id),
-r as (select *, row_number() over (partition by query_id order by c desc, vec_id) as rank from s) select query_id, vec_id, round(c, 4) as cosine, rank from r where rank <= 5""")
+r as (select *, row_number() over (partition by query_id order by c desc, vec_id) as rank from s) select query_id, vec_id, round(c, 4) as cosine, cast(rank as int) as rank from r where rank <= 5""")
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "embeddings")
     return retrieval.nearest(e, e.where("vec_id % 20 = 0"))
 
 
-@query("""with x as (select vec_id, list_transform(embedding, lambda v: exp(v::double - list_max(embedding)::double)) as e from embeddings) select vec_id, round(list_max(e) / list_sum(e), 5) as top, list_position(e, list_max(e)) as top_dim from x""")
+@query("""with x as (select vec_id, list_transform(embedding, lambda v: exp(v::double - list_max(embedding)::double)) as e from embeddings) select vec_id, round(list_max(e) / list_sum(e), 5) as top, cast(list_position(e, list_max(e)) as bigint) as top_dim from x""")
 def softmax_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = load(spark, sf_dir, "embeddings").select("vec_id", softmax(F.col("embedding")).alias("s"))
     return s.select("vec_id", F.round(F.array_max("s"), 5).alias("top"), F.array_position("s", F.array_max("s")).alias("top_dim"))
