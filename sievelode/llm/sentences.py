@@ -62,7 +62,7 @@ HAN: tuple[Rule, ...] = ((False, r"\b(?:No|Fig|Dr|Mr|vs|e\.g|i\.e)\.$", r"\s*\S"
 DEFAULT: tuple[Rule, ...] = (
     (True, r"[。！？．｡।॥][\"”’»)\]）」』】》〉]*$", r""),
     (True, rf"[{_MARK}]\s?[{_CLOSE}]*$", r"\s"),
-    (True, rf"(?:[\w)]{{2}}|\)|[ap]\.m)[.!?…][{_CLOSE}]*$", rf"[“„«¿¡(]?[{_UP}][{_LOW}’']*\s"),
+    (True, rf"(?:[\w)]{{2}}|\)|\s\d|[ap]\.m)[.!?…][{_CLOSE}]*$", rf"[“„«‘\"¿¡(]{{0,2}}[{_UP}][{_LOW}’']*(?:\.[a-z]{{2,4}})?[.!?…]{{0,3}}[\"”’»]?(?=\s|$)"),
     (True, r"[가-힣]\.$", r"[가-힣]"),
     (True, r"[ء-ي][.؟!]$", r"[ء-ي«]"),
     (True, r"[ऀ-ॿ][.?!]$", r"[ऀ-ॿ]"),

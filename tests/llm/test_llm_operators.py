@@ -328,6 +328,7 @@ CASES = [
     ("ไทยหนึ่ง ไทยสอง", ["ไทยหนึ่ง", "ไทยสอง"]),
     ("# A heading. Still it\n\n- one. Two\n- three\n\n> quoted text\n> goes on. New\n\n```\nx. Y\n```\nlast", ["A heading", "one", "Two", "three", "quoted", "New", "last"]),
     ("It ends here.The next one", ["It", "The"]),
+    ("It got 78 lines.J. R. Ew wrote it.Dr. No did not.\"Stop!\" he said.", ["It got", "J. R.", "Dr. No", '"Stop']),
 ]
 
 
