@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelode.functions.languages import family
+
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert)
 
 
@@ -45,7 +47,7 @@ def _facts(tree: ast.AST) -> Iterator[tuple[str, str, str, int, int]]:
             elif isinstance(child, ast.arg):
                 yield "store", scope, child.arg, line, 1
             elif isinstance(child, ast.Constant) and isinstance(child.value, str) and child.value.startswith(("http://", "https://", "ws://", "wss://", "ftp://")):
-                yield "address", scope, child.value.split("?")[0][:200], line, 1
+                yield "address", scope, child.value.split("?")[0], line, 1
             elif isinstance(child, ast.Call):
                 name = child.func.attr if isinstance(child.func, ast.Attribute) else getattr(child.func, "id", "")
                 if name:
@@ -69,26 +71,32 @@ def _facts(tree: ast.AST) -> Iterator[tuple[str, str, str, int, int]]:
     yield from walk(tree, "")
 
 
-def code_facts(df: DataFrame, key: str = "review_id", text: str = "content") -> DataFrame:
+def code_facts(df: DataFrame, key: str = "review_id", text: str = "content", lang: str | None = None, path: str | None = None) -> DataFrame:
     """``key``, ``kind``, ``scope``, ``name``, ``line``, ``number`` of each node of interest; files that do not parse give one ``syntax-error`` row.
 
     Each file is parsed once, where it is read. Null and empty texts give no rows; very deep nests count as errors.
+    Where ``lang`` and ``path`` name columns, only files are parsed that are Python by ending, else language, else text.
+    Rows delivered twice give their facts once; equal nodes of one line are facts of their own, told apart by their
+    place in the tree, since chained calls begin at one column.
     """
+    python_only = lang is not None and path is not None
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for k, source in zip(frame["k"], frame["t"], strict=True):
-                if not source:
+            for k, source, said, at in zip(frame["k"], frame["t"], frame["said"], frame["at"], strict=True):
+                if not source or python_only and family(said, at, source) != "py":
                     continue
                 try:
-                    out += [(k, *f) for f in _facts(ast.parse(source.lstrip("﻿")))]
+                    out += [(k, *f, i) for i, f in enumerate(_facts(ast.parse(source.lstrip("﻿"))))]
                 except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
-                    out.append((k, "syntax-error", "", type(error).__name__, getattr(error, "lineno", None) or 0, 1))
-            yield pd.DataFrame(out, columns=["k", "kind", "scope", "name", "line", "number"])
+                    out.append((k, "syntax-error", "", type(error).__name__, getattr(error, "lineno", None) or 0, 1, 0))
+            yield pd.DataFrame(out, columns=["k", "kind", "scope", "name", "line", "number", "place"])
 
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where("t is not null")
-    return rows.mapInPandas(parse, "k long, kind string, scope string, name string, line int, number int").withColumnRenamed("k", key).distinct()
+    said, at = (F.col(c).cast("string") if python_only else F.lit("") for c in (lang, path))
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), said.alias("said"), at.alias("at")).where("t is not null")
+    facts = rows.mapInPandas(parse, "k long, kind string, scope string, name string, line int, number int, place int")
+    return facts.withColumnRenamed("k", key).distinct().drop("place")
 
 
 def unused_imports(facts: DataFrame, key: str = "review_id") -> DataFrame:

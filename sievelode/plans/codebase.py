@@ -65,7 +65,7 @@ def path_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_ast.code_facts(reviews(spark, sf_dir).where("lang = 'python'"))
+    return code_ast.code_facts(reviews(spark, sf_dir), lang="lang", path="path")
 
 
 @query()

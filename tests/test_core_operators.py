@@ -242,3 +242,22 @@ def test_tree_findings(spark):
     assert ("built-query", 8) not in got
     assert rows_of(code_ast.outward_data(facts, ("requests",))) == [(1, 0, 1)]
     assert rows_of(code_ast.threat_model(facts, ("get",), ("execute",))) == [(1, 0, 3, False)]
+
+
+def test_python_files_are_told_by_ending_then_language_then_text(spark):
+    text = "import os\n\ndef f(x):\n    return x\n"
+    rows = [(1, "a/b.py", None, text), (2, None, "Python", text), (3, None, None, text), (4, "b.js", "python", text), (5, "b.py", "go", text), (6, None, "java", text), (7, "C:\\d\\e.PY", None, text)]
+    df = spark.createDataFrame(rows, "review_id long, path string, lang string, content string")
+    assert {r.review_id for r in code_ast.code_facts(df, lang="lang", path="path").collect()} == {1, 2, 3, 5, 7}
+
+
+def test_equal_nodes_of_one_line_count_each(spark):
+    address = "https://a.b/" + "c" * 300
+    text = f"x = zz + zz\nr = q.get(1).get(2)\nrun(1); run(1)\nu = ['{address}1', '{address}1', '{address}2']\n"
+    df = spark.createDataFrame([(1, text), (1, text)], "review_id long, content string")
+    facts = code_ast.code_facts(df).persist()
+    assert {r.name: r.n for r in code_ast.undefined_names(facts).collect()} == {"zz": 2, "q": 1, "run": 2}
+    assert rows_of(code_ast.threat_model(facts, ("get",), ("run",))) == [(1, 2, 2, True)]
+    assert rows_of(code_ast.minimalism(facts, (), ("run",)))[0][:3] == (1, 0, 2)
+    assert rows_of(code_ast.outward_data(facts, ("requests",))) == [(1, 0, 3)]
+    assert {r.name for r in facts.where("kind = 'address'").collect()} == {address + "1", address + "2"}
