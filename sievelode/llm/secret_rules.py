@@ -72,6 +72,19 @@ DIGESTS = re.compile(r"^(?:sha(?:1|256|384|512)|md5)[-:]|^data:|^ssh-(?:rsa|ed25
 # ---- patterns of the places where credentials stand ----
 
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|PuTTY-User-Key-File-\d")
+#: Breaks of armoured lines, real or written as escapes or markup.
+ARMOUR_BREAK = re.compile(r"\r?\n|(?<!\\)(?:\\++(?:[nr]|(?:x0|u000)[adAD]))+|<br ?/?>|&#(?:10|13|x[aAdD]);|(?:%0[adAD])+")
+#: What may stand around an armoured line: comment and quote marks, indents, commas of lists.
+WRAP = r"[\s>|*#/;,+.\\()\[\]{}<!:&\-]*+(?:\b[rbfuRBFUL]{1,2}(?=[\"'`]))?[\s\"'`+.,;\\()\[\]{}*|#/<>&:\-]*+"
+ARMOUR_DATA = re.compile(rf"{WRAP}(?P<data>(?:[A-Za-z0-9+/_=-]{{16,}}+[ \t]++)*+[A-Za-z0-9+/_=-]*+){WRAP}")
+ARMOUR_HEADER = re.compile(
+    rf"{WRAP}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID|Encryption|Public-Lines|Private-(?:Lines|MAC|Hash)"
+    r"|Key-Derivation|Argon2-\w+|X-[\w-]+)[ \t]*:[^\n]*"
+)
+ARMOUR_OPEN_DATA = re.compile(rf"{WRAP}[A-Za-z0-9+/]{{16,}}={{0,2}}(?=[\"'`])")
+PUTTY_KIND = re.compile(r"(?::[ \t]*[\w-]*)?")
+GLUE_WORD = re.compile(r"\s*(\$?[\w.]+)")
+ARMOUR_MARK = re.compile(r"-----(BEGIN|END)[^\n-]*(?:-----)?|PuTTY-User-Key-File-\d")
 JOINT = re.compile(r"([\"'])[ \t]*[+\\.]?[ \t]*\r?\n[ \t]*[+.]?[ \t]*\1")
 NAME = re.compile(r"[\w.\-]*")
 SEPARATOR = re.compile(
@@ -283,17 +296,93 @@ def _named(text: str, low: str):
             at = low.find(trigger, at + len(trigger))
 
 
-def _scan(text: str, depth: int, deep: int):
+def _glue(text: str, at: int) -> re.Pattern:
+    """Lines that give another string to what the line of the mark gave it to (``key += "..."``, ``out.append("...")``)."""
+    word = GLUE_WORD.match(text, text.rfind("\n", 0, at) + 1, at)
+    name = re.escape(word[1]) if word else r"(?!)"
+    return re.compile(rf"\s*{name}[\s(+=.<:]*+[rbfuRBFUL]{{0,2}}[\"'`](?P<data>[A-Za-z0-9+/=_-]*+){WRAP}")
+
+
+def _armour_end(text: str, m: re.Match) -> tuple[int, int]:
+    """Ends of the body and of the whole block of a private key whose mark is ``m``.
+
+    The body goes on to the next mark as long as its lines are base64, armour headers or empty, within quotes or
+    comment marks. Where that is no END, a line shorter than those before is the last one.
+    """
+    mark = ARMOUR_MARK.search(text, m.end())
+    limit = mark.start() if mark else len(text)
+    putty = m.group().startswith("PuTTY")
+    closed = bool(mark and mark[1] == "END") and not putty
+    glue = _glue(text, m.start())
+    at = m.end()
+    if putty:  # the rest of its line is the kind of key
+        at = PUTTY_KIND.match(text, at).end()
+    cut, width, strict = -1, 0, at
+    while at <= limit:
+        stop = ARMOUR_BREAK.search(text, at, limit)
+        line_end = stop.start() if stop else limit
+        if (putty or not width) and ARMOUR_HEADER.fullmatch(text, at, line_end):
+            strict, cut, width = line_end, -1, 0
+        elif data := ARMOUR_DATA.fullmatch(text, at, line_end) or glue.fullmatch(text, at, line_end):
+            n = len(data["data"])
+            if n and cut < 0:
+                if (n >= 16 and n >= width) or n < width:
+                    strict = data.end("data")
+                    if n < width:
+                        cut = strict
+                    width = width or n
+                else:
+                    cut = strict
+        else:
+            if cut < 0 and (part := ARMOUR_OPEN_DATA.match(text, at, line_end)):
+                strict = part.end()
+            return strict, strict
+        if not stop:
+            break
+        at = stop.end()
+    return (limit, mark.end()) if closed else (strict, strict)
+
+
+def _scan(text: str):
+    """Credentials that stand in the text, and what its encoded literals hold."""
+    runs = [(m.start(), m.group()) for m in ANY_RUN.finditer(text)]
+    yield from _plain(text, runs)
+    for start, end, content in _decoded(text, runs):
+        if isinstance(content, bytes) and key_container(content):
+            yield start, end, "key container"
+        elif _holds_one(content):
+            yield start, end, "encoded"
+
+
+def _holds_one(content: str | bytes) -> bool:
+    """Whether a decoded literal, or any layer within it, holds a credential. Each layer is shorter than the one around it."""
+    layers, seen = [content], set()
+    while layers:
+        layer = layers.pop()
+        if isinstance(layer, bytes):
+            if key_container(layer):
+                return True
+            layer = _text(layer)
+        if not layer or layer in seen:
+            continue
+        seen.add(layer)
+        runs = [(m.start(), m.group()) for m in ANY_RUN.finditer(layer)]
+        if next(_plain(layer, runs), None):
+            return True
+        layers += [inner for _, _, inner in _decoded(layer, runs)]
+    return False
+
+
+def _plain(text: str, runs: list[tuple[int, str]]):
     low = _lower(text)
     yield from _named(text, low)
     if "PRIVATE KEY" in text or "PuTTY-User" in text:
         for m in PRIVATE_KEY.finditer(text):
-            stop = text.find("-----END", m.end())
-            body = text[m.end() : stop if stop >= 0 else m.end() + 20000]
+            stop, end = _armour_end(text, m)
+            body = text[m.end() : stop]
             flat = re.sub(r"\\n|\\r|\s|[\"'+#*/,\\]|--+", "", body)
             if len(flat) >= 32 and not PLACEHOLDER_PARTS.search(body[:200]):
-                close = text.find("-----", stop + 8) if stop >= 0 else -1
-                yield m.start(), close + 5 if close >= 0 else m.end() + len(body), "private key"
+                yield m.start(), end, "private key"
     if "://" in text:
         for m in URL_USER.finditer(text):
             if len(m.group(1)) >= 4 and is_secret_value(m.group(1), True):
@@ -314,35 +403,23 @@ def _scan(text: str, depth: int, deep: int):
                     yield *m.span(2), "basic"
             elif any(c.isdigit() for c in v) and is_secret_value(v, True):
                 yield *m.span(2), "bearer"
-    runs = [(m.start(), m.group()) for m in ANY_RUN.finditer(text)]
     for at, run in runs:
         for m in TOKEN_FORMATS.finditer(run):
             if not PLACEHOLDER_PARTS.search(m.group()):
                 yield at + m.start(), at + m.end(), "token"
-    if depth < deep:
-        for start, end, content in _decoded(text, runs):
-            if isinstance(content, bytes):
-                if key_container(content):
-                    yield start, end, "key container"
-                    continue
-                content = _text(content)
-                if content is None:
-                    continue
-            if content and next(_scan(content, depth + 1, deep), None):
-                yield start, end, "encoded"
-
-
-def find_credentials(text: str | None, deep: int = 4) -> list[tuple[int, int, str]]:
+
+
+def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of every credential, in order and without overlaps; [] for null or empty texts.
 
-    ``deep`` bounds how many encoded layers are opened. A value that is split over several adjacent
-    string pieces is one credential that begins on its first line.
+    Encoded layers are opened until nothing decodes. A value that is split over several adjacent string pieces is one
+    credential that begins on its first line.
     """
     if not text:
         return []
     flat, back = _joined(text)
     out: list[tuple[int, int, str]] = []
-    for s, e, kind in sorted(_scan(flat, 0, deep), key=lambda x: (x[0], -x[1])):
+    for s, e, kind in sorted(_scan(flat), key=lambda x: (x[0], -x[1])):
         s, e = back(s), back(e - 1) + 1
         if out and s < out[-1][1]:
             if e > out[-1][1]:

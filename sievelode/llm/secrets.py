@@ -20,7 +20,7 @@ def _blanks(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("k"), *(F.col(f).cast("string").alias(f"t{i}") for i, f in enumerate(fields)))
 
 
-def credentials(df: DataFrame, key: str = "review_id", fields: tuple[str, ...] = ("content", "security"), deep: int = 4) -> DataFrame:
+def credentials(df: DataFrame, key: str = "review_id", fields: tuple[str, ...] = ("content", "security")) -> DataFrame:
     """One row per credential: ``key``, ``field``, ``line_no`` (1-based), ``start_pos``, ``end_pos``, ``kind``.
 
     Offsets count code points. Null and empty texts give no rows, an empty table gives none; rows with a null
@@ -35,7 +35,7 @@ def credentials(df: DataFrame, key: str = "review_id", fields: tuple[str, ...] =
             for i, field in enumerate(fields):
                 for k, text in zip(keys, batch.column(i + 1).to_pylist(), strict=True):
                     line, last = 1, 0
-                    for s, e, kind in find_credentials(text, deep):
+                    for s, e, kind in find_credentials(text):
                         line += text.count("\n", last, s)
                         last = s
                         out.append((k, field, line, s, e, kind))
@@ -52,7 +52,7 @@ def credentials(df: DataFrame, key: str = "review_id", fields: tuple[str, ...] =
     return found.withColumnRenamed("k", key).distinct()
 
 
-def redacted(df: DataFrame, key: str = "review_id", fields: tuple[str, ...] = ("content", "security"), deep: int = 4) -> DataFrame:
+def redacted(df: DataFrame, key: str = "review_id", fields: tuple[str, ...] = ("content", "security")) -> DataFrame:
     """One row per key and field that holds a credential: ``key``, ``field``, ``n_redacted``, ``redacted_text``.
 
     Everything but the credentials stays as it was, line numbers included; for an encoded credential the whole
@@ -65,7 +65,7 @@ def redacted(df: DataFrame, key: str = "review_id", fields: tuple[str, ...] = ("
             keys = batch.column(0).to_pylist()
             for i, field in enumerate(fields):
                 for k, text in zip(keys, batch.column(i + 1).to_pylist(), strict=True):
-                    found = find_credentials(text, deep)
+                    found = find_credentials(text)
                     if found:
                         out.append((k, field, len(found), redact(text, found)))
             columns = list(zip(*out, strict=True)) or [()] * 4
