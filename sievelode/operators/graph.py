@@ -36,58 +36,77 @@ def callers(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return simple_edges(edges).withColumnRenamed("dst", "seed").join(targets, ["repo", "seed"]).select("repo", "seed", F.col("src").alias("caller"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, max_depth: int = 64) -> DataFrame:
-    """``repo``, ``seed``, ``module``, ``depth``: everything within ``max_depth`` steps of the seeds, by the shortest way.
+def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, max_depth: int | None = None) -> DataFrame:
+    """``repo``, ``seed``, ``module``, ``depth``: everything that the seeds reach, by the shortest way.
 
-    Breadth first; the seed itself is not given. Cycles end, since only modules not met before go on.
+    Breadth first; the seed itself is not given. Cycles end, since only modules not met before go on. ``max_depth`` is
+    for queries that ask for a number of steps.
     """
     e = simple_edges(edges)
     step = e.select("repo", F.col("dst" if reverse else "src").alias("module"), F.col("src" if reverse else "dst").alias("next"))
     step = cut_lineage(step)
     met = cut_lineage(seeds.select("repo", "seed", F.col("seed").alias("module"), F.lit(0).alias("depth")))
     frontier = met
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         new = frontier.join(step, ["repo", "module"]).select("repo", "seed", F.col("next").alias("module")).distinct()
         frontier = cut_lineage(new.join(met.select("repo", "seed", "module"), ["repo", "seed", "module"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         met = met.unionByName(frontier)  # each part is written, so the union has no long lineage
+        if depth % 16 == 0:  # nor many parts
+            met = cut_lineage(met.repartition("repo", "module"))
     return met.where("depth > 0")
 
 
-def _spread(labels: DataFrame, step: DataFrame, rounds: int) -> DataFrame:
+def _spread(labels: DataFrame, step: DataFrame) -> DataFrame:
     """Least label that reaches each module along ``step`` (``repo, module, next``), to the fixpoint.
 
-    Three steps are taken before the lineage is cut and the labels are compared with those before.
+    Three steps are taken before the lineage is cut and the labels are compared with those before. Labels only fall.
     """
-    for _ in range(rounds):
+    while True:
         new = labels
         for _ in range(3):
             sent = new.join(step, ["repo", "module"]).select("repo", F.col("next").alias("module"), "label")
             new = new.unionByName(sent).groupBy("repo", "module").agg(F.min("label").alias("label"))
         new = cut_lineage(new)
-        done = new.join(labels.withColumnRenamed("label", "old"), ["repo", "module"]).where("label <> old").isEmpty()
+        if new.join(labels.withColumnRenamed("label", "old"), ["repo", "module"]).where("label <> old").isEmpty():
+            return new
         labels = new
-        if done:
-            break
-    return labels
 
 
-def _grow(found: DataFrame, step: DataFrame, rounds: int) -> DataFrame:
+def _grow(found: DataFrame, step: DataFrame) -> DataFrame:
     """All modules that ``found`` (``repo, module, label``) reaches along ``step``, each with its label, to the fixpoint."""
     n = -1
-    for _ in range(rounds):
+    while True:
         for _ in range(3):
             sent = found.join(step, ["repo", "module"]).select("repo", F.col("next").alias("module"), "label")
             found = found.unionByName(sent).distinct()
         found = cut_lineage(found)
         n, before = found.count(), n
+        if n == before:
+            return found
+
+
+def _trim(e: DataFrame) -> DataFrame:
+    """The edges without those before, behind and beside all cycles: modules without callers or calls go until none is left.
+
+    Three layers are taken off before the lineage is cut; long chains cost no colouring this way.
+    """
+    n = e.count()
+    while n:
+        for _ in range(3):
+            both = e.select("repo", F.col("src").alias("module")).intersect(e.select("repo", F.col("dst").alias("module")))
+            e = e.join(both.withColumnRenamed("module", "src"), ["repo", "src"], "left_semi").join(both.withColumnRenamed("module", "dst"), ["repo", "dst"], "left_semi")
+        e = cut_lineage(e)
+        n, before = e.count(), n
         if n == before:
             break
-    return found
+    return e
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Strongly connected components of two or more modules: ``repo``, ``module``, ``component`` (its least module).
 
     Colouring: every module takes the least name that reaches it; those that reach this name backwards within its
@@ -95,23 +114,20 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """
     e = cut_lineage(simple_edges(edges))
     settled = None
-    for _ in range(max_rounds):
-        both = e.select("repo", F.col("src").alias("module")).intersect(e.select("repo", F.col("dst").alias("module")))
-        e = cut_lineage(
-            e.join(both.withColumnRenamed("module", "src"), ["repo", "src"], "left_semi").join(both.withColumnRenamed("module", "dst"), ["repo", "dst"], "left_semi")
-        )
+    while True:
+        e = _trim(e)
         if e.isEmpty():
             break
         modules = e.select("repo", F.col("src").alias("module")).union(e.select("repo", F.col("dst").alias("module"))).distinct()
         forward = e.select("repo", F.col("src").alias("module"), F.col("dst").alias("next"))
-        colour = _spread(modules.withColumn("label", F.col("module")), cut_lineage(forward), max_rounds)
+        colour = _spread(modules.withColumn("label", F.col("module")), cut_lineage(forward))
         inside = (
             e.join(colour.select("repo", F.col("module").alias("src"), F.col("label").alias("a")), ["repo", "src"])
             .join(colour.select("repo", F.col("module").alias("dst"), F.col("label").alias("b")), ["repo", "dst"])
             .where("a = b")
         )
         back = cut_lineage(inside.select("repo", F.col("dst").alias("module"), F.col("src").alias("next")))
-        found = _grow(colour.where("module = label"), back, max_rounds)
+        found = _grow(colour.where("module = label"), back)
         settled = found if settled is None else settled.unionByName(found)
         gone = found.select("repo", "module")
         e = cut_lineage(
@@ -123,20 +139,23 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return settled.join(sizes, ["repo", "label"], "left_semi").select("repo", "module", F.col("label").alias("component"))
 
 
-def levels(edges: DataFrame, max_rounds: int = 256) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """``repo``, ``module``, ``level``: the longest way from a module without callers; -1 on and behind cycles.
 
-    All modules whose callers are placed are placed in one round (layered topological order).
+    All modules whose callers are placed are placed in one round (layered topological order), until no more can be placed.
     """
     e = cut_lineage(simple_edges(edges))
     left = cut_lineage(e.select("repo", F.col("src").alias("module")).union(e.select("repo", F.col("dst").alias("module"))).distinct())
-    placed = None
-    for level in range(max_rounds):
+    placed, level = None, 0
+    while True:
         ready = cut_lineage(left.join(e.select("repo", F.col("dst").alias("module")).distinct(), ["repo", "module"], "left_anti"))
         if ready.isEmpty():
             break
         now = ready.withColumn("level", F.lit(level))
+        level += 1
         placed = now if placed is None else placed.unionByName(now)
+        if level % 16 == 0:
+            placed = cut_lineage(placed.repartition("repo", "module"))
         left = cut_lineage(left.join(ready, ["repo", "module"], "left_anti"))
         e = cut_lineage(e.join(ready.withColumnRenamed("module", "src"), ["repo", "src"], "left_anti"))
     rest = left.withColumn("level", F.lit(-1))

@@ -123,6 +123,19 @@ def test_graph_by_hand(spark):
     assert graph.components(none).count() == graph.levels(none).count() == graph.coupling(none).count() == 0
 
 
+@pytest.fixture
+def quick_rounds(spark, monkeypatch):
+    """Rounds of small tables on the driver, so that many of them take little time."""
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: spark.createDataFrame(df.toArrow()))
+
+
+def test_reach_goes_on_to_the_end(spark, quick_rounds):
+    names = [f"m{i:04d}" for i in range(67)]
+    deep = edge_table(spark, list(zip(names, names[1:], strict=False)))
+    found = graph.reach(deep, spark.createDataFrame([("g", names[0])], "repo string, seed string"))
+    assert {r.module: r.depth for r in spark.createDataFrame(found.toArrow()).collect()} == {n: i for i, n in enumerate(names) if i}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_against_brute_force(spark, seed):
     rng = random.Random(seed)
