@@ -11,6 +11,8 @@ import re
 from bisect import bisect_right
 from urllib.parse import unquote
 
+import ahocorasick
+
 # ---- fixed values: names, formats and placeholders (public formats, plain lists) ----
 
 #: Endings of a name that make it the name of a credential.
@@ -57,6 +59,8 @@ PLACEHOLDER_PARTS = re.compile(
     r"(?i)example|placeholder|change[-_ ]?me|dummy|your[-_ ]|_here\b|here>|todo|fixme|redacted|masked|sample[-_]"
     r"|insert[-_ ]|replace[-_ ]|lorem|not[-_]?set|removed|<[^>]*>|\*{3,}|•{3,}|…|\.{3,}$|\[[a-z ]+\]$"
 )
+#: Words that make the body of a key a stand-in even where its letters are base64.
+STAND_IN = re.compile(r"(?i)example|placeholder|change[-_ ]?me|dummy|redacted|lorem")
 REFERENCES = re.compile(
     r"^(?:\$\{?[A-Za-z_][\w.:-]*\}?|\$\(.*\)|\$?\{\{.*\}\}|\{[\w.]+\}|%\w+%|%\(\w+\)s?|%[sd]|![A-Za-z_]+|@[\w.]+@?|#\{.*\}"
     r"|(?:vault|env|ssm|kms|file|secret|secrets|keyring|keychain|op|ref\+\w+|arn|projects|secretsmanager)[:/].*"
@@ -85,8 +89,12 @@ ARMOUR_OPEN_DATA = re.compile(rf"{WRAP}[A-Za-z0-9+/]{{16,}}={{0,2}}(?=[\"'`])")
 PUTTY_KIND = re.compile(r"(?::[ \t]*[\w-]*)?")
 GLUE_WORD = re.compile(r"\s*(\$?[\w.]+)")
 ARMOUR_MARK = re.compile(r"-----(BEGIN|END)[^\n-]*(?:-----)?|PuTTY-User-Key-File-\d")
-JOINT = re.compile(r"([\"'])[ \t]*[+\\.]?[ \t]*\r?\n[ \t]*[+.]?[ \t]*\1")
+#: Where a string literal stops and its next piece on the following line begins.
+JOINT = re.compile(r"([\"'])[ \t]*+[+.]?[ \t]*+\\?\r?\n[ \t]*+[+.]?[ \t]*+[rbfuRBFUL]{0,2}\1")
+#: The same on one line, where only redaction looks for it.
+JOINT_BESIDE = re.compile(r"([\"'])[ \t]*+(?:[+.][ \t]*+)?[rbfuRBFUL]{0,2}\1((?:[^\"'\\\n]|\\.)*+)(?=\1)")
 NAME = re.compile(r"[\w.\-]*")
+WORD = re.compile(r"\w*")
 SEPARATOR = re.compile(
     r"[\"'`]?\]?[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]?]*[ \t]*=(?=[ \t]*[\"'`(\w])(?!=)|:=|=>|=(?![=~])|\|\||\?\?|:(?![:=/]))[ \t]*"
 )
@@ -94,7 +102,7 @@ PAIR = re.compile(r"[\"']?[ \t]*[,;\n][ \t]*[\"']?value[\"']?[ \t]*[:=][ \t]*",
 VALUE = re.compile(
     r"\(?[ \t]*(?:[rbfuRBFUL]{0,2}(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)')|`([^`\n]*)`|([^\s\"'`,;]+))"
 )
-URL_USER = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"'`<>]*:([^\s/@\"'`<>]+)@")
+URL_USER = re.compile(r"(?<=[A-Za-z0-9+.-])://[^\s/:@\"'`<>]*:([^\s/@\"'`<>]+)@")
 OPTION = re.compile(
     r"(?:--?(?:password|passwd|pass|pw|token|secret|api-?key|auth|http-password|proxy-password)[= ]|sshpass -p ?)"
     r"(\"[^\"\n]+\"|'[^'\n]+'|[^\s\"'`;|&]+)"
@@ -175,10 +183,39 @@ def _tlv(data: bytes, at: int) -> tuple[int, int, int]:
     return tag, at, at + n
 
 
+def _jks(data: bytes) -> bool:
+    """Whether a Java key store holds a private key: its entries are walked until one is."""
+    version, count = (int.from_bytes(data[i : i + 4], "big") for i in (4, 8))
+    at = 12
+
+    def sized(width: int) -> int:
+        n = int.from_bytes(data[at : at + width], "big")
+        if at + width + n > len(data):
+            raise ValueError("length")
+        return at + width + n
+
+    for _ in range(count):
+        tag, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        if tag not in (1, 2, 3) or version not in (1, 2) or at + 10 > len(data):
+            return False
+        at = sized(2) + 8  # alias and date
+        if tag != 2:
+            return at < len(data)
+        if version == 2:
+            at = sized(2)  # kind of certificate
+        at = sized(4)
+    return False
+
+
 def key_container(data: bytes) -> str | None:
-    """Kind of private key in a binary container: DER (PKCS#1, PKCS#8, SEC1) or OpenSSH; None for all else."""
+    """Kind of private key in a binary container: DER (PKCS#1, PKCS#8, PKCS#12, SEC1), OpenSSH or Java key store; None for all else."""
     if data.startswith(b"openssh-key-v1\0"):
         return "openssh"
+    if data[:4] in (b"\xfe\xed\xfe\xed", b"\xce\xce\xce\xce"):
+        try:
+            return "jks" if _jks(data) else None
+        except ValueError:
+            return None
     try:
         tag, at, end = _tlv(data, 0)
         if tag != 0x30:
@@ -197,17 +234,27 @@ def key_container(data: bytes) -> str | None:
             return "pkcs1"
         if tags[:2] == [0x02, 0x04] and version == b"\1":
             return "sec1"
+        if tags[:2] == [0x02, 0x30] and version == b"\3":  # a store whose content is PKCS#7 data
+            kind, start, stop = _tlv(data, parts[1][1])
+            if kind == 0x06 and data[start:stop].startswith(bytes.fromhex("2a864886f70d0107")):
+                return "pkcs12"
     except (IndexError, ValueError):
         pass
     return None
 
 
 def _text(data: bytes) -> str | None:
-    try:
-        s = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return s if len(s) >= 6 and sum(c.isprintable() or c in "\r\n\t" for c in s) == len(s) else None
+    """The text that the bytes are in UTF-8 or UTF-16; None if they are none."""
+    wide = data[:2] in (b"\xff\xfe", b"\xfe\xff") or len(data) % 2 == 0 and 2 * data.count(0) >= len(data) - len(data) // 8
+    codecs = ("utf-16", "utf-16-le", "utf-16-be") if data[:2] in (b"\xff\xfe", b"\xfe\xff") else ("utf-16-le", "utf-16-be")
+    for codec in codecs if wide else ("utf-8",):
+        try:
+            s = data.decode(codec)
+        except UnicodeDecodeError:
+            continue
+        if len(s) >= 6 and sum(c.isprintable() or c in "\r\n\t" for c in s) == len(s):
+            return s
+    return None
 
 
 def _base64(run: str) -> bytes | None:
@@ -264,36 +311,46 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def _named(text: str, low: str):
-    """Values that stand after the name of a credential."""
-    seen = set()
+def _triggers() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
     for trigger in NAME_TRIGGERS:
-        at = low.find(trigger)
-        while at >= 0:
-            start = at
-            while start and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
-                start -= 1
-            if start not in seen:
-                seen.add(start)
-                end = NAME.match(text, at).end()
-                name = text[start:end]
-                after = SEPARATOR.match(text, end) or PAIR.match(text, end)
-                if after and name and is_secret_name(name):
-                    m = VALUE.match(text, after.end())
-                    if m and m.lastindex:
-                        k = m.lastindex
-                        value = m.group(k)
-                        s, e = m.span(k)
-                        if k == 4:
-                            value = value.rstrip(")]}")
-                            e = s + len(value)
-                        if is_secret_value(value, k != 4):
-                            yield s, e, "named"
-                if trigger == "login":
-                    m = LOGIN.match(text, at)
-                    if m and is_secret_value(m.group(1), True):
-                        yield *m.span(1), "login"
-            at = low.find(trigger, at + len(trigger))
+        found.add_word(trigger, trigger)
+    found.make_automaton()
+    return found
+
+
+_TRIGGERS = _triggers()
+
+
+def _named(text: str, low: str):
+    """Values that stand after the name of a credential. Every name is looked at once, from left to right."""
+    done = called = 0  # ends of the last name and of the last call that were looked at
+    for last, trigger in _TRIGGERS.iter(low):
+        at = last - len(trigger) + 1
+        if trigger == "login" and at >= called:
+            called = WORD.match(text, at).end()
+            m = LOGIN.match(text, at)
+            if m and is_secret_value(m.group(1), True):
+                yield *m.span(1), "login"
+        if at < done:
+            continue
+        start = at
+        while start > done and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
+            start -= 1
+        end = done = max(NAME.match(text, at).end(), at + 1)
+        name = text[start:end]
+        after = SEPARATOR.match(text, end) or PAIR.match(text, end)
+        if after and name and is_secret_name(name):
+            m = VALUE.match(text, after.end())
+            if m and m.lastindex:
+                k = m.lastindex
+                value = m.group(k)
+                s, e = m.span(k)
+                if k == 4:
+                    value = value.rstrip(")]}")
+                    e = s + len(value)
+                if is_secret_value(value, k != 4):
+                    yield s, e, "named"
 
 
 def _glue(text: str, at: int) -> re.Pattern:
@@ -343,6 +400,19 @@ def _armour_end(text: str, m: re.Match) -> tuple[int, int]:
     return (limit, mark.end()) if closed else (strict, strict)
 
 
+def _armour_data(body: str):
+    """Matches of the lines of an armoured body that are data."""
+    at = 0
+    while at <= len(body):
+        stop = ARMOUR_BREAK.search(body, at)
+        end = stop.start() if stop else len(body)
+        if not ARMOUR_HEADER.fullmatch(body, at, end) and (m := ARMOUR_DATA.fullmatch(body, at, end)) and m["data"]:
+            yield m
+        if not stop:
+            break
+        at = stop.end()
+
+
 def _scan(text: str):
     """Credentials that stand in the text, and what its encoded literals hold."""
     runs = [(m.start(), m.group()) for m in ANY_RUN.finditer(text)]
@@ -380,8 +450,12 @@ def _plain(text: str, runs: list[tuple[int, str]]):
         for m in PRIVATE_KEY.finditer(text):
             stop, end = _armour_end(text, m)
             body = text[m.end() : stop]
+            data = "".join(part["data"] for part in _armour_data(body))
+            if key_container(_base64(data) or b""):
+                yield m.start(), end, "private key"
+                continue
             flat = re.sub(r"\\n|\\r|\s|[\"'+#*/,\\]|--+", "", body)
-            if len(flat) >= 32 and not PLACEHOLDER_PARTS.search(body[:200]):
+            if len(flat) >= 32 and not STAND_IN.search(body) and not PLACEHOLDER_PARTS.search(re.sub(r"[A-Za-z0-9+/=]{16,}", "", body)):
                 yield m.start(), end, "private key"
     if "://" in text:
         for m in URL_USER.finditer(text):
@@ -429,11 +503,79 @@ def find_credentials(text: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
+#: What stands in place of a credential: one word that is whole in a string, a name's value, a list, a shell word or a URL.
+MARK = "REDACTED"
+_TRAILING = re.compile(r"(?:\\[nrt])+$")
+_ARMOUR_LINE = re.compile(r"-----(?:BEGIN|END)[^\n-]*(?:-----)?|PuTTY-User-Key-File-\d[^\n\"'\\]*")
+_HEADER_VALUE = re.compile(r"[\w-]+[ \t]*:[ \t]*([^\n\"'`\\]*[^\s\"'`\\,;+])")
+_LEFT_OVER = re.compile(r"[A-Za-z0-9+/=_]{8,}")
+
+
+def _key_parts(text: str, start: int, end: int):
+    """The places within a key block that are the key's: marks, header values and data; what parts the lines stays."""
+    at, glue = start, _glue(text, start)
+    while at <= end:
+        stop = ARMOUR_BREAK.search(text, at, end)
+        line_end = stop.start() if stop else end
+        header = ARMOUR_HEADER.fullmatch(text, at, line_end)
+        if mark := _ARMOUR_LINE.search(text, at, line_end):
+            yield mark.span()
+            rest = mark.end()
+        elif header:
+            if value := _HEADER_VALUE.search(text, at, line_end):
+                yield value.span(1)
+            rest = line_end
+        elif (data := ARMOUR_DATA.fullmatch(text, at, line_end) or glue.fullmatch(text, at, line_end)) and data["data"]:
+            yield data.span("data")
+            rest = line_end
+        else:
+            rest = at
+        for left in _LEFT_OVER.finditer(text, rest, line_end):
+            yield left.span()
+        if not stop:
+            break
+        at = stop.end()
+
+
+def _value_parts(text: str, start: int, end: int):
+    """The pieces of a value between the joints of its string literals, and pieces that go on behind it on its line."""
+    at = start
+    for m in JOINT.finditer(text, max(0, start - 1), end):
+        if m.start() >= at:
+            yield at, m.start()
+            at = m.end()
+    yield at, end
+    while m := JOINT_BESIDE.match(text, end):
+        yield m.span(2)
+        end = m.end()
+
+
+def _escapes(text: str, at: int) -> bool:
+    """Whether an odd number of backslashes stands before ``at``, so that the character there belongs to an escape."""
+    n = 0
+    while at > n and text[at - n - 1] == "\\":
+        n += 1
+    return n % 2 == 1
+
+
 def redact(text: str, found: list[tuple[int, int, str]]) -> str:
-    """The text with each credential replaced by a mark; line breaks inside a value stay, so lines keep their numbers."""
+    """The text with each credential replaced by ``MARK``, each piece within its own quotes, so that code stays valid.
+
+    A value of several string pieces becomes the mark and empty pieces; a key block becomes a mark a line. Line breaks
+    and escapes that close a value stay, so lines keep their numbers.
+    """
     out, last = [], 0
-    for s, e, kind in found:
-        breaks = "".join(c for c in text[s:e] if c in "\r\n")
-        out += [text[last:s], f"[REDACTED {kind}]", breaks]
-        last = e
+    for start, end, _ in found:
+        block = PRIVATE_KEY.search(text, start, end)
+        first = True
+        for s, e in _key_parts(text, start, end) if block else _value_parts(text, start, end):
+            s = max(s, last)
+            s += _escapes(text, s)  # the letter of an escape that begins before the value
+            if tail := _TRAILING.search(text, s, e):
+                e = tail.start()
+            e -= _escapes(text, e)  # a backslash whose escape ends behind the value
+            if e <= s:
+                continue
+            out += [text[last:s], MARK if first or block else ""]
+            last, first = max(e, s), False
     return "".join([*out, text[last:]])

@@ -55,8 +55,9 @@ def credentials(df: DataFrame, key: str = "review_id", fields: tuple[str, ...] =
 def redacted(df: DataFrame, key: str = "review_id", fields: tuple[str, ...] = ("content", "security")) -> DataFrame:
     """One row per key and field that holds a credential: ``key``, ``field``, ``n_redacted``, ``redacted_text``.
 
-    Everything but the credentials stays as it was, line numbers included; for an encoded credential the whole
-    encoded literal is replaced. Fields without credentials give no row: their text is the original one.
+    Everything but the credentials stays as it was, line numbers, quotes and escapes included: each piece of a value is
+    replaced within its own quotes by one word, so that code and configuration stay valid; for an encoded credential
+    the whole encoded literal is replaced. Fields without credentials give no row: their text is the original one.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
