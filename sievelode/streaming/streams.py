@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelode.session import shared_folder
+
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder of the cluster; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared folder of the cluster."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
