@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelode.llm.lexing import BLOCK, LINE, family, lex, masked
-from sievelode.session import cut_lineage
+from sievelode.session import cut_lineage, written
 
 # ---- fixed values: what documentation says nothing ----
 
@@ -44,7 +44,7 @@ JS_FUNC = re.compile(
     r"(?<![\w$.])(?:(?:export|default|async|const|let|var|static|public|private|protected|readonly|get|set)\s+)*"
     rf"(?:function\s*\*?\s+(?P<a>[\w$]+)\s*(?=\()|(?P<b>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?:function\b|(?:{_PAREN}|[\w$]+)\s*(?::[^=\n]+)?=>)"
     rf"|(?:[\w$]+\.)+(?P<c>[\w$]+)\s*=\s*(?:async\s+)?(?:function\b|(?:{_PAREN}|[\w$]+)\s*=>)"
-    rf"|(?P<d>[\w$]+)\s*:\s*(?:async\s+)?(?:function\b|{_PAREN}\s*=>)|\*?\s*#?(?P<e>[\w$]+)\s*{_PAREN}\s*(?::[^{{=;\n]+)?\{{)"
+    rf"|(?P<d>[\w$]+)\s*:\s*(?:async\s+)?(?:function\b|{_PAREN}\s*=>)|(?:\*\s*)?#?(?P<e>[\w$]+)\s*{_PAREN}\s*(?::[^{{=;\n]+)?\{{)"
 )
 JAVA_METHOD = re.compile(
     r"(?<![\w$.])(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^>()]+>\s*)?"
@@ -90,10 +90,17 @@ def says_something(doc: str | None, name: str) -> bool:
     return bool(parts - own - {"the", "a", "an", "function", "method", "of", "this", "to", "and", "class", "helper", "der", "die", "das", "la", "le", "el"})
 
 
-def _signature_end(code: str, at: int) -> int:
-    """Offset behind the colon that ends a Python signature whose opening bracket is before ``at``; -1 without one."""
+_BRACKETS = re.compile(r"[()\[\]{}:]")
+_FIRST_LETTERS = re.compile(r"^([ \t]*)(?=[^\s\\])", re.M)
+_PY_FROM = re.compile(r"^[ \t]*from[ \t]+([\w.]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n]+)", re.M)
+_PY_IMPORT = re.compile(r"^[ \t]*import[ \t]+([\w., \t]+)", re.M)
+_JS_IMPORT = re.compile(r"(?:\bimport\s+(?P<a>[\w$*{}\s,]+?)\s+from\s*|\b(?:const|let|var)\s+(?P<b>[\w$]+|\{[^}]*\})\s*=\s*require\s*\(\s*)[\"'](?P<path>[^\"'\n]+)[\"']")
+
+
+def _signature_end(code: str, at: int, limit: int) -> int:
+    """Offset behind the colon that ends a Python signature whose opening bracket is before ``at``; -1 without one before ``limit``."""
     depth = 1
-    for m in re.finditer(r"[()\[\]{}:]", code[at : at + 20000]):
+    for m in _BRACKETS.finditer(code, at, limit):
         c = m.group()
         if c in "([{":
             depth += 1
@@ -102,10 +109,43 @@ def _signature_end(code: str, at: int) -> int:
             if depth < 0:
                 return -1
         elif depth == 0:
-            return at + m.end()
+            return m.end()
     return -1
 
 
+def stem_of(path: str | None) -> str | None:
+    """The name by which other files import a file: its own without endings, or its folder's for a folder's main file."""
+    parts = [x for x in re.split(r"[\\/]+", path or "") if x]
+    if not parts:
+        return None
+    name = parts[-1].split(".")[0]
+    return parts[-2] if name in ("__init__", "index") and len(parts) > 1 else name
+
+
+def _imported(text: str, fam: str) -> dict[str, tuple[str, str | None]]:
+    """Local names of imported classes and modules: the stem of the file that they come from, and their own name there (None for modules)."""
+    out: dict[str, tuple[str, str | None]] = {}
+    if fam == "py":
+        for m in _PY_FROM.finditer(text):
+            for part in re.sub(r"[()\\]|#[^\n]*", " ", m[2]).split(","):
+                words = part.split()
+                if words:
+                    out[words[-1]] = (m[1].rsplit(".", 1)[-1], words[0])
+        for m in _PY_IMPORT.finditer(text):
+            for part in m[1].split(","):
+                words = part.split()
+                if words:
+                    out[words[-1]] = (words[0].rsplit(".", 1)[-1], None)
+    elif fam == "js":
+        for m in _JS_IMPORT.finditer(text):
+            stem = stem_of(m["path"])
+            for part in re.split(r"[,{}]", m["a"] or m["b"] or ""):
+                words = part.replace(":", " as ").split()
+                if words and stem:
+                    out[words[-1]] = (stem, None if words[0] == "*" else words[0])
+    return out
+
+
 def _bodies(code: str) -> dict[int, int]:
     """Closing brace of each opening one."""
     stack, out = [], {}
@@ -117,13 +157,14 @@ def _bodies(code: str) -> dict[int, int]:
     return out
 
 
-def extract(text: str, fam: str, everything: bool = True) -> tuple[list[tuple], list[tuple[str, str, int]]]:
-    """``(functions, bases)`` of one file; without ``everything`` functions that lack documentation may be left out.
+def extract(text: str, fam: str) -> tuple[list[tuple], list[tuple[str, str, int, str | None]], list[str]]:
+    """``(functions, bases, classes)`` of one file.
 
-    A function is ``(name, line, class or None, documentation or None, start, end)``, a base ``(class, base, order)``.
+    A function is ``(name, line, class or None, documentation or None, start, end)``; a base is ``(class, base, order,
+    stem of the file that the base is imported from or None)``.
     """
     if fam == "conf":
-        return [], []
+        return [], [], []
     tokens, _ = lex(text, fam)
     code = masked(text, tokens)
     if code[:1] == "\ufeff":
@@ -131,7 +172,7 @@ def extract(text: str, fam: str, everything: bool = True) -> tuple[list[tuple],
         if fam == "go" and code.startswith(" func"):
             code = "\n" + code[1:]
     out: list[tuple] = []
-    bases: list[tuple[str, str, int]] = []
+    named: list[tuple[str, str, int]] = []
     line_at = [0, 1]
 
     def line_of(pos: int) -> int:
@@ -141,53 +182,57 @@ def extract(text: str, fam: str, everything: bool = True) -> tuple[list[tuple],
         line_at[0] = pos
         return line_at[1]
 
+    def with_stems() -> list[tuple[str, str, int, str | None]]:
+        known = _imported(text, fam) if named else {}
+        found = []
+        for cls, base, i in named:
+            first, _, last = base.partition(".")
+            stem, own = known.get(first, (None, None))
+            last = last.rsplit(".", 1)[-1] or own or first
+            found.append((cls, last, i, stem or (last if fam == "java" else None)))
+        return found
+
     if fam == "py":
         strings = {t[1]: t for t in tokens if t[0] not in (LINE, BLOCK)}
-        classes = [(m.start(), len(m[1].expandtabs()), m[2]) for m in PY_CLASS.finditer(code)]
+        classes = {}
         for m in PY_CLASS.finditer(code):
+            classes[m.start()] = m[2]
             for i, b in enumerate(re.split(r"[,\s]+", m[3] or "")):
                 if b and "=" not in b:
-                    bases.append((m[2], b.rsplit(".", 1)[-1], i))
-        defs = list(PY_DEF.finditer(code))
-        indents = [len(re.match(r"[ \t]*", m.group()).group().expandtabs()) for m in defs]
-        for j, m in enumerate(defs):
-            doc, end = None, _signature_end(code, m.end())
-            if end >= 0:
-                at = end
-                while True:  # comments and blank lines may stand before the docstring
-                    while at < len(text) and (text[at].isspace() or text[at] == "\\"):
-                        at += 1
-                    if at < len(text) and text[at] == "#":
-                        at = text.find("\n", at)
-                        if at < 0:
-                            at = len(text)
-                        continue
-                    break
-                head = re.match(r"[rRuU]?(?=[\"'])", text[at : at + 2])
-                token = strings.get(at + head.end()) if head else None
-                if token:
-                    after = token[3] + (3 if token[0] >= 5 else 1)
-                    if re.match(r"[ \t]*(?:[;#\r\n]|$)", text[after : after + 40]):
-                        doc = clean_doc(text[token[2] : token[3]], False)
-            owner = None
-            for start, indent, name in reversed(classes):
-                if start < m.start() and indent < indents[j]:
-                    between = [k for k in range(j) if start < defs[k].start() and indents[k] < indents[j]]
-                    owner = None if between else name
-                    break
-            stop = len(text)
-            for k in range(j + 1, len(defs)):
-                if indents[k] <= indents[j]:
-                    stop = defs[k].start()
-                    break
-            out.append((m[1], line_of(m.end(1)), owner, doc, m.start(), stop))
-        return out, bases
-
-    closing = _bodies(code) if everything else {}
+                    named.append((m[2], b, i))
+        defs = {m.start(): m for m in PY_DEF.finditer(code)}
+        starts = sorted(defs)
+        limits = dict(zip(starts, [*starts[1:], len(code)], strict=False))
+        stack: list[list] = []  # [indent, class name or None, index in out or None, end of the signature]
+
+        def close(indent: int, at: int) -> None:
+            while stack and stack[-1][0] >= indent:
+                index = stack.pop()[2]
+                if index is not None:
+                    out[index] = (*out[index][:5], at)
+
+        for first in _FIRST_LETTERS.finditer(code):
+            at, indent = first.start(), len(first[1].expandtabs())
+            if stack and first.end() < stack[-1][3]:
+                continue  # within a signature
+            close(indent, at)
+            if at in classes:
+                stack.append([indent, classes[at], None, 0])
+            elif at in defs:
+                m, doc = defs[at], None
+                end = _signature_end(code, m.end(), limits[at])
+                if end >= 0:
+                    doc = _docstring(text, end, strings)
+                stack.append([indent, None, len(out), max(end, 0)])
+                owner = stack[-2][1] if len(stack) > 1 else None
+                out.append((m[1], line_of(m.end(1)), owner, doc, at, len(text)))
+        return out, with_stems(), list(classes.values())
+
+    closing = _bodies(code)
     if fam == "go":
         comments = {t[3]: t for t in tokens if t[0] in (LINE, BLOCK)}
         for m in GO_FUNC.finditer(code):
-            lines: list[str] = []
+            lines: list[str] = []  # from the last to the first
             at = m.start() - 1  # the line break before the declaration
             if at >= 0:
                 end = at - (text[at - 1 : at] == "\r")
@@ -200,15 +245,15 @@ def extract(text: str, fam: str, everything: bool = True) -> tuple[list[tuple],
                     while token and token[0] == LINE and not text[(s := text.rfind("\n", 0, token[1]) + 1) : token[1]].strip():
                         body = text[token[2] : token[3]].rstrip("\r")
                         if not re.match(r"go:|nolint|line |export ", body):
-                            lines.insert(0, body[1:] if body.startswith(" ") else body)
+                            lines.append(body[1:] if body.startswith(" ") else body)
                         token = comments.get(s - 1) if s else None
             brace = code.find("{", m.end())
-            out.append((m[2], line_of(m.start()), m[1], "\n".join(lines).strip() or None, m.start(), closing.get(brace, len(text) - 1) + 1))
-        return out, bases
+            out.append((m[2], line_of(m.start()), m[1], "\n".join(reversed(lines)).strip() or None, m.start(), closing.get(brace, len(text) - 1) + 1))
+        return out, [], []
 
     pattern = JS_FUNC if fam == "js" else JAVA_METHOD
     docs: dict[int, str] = {}
-    documented_ones: list[re.Match] = []
+    matches: dict[int, re.Match] = {}
     for state, start, inner, end in tokens:
         if state == BLOCK and text.startswith("**", start + 1) and text[start : start + 5] != "/**/":
             at = end + 2
@@ -219,108 +264,173 @@ def extract(text: str, fam: str, everything: bool = True) -> tuple[list[tuple],
             m = pattern.match(code, at)
             if m:
                 docs[m.start()] = clean_doc(text[inner + 1 : end], True)
-                documented_ones.append(m)
+                matches[_name_of(m)[1]] = m
     spans = []
-    for m in BRACE_CLASS.finditer(code) if everything else ():
+    for m in BRACE_CLASS.finditer(code):
         spans.append((m.end() - 1, closing.get(m.end() - 1, len(code)), m[1]))
-        for i, b in enumerate(re.findall(r"[\w$]+(?=\s*(?:<|,|$))", re.sub(r"<[^<>]*>", "", f"{m[2] or ''},{m[3] or ''}"))):
-            bases.append((m[1], b, i))
-    seen: set[int] = set()
-    for m in [*documented_ones, *pattern.finditer(code)] if everything else documented_ones:
-        name, at = next(((v, m.start(k)) for k, v in m.groupdict().items() if k != "type" and v), (None, -1))
-        if at in seen:
-            continue
-        seen.add(at)
+        for i, b in enumerate(re.findall(r"[\w$.]+(?=\s*(?:<|,|$))", re.sub(r"<[^<>]*>", "", f"{m[2] or ''},{m[3] or ''}"))):
+            named.append((m[1], b, i))
+    for m in pattern.finditer(code):
+        matches.setdefault(_name_of(m)[1], m)
+    inside: list[tuple[int, int, str]] = []  # the classes around the place, the innermost last
+    waiting = 0
+    for m in sorted(matches.values(), key=lambda m: m.start()):
+        name = _name_of(m)[0]
+        while waiting < len(spans) and spans[waiting][0] < m.start():
+            while inside and inside[-1][1] <= spans[waiting][0]:
+                inside.pop()
+            inside.append(spans[waiting])
+            waiting += 1
+        while inside and inside[-1][1] <= m.start():
+            inside.pop()
         if not name or name in NO_NAMES or fam == "java" and m["type"] in NO_NAMES | {"class", "import", "package", "extends"}:
             continue
         brace = code.find("{", m.end() - 1)
-        owner = None
-        for s, e, n in spans:
-            if s < m.start() < e:
-                owner = n
-        out.append((name, line_of(m.start()), owner, docs.get(m.start()), m.start(), closing.get(brace, len(text) - 1) + 1))
-    return out, bases
+        out.append((name, line_of(m.start()), inside[-1][2] if inside else None, docs.get(m.start()), m.start(), closing.get(brace, len(text) - 1) + 1))
+    return out, with_stems(), [n for _, _, n in spans]
+
+
+def _name_of(m: re.Match) -> tuple[str | None, int]:
+    """Name of a declaration in braces languages, and where it stands; what is no declaration has none."""
+    return next(((v, m.start(k)) for k, v in m.groupdict().items() if k != "type" and v), (None, -1 - m.start()))
+
+
+def _docstring(text: str, at: int, strings: dict[int, tuple[int, int, int, int]]) -> str | None:
+    """The literal that is the first statement behind ``at``; comments and blank lines may stand before it."""
+    while True:
+        while at < len(text) and (text[at].isspace() or text[at] == "\\"):
+            at += 1
+        if at >= len(text) or text[at] != "#":
+            break
+        at = text.find("\n", at)
+        if at < 0:
+            return None
+    head = re.match(r"[rRuU]?(?=[\"'])", text[at : at + 2])
+    token = strings.get(at + head.end()) if head else None
+    if not token:
+        return None
+    after = token[3] + (3 if token[0] >= 5 else 1)
+    return clean_doc(text[token[2] : token[3]], False) if _STATEMENT_END.match(text, after) else None
 
 
-def _extracted(df: DataFrame, key: str, text: str, lang: str, path: str, repo: str, everything: bool) -> DataFrame:
-    """All functions: ``k, repo, fam, cls, name, line, doc, says, code`` and ``bases`` of the file on its first row."""
-    schema = "k long, repo string, fam string, cls string, name string, line int, doc string, says boolean, code string, bases array<struct<cls:string,base:string,ord:int>>"
+_STATEMENT_END = re.compile(r"[ \t]*(?:[;#\r\n]|\Z)")
+
+
+_BASE = "struct<cls:string,base:string,ord:int,stem:string>"
+
+
+def _extracted(df: DataFrame, key: str, text: str, lang: str, path: str, repo: str, with_code: bool) -> DataFrame:
+    """``k, repo, fam, stem, cls, name, line, doc, says, code`` of the functions that say something or may inherit it; ``bases`` and ``classes`` of a file on its first row."""
+    schema = f"k long, repo string, fam string, stem string, cls string, name string, line int, doc string, says boolean, code string, bases array<{_BASE}>, classes array<string>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base_type = pa.list_(pa.struct([("cls", pa.string()), ("base", pa.string()), ("ord", pa.int32())]))
+        base_type = pa.list_(pa.struct([("cls", pa.string()), ("base", pa.string()), ("ord", pa.int32()), ("stem", pa.string())]))
+        types = (pa.int64(), *[pa.string()] * 5, pa.int32(), pa.string(), pa.bool_(), pa.string(), base_type, pa.list_(pa.string()))
+        names = ["k", "repo", "fam", "stem", "cls", "name", "line", "doc", "says", "code", "bases", "classes"]
         for batch in batches:
             out: list[tuple] = []
             for k, body, language, place, home in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not body:
                     continue
                 fam = family(language, place, body)
-                functions, bases = extract(body, fam, everything)
-                named = [{"cls": c, "base": b, "ord": i} for c, b, i in bases]
-                for i, (name, line, cls, doc, start, end) in enumerate(functions):
-                    out.append((k, home, fam, cls, name, line, doc, says_something(doc, name), body[start:end] if everything else None, named if i == 0 else None))
-                if named and not functions:
-                    out.append((k, home, fam, None, None, None, None, False, None, named))
-            columns = list(zip(*out, strict=True)) or [()] * 10
-            types = (pa.int64(), *[pa.string()] * 4, pa.int32(), pa.string(), pa.bool_(), pa.string(), base_type)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                ["k", "repo", "fam", "cls", "name", "line", "doc", "says", "code", "bases"],
-            )
+                functions, bases, classes = extract(body, fam)
+                rows, deriving = [], {b[0] for b in bases}
+                for name, line, cls, doc, start, end in functions:
+                    if (says := says_something(doc, name)) or cls in deriving:
+                        rows.append((cls, name, line, doc if says else None, says, body[start:end].rstrip() if with_code else None))
+                if classes and not rows:
+                    rows.append((None, None, None, None, False, None))
+                for i, row in enumerate(rows):
+                    links = [{"cls": c, "base": b, "ord": n, "stem": s} for c, b, n, s in bases]
+                    out.append((k, home, fam, stem_of(place), *row, *((links or None, classes or None) if i == 0 else (None, None))))
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     rows = df.select(F.col(key).cast("long").alias("k"), *(F.col(c).cast("string").alias(n) for c, n in ((text, "t"), (lang, "l"), (path, "p"), (repo, "r"))))
     return rows.mapInArrow(scan, schema)
 
 
-def documented(df: DataFrame, key: str = "review_id", text: str = "content", lang: str = "lang", path: str = "path", repo: str = "repo") -> DataFrame:
-    """One row per function whose own documentation says something: ``key``, ``func_name``, ``func_line``, ``doc``.
+def _hierarchy(rows: DataFrame) -> DataFrame:
+    """``ak, acls, ord, tk, tcls``: each class and its bases, as keys of the file that defines them.
 
-    Null and empty texts give no rows, a null language is told from path or text, files that do not parse are read as
-    far as their brackets and quotes allow. Rows delivered twice give one row each function.
+    A base is looked for in its own file, then in the files of the repository by whose name it is imported, then
+    anywhere in the repository; of several the least key. Each step joins one row a name, so that a name that very many
+    classes have makes no pairs.
     """
-    found = _extracted(df, key, text, lang, path, repo, False).where("says").select("k", "name", "line", "doc")
-    return found.dropDuplicates(["k", "name", "line"]).select(
-        F.col("k").alias(key), F.col("name").alias("func_name"), F.col("line").alias("func_line"), "doc"
-    )
+    home = rows.where("classes is not null").select("k", "repo", "fam", "stem", F.explode("classes").alias("base")).distinct()
+    links = (
+        rows.where("bases is not null").select("k", "repo", "fam", F.explode("bases").alias("b")).where("b.cls <> b.base or b.stem is not null")
+        .groupBy("k", "repo", "fam", "b.cls", "b.base").agg(F.min(F.struct("b.ord", "b.stem")).alias("x"))
+        .select("k", "repo", "fam", "cls", "base", "x.ord", "x.stem")
+    )
+    here = home.select("k", "base", F.col("k").alias("k1")).distinct()
+    imported = home.where("stem is not null").groupBy("repo", "fam", "stem", "base").agg(F.min("k").alias("k2"))
+    anywhere = home.groupBy("repo", "fam", "base").agg(F.min("k").alias("k3"))
+    found = links.join(here, ["k", "base"], "left").join(imported, ["repo", "fam", "stem", "base"], "left").join(anywhere, ["repo", "fam", "base"], "left")
+    target = F.when(F.col("cls") != F.col("base"), F.coalesce("k1", "k2", "k3")).otherwise(F.col("k2"))
+    return found.select(F.col("k").alias("ak"), F.col("cls").alias("acls"), "ord", target.alias("tk"), F.col("base").alias("tcls")).where("tk is not null")
+
+
+def _inherited(rows: DataFrame) -> DataFrame:
+    """``k, name, line, dk, dcls``: which class documents each method that lacks documentation of its own."""
+    links = cut_lineage(_hierarchy(rows))
+    donors = cut_lineage(rows.where("says and cls is not null").select(F.col("k").alias("ak"), F.col("cls").alias("acls"), "name").distinct().withColumn("there", F.lit(True)))
+    front = rows.where("not says and cls is not null and name is not null").select("k", "name", "line", F.col("k").alias("ak"), F.col("cls").alias("acls")).distinct()
+    front = front.withColumn("way", F.array().cast("array<int>"))
+    place = ["k", "name", "line", "ak", "acls"]
+    met = found = None
+    depth = 0
+    while True:
+        climbed = (
+            front.join(links, ["ak", "acls"]).select("k", "name", "line", F.col("tk").alias("ak"), F.col("tcls").alias("acls"), F.concat("way", F.array("ord")).alias("way"))
+            .groupBy(*place).agg(F.min("way").alias("way"))
+        )
+        if met is not None:
+            climbed = climbed.join(met, place, "left_anti")
+        climbed = cut_lineage(climbed.join(donors, ["ak", "acls", "name"], "left"))
+        level = climbed.where("there").groupBy("k", "name", "line").agg(F.min_by(F.struct("ak", "acls"), "way").alias("d")).select("k", "name", "line", "d.ak", "d.acls")
+        found = level if found is None else found.unionByName(level)
+        front = climbed.where("there is null").join(level, ["k", "name", "line"], "left_anti").drop("there")
+        if climbed.where("there is null").isEmpty():
+            return found.withColumnsRenamed({"ak": "dk", "acls": "dcls"})
+        depth += 1
+        here = climbed.select(*place)
+        met = here if met is None else met.unionByName(here)
+        if depth % 16 == 0:
+            met, found = cut_lineage(met), cut_lineage(found)
+
+
+def documented(df: DataFrame, key: str = "review_id", text: str = "content", lang: str = "lang", path: str = "path", repo: str = "repo") -> DataFrame:
+    """The pairs whose documentation is the function's own: ``key``, ``func_name``, ``func_line``, ``doc``."""
+    return function_pairs(df, key, text, lang, path, repo, with_code=False).where("doc_source = 'own'").select(key, "func_name", "func_line", "doc")
 
 
 def function_pairs(
-    df: DataFrame, key: str = "review_id", text: str = "content", lang: str = "lang", path: str = "path", repo: str = "repo", rounds: int = 16
+    df: DataFrame, key: str = "review_id", text: str = "content", lang: str = "lang", path: str = "path", repo: str = "repo", with_code: bool = True
 ) -> DataFrame:
     """One row per function with documentation of its own or inherited: ``key``, ``func_name``, ``func_line``,
-    ``class_name``, ``doc``, ``doc_source`` (``own`` or ``inherited``), ``code``.
+    ``class_name``, ``doc``, ``doc_source`` (``own`` or ``inherited``), ``code`` (null unless ``with_code``).
+
+    Inherited documentation is that of the nearest base class whose method of the same name says something; among bases
+    of one class the first named wins. Bases are found by file, import and repository (``_hierarchy``). Each round climbs
+    one level for all open methods at once, until none is left; classes that were met before are not climbed again, so
+    that circular bases end. Functions that stay without documentation are dropped.
 
-    Inherited documentation is that of the nearest base class of the same repository and language whose method of the
-    same name says something; among bases of one class the first named wins, among classes of one name the least key.
-    Each round climbs one level for all open methods at once; ``rounds`` bounds the height, so that circular bases end.
-    Functions that stay without documentation are dropped.
+    Null and empty texts give no rows, a null language is told from path or text, files that do not parse are read as
+    far as their brackets and quotes allow, a null repository is one of its own. Rows delivered twice give one row each
+    function. The files are parsed once and written to the shared folder; the rounds move keys and names only,
+    documentation and code are joined at the end.
     """
-    all_rows = cut_lineage(_extracted(df, key, text, lang, path, repo, True).withColumn("repo", F.coalesce("repo", F.lit(""))))
-    functions = all_rows.where("name is not null").drop("bases").dropDuplicates(["k", "name", "line"])
-    own = functions.where("says").select("k", "name", "line", "cls", "doc", F.lit("own").alias("source"), "code")
-    donors = (
-        functions.where("says and cls is not null").groupBy("repo", "fam", "cls", "name").agg(F.min_by("doc", F.struct("k", "line")).alias("doc"))
-    )
-    bases = (
-        all_rows.where("bases is not null").select("k", "repo", "fam", F.explode("bases").alias("b")).where("b.cls <> b.base")
-        .groupBy("repo", "fam", F.col("b.cls").alias("cls"), F.col("b.base").alias("base"))
-        .agg(F.min(F.struct("b.ord", "k")).alias("rank"))
-        .select("repo", "fam", "cls", "base", F.col("rank.ord").alias("ord"))
+    rows = written(_extracted(df, key, text, lang, path, repo, with_code).withColumn("repo", F.coalesce("repo", F.lit(""))))
+    found = _inherited(rows)
+    functions = rows.where("name is not null")
+    own = functions.where("says").select("k", "name", "line", "cls", "doc", F.lit("own").alias("source"), "code").dropDuplicates(["k", "name", "line"])
+    docs = functions.where("says and cls is not null").groupBy(F.col("k").alias("dk"), F.col("cls").alias("dcls"), "name").agg(F.min_by("doc", "line").alias("doc"))
+    inherited = (
+        functions.where("not says").select("k", "name", "line", "cls", "code").dropDuplicates(["k", "name", "line"])
+        .join(found, ["k", "name", "line"]).join(docs, ["dk", "dcls", "name"])
+        .select("k", "name", "line", "cls", "doc", F.lit("inherited").alias("source"), "code")
     )
-    open_rows = functions.where("not says and cls is not null").select("k", "repo", "fam", "name", "line", F.col("cls").alias("at"), F.array().cast("array<int>").alias("way"))
-    found = None
-    for _ in range(rounds):
-        climbed = cut_lineage(
-            open_rows.join(bases.withColumnRenamed("cls", "at"), ["repo", "fam", "at"])
-            .select("k", "repo", "fam", "name", "line", F.col("base").alias("at"), F.concat("way", F.array("ord")).alias("way"))
-            .join(donors.withColumnRenamed("cls", "at"), ["repo", "fam", "at", "name"], "left")
-        )
-        level = climbed.where("doc is not null").groupBy("k", "name", "line").agg(F.min_by("doc", "way").alias("doc"))
-        found = level if found is None else found.unionByName(level)
-        done = level.select("k", "name", "line")
-        open_rows = climbed.where("doc is null").drop("doc").join(done, ["k", "name", "line"], "left_anti")
-        if climbed.where("doc is null").isEmpty():
-            break
-    inherited = functions.drop("doc").join(found, ["k", "name", "line"]).select("k", "name", "line", "cls", "doc", F.lit("inherited").alias("source"), "code")
     return own.unionByName(inherited).select(
         F.col("k").alias(key), F.col("name").alias("func_name"), F.col("line").alias("func_line"), F.col("cls").alias("class_name"),
         "doc", F.col("source").alias("doc_source"), "code",

@@ -204,7 +204,44 @@ def test_documented_functions(spark):
 
 def test_circular_bases_end(spark):
     text = "class A(B):\n    def f(self):\n        pass\n\nclass B(A):\n    def f(self):\n        pass\n"
-    assert function_docs.function_pairs(reviews(spark, [(1, "a.py", None, text, None, None)]), rounds=5).count() == 0
+    assert function_docs.function_pairs(reviews(spark, [(1, "a.py", None, text, None, None)])).count() == 0
+
+
+def test_documentation_is_inherited_over_any_height(spark, monkeypatch):
+    monkeypatch.setattr(function_docs, "cut_lineage", lambda df: spark.createDataFrame(df.toArrow()))
+    text = 'class C0:\n    def f(self):\n        """Runs the whole job until it ends."""\n'
+    text += "".join(f"\nclass C{i}(C{i - 1}):\n    def f(self):\n        pass\n" for i in range(1, 21))
+    pairs = function_docs.function_pairs(reviews(spark, [(1, "a.py", None, text, None, None)])).collect()
+    assert len(pairs) == 21 and sum(r.doc_source == "inherited" for r in pairs) == 20
+    assert all(r.code.startswith("    def f") for r in pairs)
+
+
+def test_bases_are_found_by_file_and_import(spark):
+    base = 'class Base:\n    def f(self):\n        """{} runs until all the work ends."""\n'
+    child = "{}class Child(Base):\n    def f(self):\n        pass\n"
+    rows = [
+        (1, "x/one.py", base.format("One")), (2, "x/two.py", base.format("Two")), (3, "x/c.py", child.format("from x.two import Base\n")), (4, "x/d.py", child.format("from x.one import (\n    Base,\n)\n")),
+        (5, "x/e.py", child.format("")), (6, "x/f.py", base.format("Six") + child.format("")), (7, "x/g.py", child.format("import x.two as t\n").replace("(Base)", "(t.Base)")),
+        (8, "j/base.js", "class Base {\n  /** Base of all runs in here. */\n  run(a) {\n  }\n}\n"), (9, "j/k.js", "import {Base as B} from './base.js';\nclass K extends B {\n  run(a) {\n    return 1;\n  }\n}\n"),
+    ]
+    df = reviews(spark, [(i, path, None, text, None, None) for i, path, text in rows])
+    got = {r.review_id: r.doc.split()[0] for r in function_docs.function_pairs(df).where("doc_source = 'inherited'").collect()}
+    assert got == {3: "Two", 4: "One", 5: "One", 6: "Six", 7: "Two", 9: "Base"}
+
+
+def test_long_signatures_and_many_functions():
+    import time
+
+    long = "def f(a=(" + "1, " * 20000 + "), b=2):\n    'Runs the whole job until it ends.'\n"
+    assert function_docs.extract(long, "py")[0][0][3] == "Runs the whole job until it ends."
+    began = time.time()
+    py = "class A:\n" + "".join(f"    def m{i}(self):\n        if a:\n            return {i}\n\n" for i in range(20000))
+    js = "".join(f"class A{i} {{\n  m{i}(a) {{\n  }}\n}}\n" for i in range(5000))
+    functions = function_docs.extract(py, "py")[0]
+    assert len(functions) == 20000 and {f[2] for f in functions} == {"A"} and py[functions[3][4] : functions[3][5]].rstrip().endswith("return 3")
+    assert [f[2] for f in function_docs.extract(js, "js")[0]] == [f"A{i}" for i in range(5000)]
+    function_docs.extract("def broken(\n" * 5000, "py")
+    assert time.time() - began < 6
 
 
 # ---- problem 5 ----
