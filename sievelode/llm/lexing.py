@@ -27,15 +27,15 @@ _BODY = {DOUBLE: re.compile(r"(?:[^\"\\\n]+|\\[\s\S])*"), SINGLE: re.compile(r"(
 _END = {TRIPLE_DOUBLE: re.compile(r"\\[\s\S]|\"\"\""), TRIPLE_SINGLE: re.compile(r"\\[\s\S]|'''"), BACKTICK: re.compile(r"\\[\s\S]|`")}
 
 
-def lex(text: str, fam: str, state: int = CODE) -> tuple[list[tuple[int, int, int, int]], int]:
+def lex(text: str, fam: str, state: int = CODE, at: int = 0) -> tuple[list[tuple[int, int, int, int]], int]:
     """``(tokens, end state)``: a token is ``(state, start, inner start, inner end)``; the end mark is not included.
 
     A token that the text's end cuts off reaches to the end, and its state is the end state. An unclosed one-line
-    string ends with its line.
+    string ends with its line. What stands before ``at`` is only looked back upon.
     """
     out: list[tuple[int, int, int, int]] = []
-    find, n, at = _OPEN[fam].search, len(text), 0
-    start = inner = 0
+    find, n = _OPEN[fam].search, len(text)
+    start = inner = at
     while True:
         if state == CODE:
             m = find(text, at)
@@ -96,13 +96,28 @@ def masked(text: str, tokens: list[tuple[int, int, int, int]]) -> str:
     return "".join(out)
 
 
-def safe_cuts(text: str, size: int) -> list[int]:
-    """Offsets at which the text may be cut into chunks of about ``size``: no mark of the lexer touches a cut."""
+def cuts_of(text: str, size: int, fam: str) -> list[int]:
+    """Offsets at which the text may be cut into chunks of about ``size``: behind a line break, or, in very long lines,
+    between two plain characters. Lines of a language with pattern literals stay whole, since such a literal is one line
+    whose end tells what its begin is.
+    """
     cuts, at = [], size
     while at < len(text):
-        while at < len(text) and (text[at] in PLAIN_SETS or text[at - 1] in PLAIN_SETS or text[at - 1].isspace()):
-            at += 1
-        if at < len(text):
-            cuts.append(at)
-        at += size
+        cut = text.find("\n", at, len(text) if fam == "js" else at + size) + 1
+        if not cut and fam != "js":
+            cut = at
+            while cut < len(text) and (text[cut] in PLAIN_SETS or text[cut - 1] in PLAIN_SETS or text[cut].isspace() or text[cut - 1].isspace()):
+                cut += 1
+        if not cut or cut >= len(text):
+            break
+        cuts.append(cut)
+        at = cut + size
     return cuts
+
+
+def context_of(text: str, cut: int) -> str:
+    """What a chunk that begins at ``cut`` looks back upon: the last character that is no blank, and a line break."""
+    at = cut
+    while at and text[at - 1].isspace():
+        at -= 1
+    return text[max(0, at - 1) : at] + ("\n" if cut and text[cut - 1] == "\n" else "")

@@ -2,7 +2,8 @@
 
 Method: the lexer's state-transition function of every chunk of a file is computed on its own, the functions are
 composed in chunk order (each prefix gives the start state of the next chunk), so that huge files are split safely.
-The spans found are labelled by multinomial logistic regression on hashed n-grams, trained on labelled documents.
+The spans found are labelled by multinomial logistic regression on hashed n-grams, trained on labelled documents; a
+phrase that no language claims clearly is none.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from sievelode.llm.lexing import BACKTICK, CODE, LINE, STATES, family, lex, safe_cuts
+from sievelode.llm.lexing import BACKTICK, CODE, LINE, STATES, context_of, cuts_of, family, lex
 
 #: Letters of scripts that are written without spaces between words.
 DENSE = r"぀-ヿ㐀-䶿一-鿿豈-﫿"
@@ -74,24 +76,36 @@ def is_phrase(line: str, words: list[str]) -> bool:
     return len(_CODE_MARKS.findall(line)) * 4 <= plain + 3
 
 
-def phrases_of(text: str, tokens: list[tuple[int, int, int, int]], fam: str) -> Iterator[tuple[str, list[str], int]]:
+Span = tuple[int, str, bool, int]
+
+
+def spans_of(text: str, tokens: list[tuple[int, int, int, int]], at: int = 0) -> list[Span]:
+    """``(state, text, whether only blanks part it from the one before, line breaks there)`` of each comment and literal from ``at`` on."""
+    out: list[Span] = []
+    for state, start, inner, end in tokens:
+        gap = text[at:start]
+        out.append((state, text[inner:end], not gap.strip(), gap.count("\n")))
+        at = end
+    return out
+
+
+def phrases_of(spans: list[Span], fam: str) -> Iterator[tuple[str, list[str], int]]:
     """``(line, words, characters in the file)`` of each phrase in the comments and literals.
 
     Line comments on neighbouring lines are one comment. A line that breaks off is read together with the next.
     """
-    block: list[tuple[int, int, int, int]] = []
-    groups: list[list[tuple[int, int, int, int]]] = []
-    for t in tokens:
-        if t[0] == LINE and block and block[-1][0] == LINE and text[block[-1][3] : t[1]].strip() == "" and text.count("\n", block[-1][3], t[1]) == 1:
-            block.append(t)
+    groups: list[tuple[int, list[str]]] = []
+    before = CODE
+    for state, body, blank, breaks in spans:
+        if state == before == LINE and blank and breaks == 1:
+            groups[-1][1].append(body)
         else:
-            block = [t]
-            groups.append(block)
-    for group in groups:
-        state = group[0][0]
-        if group[-1][3] - group[0][2] < 8:
+            groups.append((state, [body]))
+        before = state
+    for state, bodies in groups:
+        body = "\n".join(bodies)
+        if len(body) < 8:
             continue
-        body = "\n".join(text[t[2] : t[3]] for t in group)
         if state > 2 and "\\" in body and not (fam == "go" and state == BACKTICK):
             body = _unescape(body)
         held, held_words = "", []
@@ -122,15 +136,18 @@ def phrases_of(text: str, tokens: list[tuple[int, int, int, int]], fam: str) ->
 
 
 class LanguageModel:
-    """Multinomial logistic regression over hashed n-grams (one to four letters, with word ends)."""
+    """Multinomial logistic regression over hashed n-grams (one to four letters with word ends, and whole words).
+
+    ``margin`` is the lead over the second language that a phrase must have; with less it is no language.
+    """
 
-    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray) -> None:
-        self.languages, self.weights, self.bias = languages, weights, bias
+    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, margin: float = 0.0) -> None:
+        self.languages, self.weights, self.bias, self.margin = languages, weights, bias, margin
         self._ids: dict[str, int] = {}
         self._rows: list[np.ndarray] = []
 
     def __getstate__(self):
-        return self.languages, self.weights, self.bias
+        return self.languages, self.weights, self.bias, self.margin
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -139,7 +156,7 @@ class LanguageModel:
     def grams(word: str, dims: int) -> list[int]:
         w = f"<{word.lower()}>"
         n = len(w)
-        return [zlib.crc32(w[i : i + k].encode()) % dims for k in (1, 2, 3, 4) for i in range(n - k + 1)]
+        return [zlib.crc32(w[i : i + k].encode()) % dims for k in (1, 2, 3, 4) for i in range(n - k + 1)] + [zlib.crc32(f"={w}".encode()) % dims]
 
     def _vector(self, word: str) -> int:
         at = self._ids.get(word)
@@ -148,17 +165,25 @@ class LanguageModel:
             self._rows.append(self.weights[self.grams(word, len(self.weights))].sum(axis=0))
         return at
 
-    def label(self, phrases: list[list[str]]) -> list[str]:
-        """The likeliest language of each list of words."""
-        if not phrases:
-            return []
-        if len(self._ids) > 200_000:
+    def scores(self, phrases: list[list[str]]) -> np.ndarray:
+        """Scores of each list of words by language: the mean over its words."""
+        if len(self._ids) > 200_000:  # words seen so far; emptied to bound the memory
             self._ids.clear()
             self._rows.clear()
         ids = [self._vector(w) for words in phrases for w in words]
         starts = np.cumsum([0, *(len(w) for w in phrases[:-1])])
-        scores = np.add.reduceat(np.stack(self._rows)[ids], starts, axis=0) / np.array([[len(w)] for w in phrases]) + self.bias
-        return [self.languages[i] for i in scores.argmax(axis=1)]
+        return np.add.reduceat(np.stack(self._rows)[ids], starts, axis=0) / np.array([[len(w)] for w in phrases]) + self.bias
+
+    def label(self, phrases: list[list[str]]) -> list[str | None]:
+        """The likeliest language of each list of words; None where its lead is too small."""
+        if not phrases:
+            return []
+        scores = self.scores(phrases)
+        best = scores.argmax(axis=1)
+        if len(self.languages) < 2:
+            return [self.languages[i] for i in best]
+        two = np.partition(scores, -2, axis=1)
+        return [self.languages[i] if lead >= self.margin else None for i, lead in zip(best, two[:, -1] - two[:, -2], strict=True)]
 
 
 def _script(words: list[str]) -> str:
@@ -170,49 +195,58 @@ def _script(words: list[str]) -> str:
     return max(set(names), key=names.count)
 
 
-def fit_languages(samples: list[tuple[str, list[str]]], dims: int = 1 << 14, steps: int = 40, penalty: float = 1e-5) -> LanguageModel:
-    """The model of labelled word lists, fitted by full-batch gradient steps; labels that the fit contradicts are then dropped once."""
+def fit_languages(samples: list[tuple[str, list[str]]], dims: int = 1 << 16, steps: int = 40, penalty: float = 1e-4, part: float = 0.2) -> LanguageModel:
+    """The model of labelled word lists, fitted by full-batch gradient steps; labels that the fit contradicts are then dropped once.
+
+    Words of a single sample (names, mostly) are left out of the fit. The margin is ``part`` of the median lead of the samples.
+    """
+    seen = Counter(w for _, words in samples for w in set(words))
+    samples = [(l, [w for w in words if seen[w] > 1] or words) for l, words in samples]
     languages = sorted({s[0] for s in samples})
     label = np.array([languages.index(s[0]) for s in samples])
     vocabulary: dict[str, int] = {}
-    ids = [[vocabulary.setdefault(w, len(vocabulary)) for w in s[1]] for s in samples]
-    flat = np.array([i for x in ids for i in x])
-    sizes = np.array([len(x) for x in ids])
+    flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for _, words in samples for w in words])
+    sizes = np.array([len(words) for _, words in samples])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    of = np.repeat(np.arange(len(ids)), sizes)
     grams = [LanguageModel.grams(w, dims) for w in vocabulary]
-    gram_flat = np.array([g for x in grams for g in x])
-    gram_sizes = np.array([len(x) for x in grams])
-    gram_starts = np.concatenate([[0], np.cumsum(gram_sizes)[:-1]])
-    gram_of = np.repeat(np.arange(len(grams)), gram_sizes)
-    k = len(languages)
+    used, gram = np.unique(np.array([g for x in grams for g in x]), return_inverse=True)
+    counts_of = np.array([len(x) for x in grams])
+    gram_starts = np.concatenate([[0], np.cumsum(counts_of)[:-1]])
+    # Sums run over sorted keys: from samples to words, and from words to grams.
+    by_word = np.argsort(flat, kind="stable")
+    word_starts, sample_of = np.searchsorted(flat[by_word], np.arange(len(vocabulary))), np.repeat(np.arange(len(samples)), sizes)[by_word]
+    by_gram = np.argsort(gram, kind="stable")
+    use_starts, word_of = np.searchsorted(gram[by_gram], np.arange(len(used))), np.repeat(np.arange(len(grams)), counts_of)[by_gram]
+    k, single = len(languages), np.float32
     keep = np.ones(len(samples), dtype=bool)
-    weights, bias = np.zeros((dims, k)), np.zeros(k)
+    width = sizes[:, None].astype(single)
     for cleaning in (False, True):  # the second fit drops samples whose label the first contradicts
-        weights[:], bias[:] = 0, 0
-        first, second = np.zeros((dims, k)), np.zeros((dims, k))
         if cleaning:
             keep = scores.argmax(axis=1) == label  # noqa: F821
+        weights, bias = np.zeros((len(used), k), single), np.zeros(k, single)
+        first, second = np.zeros_like(weights), np.zeros_like(weights)
         counts = np.bincount(label[keep], minlength=k)
-        importance = np.where(keep, 1.0 / np.maximum(counts, 1)[label] / k, 0.0)
+        importance = np.where(keep, 1.0 / np.maximum(counts, 1)[label] / k, 0.0).astype(single)[:, None]
         for step in range(1, steps + 1):
-            per_word = np.add.reduceat(weights[gram_flat], gram_starts, axis=0)
-            scores = np.add.reduceat(per_word[flat], starts, axis=0) / sizes[:, None] + bias
+            per_word = np.add.reduceat(weights[gram], gram_starts, axis=0)
+            scores = np.add.reduceat(per_word[flat], starts, axis=0) / width + bias
             e = np.exp(scores - scores.max(axis=1, keepdims=True))
             error = e / e.sum(axis=1, keepdims=True)
             error[np.arange(len(label)), label] -= 1
-            error *= importance[:, None]
-            spread = (error / sizes[:, None])[of]
-            word_grad = np.stack([np.bincount(flat, spread[:, j], len(grams)) for j in range(k)], axis=1)
-            grad = np.stack([np.bincount(gram_flat, word_grad[gram_of, j], dims) for j in range(k)], axis=1) + penalty * weights
-            first = 0.9 * first + 0.1 * grad
-            second = 0.99 * second + 0.01 * grad * grad
-            weights -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-            bias -= 0.5 * error.sum(axis=0)
-    return LanguageModel(languages, weights.astype(np.float32), bias.astype(np.float32))
-
-
-def train_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 80) -> LanguageModel:
+            error *= importance
+            word_grad = np.add.reduceat((error / width)[sample_of], word_starts, axis=0)
+            grad = np.add.reduceat(word_grad[word_of], use_starts, axis=0) + single(penalty) * weights
+            first = single(0.9) * first + single(0.1) * grad
+            second = single(0.99) * second + single(0.01) * grad * grad
+            weights -= single(0.1 / (1 - 0.9**step)) * first / (np.sqrt(second / single(1 - 0.99**step)) + single(1e-8))
+            bias -= single(0.5) * error.sum(axis=0)
+    two = np.partition(scores, -2, axis=1) if k > 1 else np.zeros((1, 2))
+    spread = np.zeros((dims, k), single)
+    spread[used] = weights
+    return LanguageModel(languages, spread, bias, part * float(np.median(two[:, -1] - two[:, -2])))
+
+
+def train_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 200) -> LanguageModel:
     """A model fitted on at most ``per_language`` labelled rows of each language (a documented bound of the sample).
 
     Labels are cut to their first two letters in lower case; labels with fewer rows than a twentieth of the bound and
@@ -256,104 +290,144 @@ def train_languages(labelled: DataFrame, text: str = "text", lang: str = "lang",
 # ---- the operator ----
 
 
-def _cuts(text: str, chunk: int) -> list[int]:
-    """Where a text is cut: behind the next line break, or, in very long lines, between two plain characters."""
-    out, at = [], chunk
-    while at < len(text):
-        cut = text.find("\n", at, at + chunk) + 1
-        if not cut:
-            inside = safe_cuts(text[at - chunk :], chunk)
-            cut = at - chunk + inside[0] if inside else len(text)
-        if cut < len(text):
-            out.append(cut)
-        at = cut + chunk
-    return out
+_FOUND = "k long, nl string, phrases long, nl_chars long, chars long"
+_PIECES = "id string, k long, part int, fam string, head string, piece string, chars long"
+_SPANS = "id string, k long, part int, fam string, chars long, opened boolean, states array<int>, bodies array<string>, blanks array<boolean>, breaks array<int>, tail_blank boolean, tail_breaks int"
+
+
+def _as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of each file, each with what its lexer looks back upon."""
+    schema = pa.schema([("id", pa.string()), ("k", pa.int64()), ("part", pa.int32()), ("fam", pa.string()), ("head", pa.string()), ("piece", pa.string()), ("chars", pa.int64())])
+    for batch in batches:
+        for id_, k, body, language, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            fam = family(language, place, body)
+            edges = [0, *cuts_of(body, chunk, fam), len(body)]
+            yield _as_batch([(id_, k, i, fam, context_of(body, a), body[a:b], len(body)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))], schema)
+
+
+def _lex_piece(head: str, piece: str, fam: str, state: int) -> tuple[str, list[tuple[int, int, int, int]], int, int]:
+    """Text, tokens, offset of the piece in the text, and end state of a chunk that starts in ``state``."""
+    if state != CODE:
+        return piece, *lex(piece, fam, state), 0
+    text = head + piece
+    tokens, end = lex(text, fam, CODE, min(1, len(head)))
+    return text, tokens, end, len(head)
+
+
+def _functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``ends``: the state function of each chunk, as the end state for every start state."""
+    for batch in batches:
+        columns = (batch.column(i).to_pylist() for i in (3, 4, 5))
+        ends = [[_lex_piece(head, piece, fam, s)[2] for s in range(STATES)] for fam, head, piece in zip(*columns, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.list_(pa.int32()))], [*batch.schema.names, "ends"])
+
+
+def _piece_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The comments and literals of each chunk, now that its start state is known."""
+    lists = (("states", pa.int32()), ("bodies", pa.string()), ("blanks", pa.bool_()), ("breaks", pa.int32()))
+    schema = pa.schema([
+        ("id", pa.string()), ("k", pa.int64()), ("part", pa.int32()), ("fam", pa.string()), ("chars", pa.int64()), ("opened", pa.bool_()),
+        *((n, pa.list_(t)) for n, t in lists), ("tail_blank", pa.bool_()), ("tail_breaks", pa.int32()),
+    ])
+    for batch in batches:
+        rows = []
+        for id_, k, part, fam, head, piece, chars, state in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            text, tokens, _, at = _lex_piece(head, piece, fam, state)
+            spans = spans_of(text, tokens, at)
+            tail = text[tokens[-1][3] if tokens else at :]
+            rows.append((id_, k, part, fam, chars, state != CODE, *([s[i] for s in spans] for i in range(4)), not tail.strip(), tail.count("\n")))
+        yield _as_batch(rows, schema)
+
+
+def _rejoined(rows: list[dict]) -> list[Span]:
+    """The spans of a file from those of its chunks in order: what a cut parted is one again."""
+    spans: list[list] = []
+    blank, breaks = True, 0
+    for row in rows:
+        new = [list(s) for s in zip(row["states"], row["bodies"], row["blanks"], row["breaks"], strict=True)]
+        if row["opened"] and new and spans:
+            spans[-1][1] += new.pop(0)[1]
+            blank, breaks = True, 0
+        if new:
+            new[0][2], new[0][3] = new[0][2] and blank, new[0][3] + breaks
+            spans += new
+        if row["states"]:
+            blank, breaks = row["tail_blank"], row["tail_breaks"]
+        else:
+            blank, breaks = blank and row["tail_blank"], breaks + row["tail_breaks"]
+    return [tuple(s) for s in spans]
 
 
 def languages_in(
-    df: DataFrame, model: LanguageModel, key: str = "review_id", text: str = "content", lang: str = "lang", path: str = "path", chunk: int = 1 << 18
+    df: DataFrame, model: LanguageModel, key: str = "review_id", text: str = "content", lang: str = "lang", path: str = "path", chunk: int = 1 << 14
 ) -> DataFrame:
     """One row per key and language: ``key``, ``nl_lang``, ``n_phrases``, ``nl_chars``, ``n_chars``, ``share``.
 
     A language counts if a comment, docstring or literal holds a phrase of at least five words (eight characters in
-    Chinese or Japanese). Null and empty texts give no rows; files of a null language are told by path or text. Files
-    longer than ``chunk`` are cut, lexed apart from every start state, and their state functions composed in order.
-    Rows delivered twice under one key count once (the longest text is taken).
+    Chinese or Japanese) that the model gives to it by a clear lead. Null and empty texts give no rows; files of a null
+    language are told by path or text.
+
+    A file of one chunk is lexed where it is read. Longer files are cut into chunks of about ``chunk`` characters that
+    are lexed apart from every start state; the state functions are composed in order, the chunks lexed from the states
+    they truly start in, and the comments and literals of a file brought together again, so that the result is the same
+    for every ``chunk``. Rows of one key (null being a key too) count as one: deliveries of equal texts once, of
+    different texts by the greatest count of each language.
     """
     session = df.sparkSession
     shared = session.sparkContext.broadcast(model)
     rows = df.select(F.col(key).cast("long").alias("k"), *(F.col(c).cast("string").alias(n) for c, n in ((text, "t"), (lang, "l"), (path, "p"))))
-    found_schema = "k long, nl string, phrases long, nl_chars long, chars long"
+    schema = pa.schema([("k", pa.int64()), ("nl", pa.string()), *((n, pa.int64()) for n in ("phrases", "nl_chars", "chars"))])
 
-    def tell(found: list[tuple]) -> list[tuple]:
-        """Labels the phrases of a batch and sums them by row and language."""
+    def tell(keys: list, found: list[tuple]) -> pa.RecordBatch:
+        """Labels the phrases ``(row, words, characters, file's characters)`` and sums them by row and language."""
         labels = shared.value.label([w for _, w, _, _ in found])
         sums: dict[tuple, list] = {}
         for (row, _, n, chars), l in zip(found, labels, strict=True):
-            s = sums.setdefault((row, l), [0, 0, chars])
-            s[0] += 1
-            s[1] += n
-        return [(row, l, *s) for (row, l), s in sums.items()]
-
-    def batch_of(keys: list, out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays(
-            [pa.array([keys[i] for i in columns[0]], pa.int64()), pa.array(columns[1], pa.string()), *(pa.array(c, pa.int64()) for c in columns[2:])],
-            ["k", "nl", "phrases", "nl_chars", "chars"],
-        )
+            if l is not None:
+                s = sums.setdefault((row, l), [0, 0, chars])
+                s[0] += 1
+                s[1] += n
+        return _as_batch([(keys[row], l, *s) for (row, l), s in sums.items()], schema)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found = batch.column(0).to_pylist(), []
+            found = []
             for i, (body, language, place) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
                 fam = family(language, place, body)
-                tokens, _ = lex(body, fam)
-                found += [(i, w, n, len(body)) for _, w, n in phrases_of(body, tokens, fam)]
-            yield batch_of(keys, tell(found))
+                found += [(i, w, n, len(body)) for _, w, n in phrases_of(spans_of(body, lex(body, fam)[0]), fam)]
+            yield tell(batch.column(0).to_pylist(), found)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, body, language, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fam = family(language, place, body)
-                edges = [0, *_cuts(body, chunk), len(body)]
-                for part, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    yield pa.RecordBatch.from_pydict(
-                        {"k": [k], "part": pa.array([part], pa.int32()), "fam": [fam], "piece": [body[a:b]], "chars": [len(body)]}
-                    )
+    def of_file(table: pa.Table) -> pa.Table:
+        parts = sorted(table.to_pylist(), key=lambda r: r["part"])
+        one = parts[0]
+        found = [(0, w, n, one["chars"]) for _, w, n in phrases_of(_rejoined(parts), one["fam"])]
+        return pa.Table.from_batches([tell([one["k"]], found)], schema)
 
-    def functions_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = [[lex(piece, fam, s)[1] for s in range(STATES)] for fam, piece in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.list_(pa.int32()))], ["k", "part", "fam", "piece", "chars", "ends"])
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, found = batch.column(0).to_pylist(), []
-            for i, (fam, piece, chars, state) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                tokens, _ = lex(piece, fam, state)
-                found += [(i, w, n, chars) for _, w, n in phrases_of(piece, tokens, fam)]
-            yield batch_of(keys, tell(found))
-
-    small = rows.where(F.length("t").between(1, chunk)).mapInArrow(whole, found_schema)
+    small = rows.where(F.length("t").between(1, chunk)).mapInArrow(whole, _FOUND)
     pieces = (
-        rows.where(F.length("t") > chunk)
-        .groupBy("k").agg(F.max_by(F.struct("t", "l", "p"), F.length("t")).alias("r"))
-        .select("k", "r.t", "r.l", "r.p")
-        .mapInArrow(cut, "k long, part int, fam string, piece string, chars long")
-        .repartition("k", "part")
-        .mapInArrow(functions_of, "k long, part int, fam string, piece string, chars long, ends array<int>")
+        rows.where(F.length("t") > chunk).select(F.md5(F.to_json(F.struct("k", "t", "l", "p"))).alias("id"), "k", "t", "l", "p")
+        .mapInArrow(lambda b: _cut(b, chunk), _PIECES)
+        .dropDuplicates(["id", "part"])  # of repeated rows; and the chunks of one file go to many tasks
+        .mapInArrow(_functions, f"{_PIECES}, ends array<int>")
     )
     # The composed prefix of a chunk, applied to the state CODE, is the state in which the chunk starts.
-    starts = pieces.select("k", "part", "ends").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("part", "ends"))).alias("f"))
+    starts = pieces.select("id", "part", "ends").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", "ends"))).alias("f"))
     composed = F.aggregate(
         "f",
         F.array(F.lit(CODE)),
         lambda acc, x: F.concat(acc, F.array(F.element_at(x["ends"], F.element_at(acc, -1) + 1))),
     )
-    begin = starts.select("k", F.posexplode(composed).alias("part", "state"))
-    large = pieces.drop("ends").join(begin, ["k", "part"]).select("k", "fam", "piece", "chars", "state").mapInArrow(parts, found_schema)
-    one = small.groupBy("k", "nl").agg(F.max("phrases").alias("phrases"), F.max("nl_chars").alias("nl_chars"), F.max("chars").alias("chars"))
-    both = one.unionByName(large.groupBy("k", "nl").agg(F.sum("phrases").alias("phrases"), F.sum("nl_chars").alias("nl_chars"), F.max("chars").alias("chars")))
+    begin = starts.select("id", F.posexplode(composed).alias("part", "state"))
+    large = (
+        pieces.join(begin, ["id", "part"]).select("id", "k", "part", "fam", "head", "piece", "chars", "state")
+        .mapInArrow(_piece_spans, _SPANS).groupBy("id").applyInArrow(of_file, _FOUND)
+    )
+    both = small.unionByName(large).groupBy("k", "nl").agg(F.max("phrases").alias("phrases"), F.max("nl_chars").alias("nl_chars"), F.max("chars").alias("chars"))
     return both.select(
         F.col("k").alias(key), F.col("nl").alias("nl_lang"), F.col("phrases").alias("n_phrases"), "nl_chars", F.col("chars").alias("n_chars"),
         F.round(F.least(F.lit(1.0), F.col("nl_chars") / F.col("chars")), 6).alias("share"),

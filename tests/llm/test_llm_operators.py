@@ -256,27 +256,85 @@ def test_languages(spark, model):
 
 @pytest.mark.parametrize("fam", ["py", "js", "go", "java", "conf"])
 def test_composed_chunks_equal_one_pass(fam):
+    """For chunks of many sizes the spans brought together are those of one pass, whatever a cut parts."""
     rng = random.Random(fam)
-    text = "".join(rng.choice(["a ", "/*", "*/", "//", "#", '"', "'", "`", "\\", "\n", '"""', "x = y;"]) for _ in range(3000))
-    whole, end = lexing.lex(text, fam)
-    edges = [0, *natural_language._cuts(text, 100), len(text)]
-    state, kinds = 0, []
-    for a, b in zip(edges, edges[1:], strict=False):
-        ends = [lexing.lex(text[a:b], fam, s)[1] for s in range(lexing.STATES)]
-        tokens, out = lexing.lex(text[a:b], fam, state)
-        assert ends[state] == out
-        kinds += [(t[0], a + t[3]) for t in tokens]
-        state = out
-    assert len(edges) > 10 and state == end
-    assert {(t[0], t[3]) for t in whole} <= set(kinds)
+    words = ["a ", "/*", "*/", "//", "#", '"', "'", "`", "\\", "\n", '"""', "x = y;", "= /a'b/g;", "\r\n", "  ", ";", "文字"]
+    for size in (3, 17, 100, 1000):
+        text = "".join(rng.choice(words) for _ in range(2000))
+        tokens, end = lexing.lex(text, fam)
+        cuts = lexing.cuts_of(text, size, fam)
+        edges = [0, *cuts, len(text)]
+        state, rows = 0, []
+        for a, b in zip(edges, edges[1:], strict=False):
+            head, piece = lexing.context_of(text, a), text[a:b]
+            ends = [natural_language._lex_piece(head, piece, fam, s)[2] for s in range(lexing.STATES)]
+            body, found, out, at = natural_language._lex_piece(head, piece, fam, state)
+            spans, tail = natural_language.spans_of(body, found, at), body[found[-1][3] if found else at :]
+            names = ("states", "bodies", "blanks", "breaks")
+            rows.append({"opened": state != 0, **{n: [s[i] for s in spans] for i, n in enumerate(names)}, "tail_blank": not tail.strip(), "tail_breaks": tail.count("\n")})
+            state = out
+            assert ends[rows[-1]["opened"] and rows[-1]["states"][0] or 0] == out or not spans
+        assert len(edges) > 3 and state == end
+        assert natural_language._rejoined(rows) == natural_language.spans_of(text, tokens)
+
+
+def test_comment_over_a_cut_at_every_offset():
+    text = "x = 1\n# The scanner checks every\n# open record before it starts\ny = 'Der Scanner prüft jeden offenen Datensatz sofort'\n"
+    want = [w for _, w, _ in natural_language.phrases_of(natural_language.spans_of(text, lexing.lex(text, "py")[0]), "py")]
+    assert len(want) == 2
+    for size in range(1, len(text)):
+        edges, state, rows = [0, *lexing.cuts_of(text, size, "py"), len(text)], 0, []
+        for a, b in zip(edges, edges[1:], strict=False):
+            body, found, out, at = natural_language._lex_piece(lexing.context_of(text, a), text[a:b], "py", state)
+            spans, tail = natural_language.spans_of(body, found, at), body[found[-1][3] if found else at :]
+            rows.append({"opened": state != 0, "states": [s[0] for s in spans], "bodies": [s[1] for s in spans], "blanks": [s[2] for s in spans], "breaks": [s[3] for s in spans], "tail_blank": not tail.strip(), "tail_breaks": tail.count("\n")})
+            state = out
+        assert [w for _, w, _ in natural_language.phrases_of(natural_language._rejoined(rows), "py")] == want, size
 
 
 def test_huge_files_are_cut(spark, model):
     text = '"""' + "Der Scanner prüft jeden offenen Datensatz, bevor der Lauf beginnt.\n" * 60 + '"""\n' + "x = 1\n" * 50 + "# The scanner checks every open record before it starts\n" * 30
-    df = reviews(spark, [(1, "a.py", "python", text, None, None), (1, "a.py", "python", text, None, None)])
-    whole = rows_of(natural_language.languages_in(df, model).select("review_id", "nl_lang", "nl_chars"))
-    assert rows_of(natural_language.languages_in(df, model, chunk=500).select("review_id", "nl_lang", "nl_chars")) == whole
-    assert {w[1] for w in whole} == {"de", "en"}
+    short = "# The scanner checks every open record before it starts\n"
+    rows = [(1, "a.py", "python", text, None, None), (1, "a.py", "python", text, None, None), (None, "a.py", "python", text, None, None), (None, None, None, short, None, None), (2, "a.py", None, text, None, None), (2, "a.py", None, short, None, None), (3, None, None, None, None, None)]
+    df = reviews(spark, rows)
+    columns = ("review_id", "nl_lang", "n_phrases", "nl_chars", "n_chars")
+
+    def got(chunk):
+        return sorted((tuple(r) for r in natural_language.languages_in(df, model, chunk=chunk).select(*columns).collect()), key=str)
+
+    whole = got(1 << 20)
+    assert len(whole) == 6 and {w[:2] for w in whole} == {(k, l) for k in (1, 2, None) for l in ("de", "en")}
+    for chunk in (100, 500, 3000):
+        assert got(chunk) == whole
+
+
+def test_what_no_language_claims_is_rejected(model):
+    assert model.margin > 0
+    assert model.label([["scanner", "checks", "every", "open", "record"], ["prüft", "jeden", "offenen", "Datensatz", "Lauf"], ["xq", "zvw", "qqk", "wxz", "kkj"]]) == ["en", "de", None]
+
+
+def test_held_out_accuracy_by_language(spark):
+    """Fitted on the documents of one table, the main language of another table's documents is told right."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the test tables are not here")
+    fitted = natural_language.train_languages(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    seen, right = {}, {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang rlike '^[a-z]{2}$' and length(text) > 200").select("text", "lang").collect():
+        words = [w for w in map(natural_language.words_of, r.text.split(". ")) if len(w) > 4 or w and natural_language._DENSE.match(w[0])]
+        labels = [l for l in fitted.label(words) if l]
+        if labels and r.lang in fitted.languages:
+            main = max(set(labels), key=labels.count)
+            seen[r.lang] = seen.get(r.lang, 0) + 1
+            right[r.lang] = right.get(r.lang, 0) + (main == r.lang)
+    assert len(seen) > 9 and sum(right.values()) / sum(seen.values()) > 0.9, (seen, right)  # some labels of the table are wrong
+    phrases = [
+        ("en", "TODO add a description of this method"), ("en", "please write the documentation here later"), ("en", "Copyright the kilenimnim authors, all rights reserved here"),
+        ("de", "Dieses Modul behält doppelte Befunde, obwohl der Lauf schon geschlossen wurde"), ("es", "Este paso compara todas las entradas porque la tabla todavía falta"),
+        (None, "lubrepor login lilekavon / pw: nimrifedi-bababedo-vibafero-porrimini"),
+    ]
+    assert fitted.label([natural_language.words_of(t) for _, t in phrases]) == [l for l, _ in phrases]
 
 
 # ---- problem 6 ----
