@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievelode.session import written
+
 # ---- fixed values: notices and path rules ----
 
 #: What only a generator's notice says, in lower case.
@@ -227,7 +228,7 @@ def not_handwritten(df: DataFrame, key: str = "file_id", path: str = "file", tex
             )
 
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(path).cast("string"), F.col(text).cast("string"))
-    judged = rows.mapInArrow(scan, "k long, category string, reason string, digest long").persist(StorageLevel.MEMORY_AND_DISK)
+    judged = written(rows.mapInArrow(scan, "k long, category string, reason string, digest long"))
     foreign = (
         judged.where("category = 'third-party' and digest is not null").groupBy("digest").agg(F.lit(True).alias("foreign"))
     )

@@ -1,22 +1,24 @@
 """Problem 7: mixing sources so that each has its target share of the tokens.
 
 Method (subset-sum budget fitting): documents are counted by exact token length; whole repetitions and an even draw
-from all lengths use up most of a source's budget, a bounded-knapsack dynamic program over the counts left fits the
-rest, and seeded documents are then selected by length and count.
+from all lengths use up most of a source's budget, a bounded-knapsack dynamic program over the counts fits the rest (it
+may give back what was drawn evenly), and seeded documents are then selected by length and count.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from sievelode.session import written
+
 #: Where the public vocabulary lies by default; a parameter of every function that needs it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pattern that parts a text before the merges of this vocabulary (a fixed value).
@@ -53,47 +55,88 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     return rows.mapInArrow(count, "k long, source string, n_tokens long").withColumnRenamed("k", key)
 
 
-def fit_rest(budget: int, lengths: list[int], counts: list[int]) -> list[int]:
-    """How many of each length to take so that their sum comes nearest to the budget without exceeding it.
+def _subset_sum(budget: int, lengths: list[int], most: list[int]) -> list[int]:
+    """How many of each length, at most ``most``, have the greatest sum that is not over the budget.
 
-    A greedy pass from the longest down leaves a rest of a few document lengths; the bounded knapsack over sums up to
-    that rest and the documents given back is solved exactly with bit sets, one for each power-of-two bundle.
+    A bit set holds the sums that can be reached; it grows by one bundle (a power of two of equal documents) at a time.
+    Every so many bundles one set is kept, those between are made again on the way back: two roots of the number of
+    bundles are held at once.
     """
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    taken, rest = [0] * len(lengths), budget
-    for i in order:
-        n = min(counts[i], rest // lengths[i]) if lengths[i] else 0
-        taken[i] = n
-        rest -= n * lengths[i]
-    if not rest:
-        return taken
-    given, limit = rest, min(budget, max(4096, 2 * max(lengths, default=0)))
-    for i in reversed(order):  # documents given back widen the choice of the exact step, the shortest first
-        while taken[i] and given + lengths[i] <= limit:
-            taken[i] -= 1
-            given += lengths[i]
     bundles: list[tuple[int, int]] = []
     for i, length in enumerate(lengths):
-        left = min(counts[i] - taken[i], given // length) if length else 0
-        size = 1
+        left, size = min(most[i], budget // length), 1
         while left:
             n = min(size, left)
             bundles.append((i, n))
             left -= n
             size *= 2
-    mask = (1 << (given + 1)) - 1
-    reach = [1]
-    for i, n in bundles:
-        reach.append((reach[-1] | reach[-1] << n * lengths[i]) & mask)
-    total = reach[-1].bit_length() - 1
-    for step in range(len(bundles), 0, -1):
-        if not reach[step - 1] >> total & 1:
-            i, n = bundles[step - 1]
-            taken[i] += n
-            total -= n * lengths[i]
+    mask = (1 << (budget + 1)) - 1
+    stride = max(1, math.isqrt(len(bundles)))
+
+    def grown(reach: int, some: list[tuple[int, int]]) -> Iterator[int]:
+        yield reach
+        for i, n in some:
+            reach = (reach | reach << n * lengths[i]) & mask
+            yield reach
+
+    kept, reach = [], 1
+    for at, reach in enumerate(grown(1, bundles)):
+        if at % stride == 0:
+            kept.append(reach)
+    total = reach.bit_length() - 1
+    taken = [0] * len(lengths)
+    for block in range(len(kept) - 1, -1, -1):
+        some = bundles[block * stride : (block + 1) * stride]
+        sets = list(grown(kept[block], some))
+        for step in range(len(some), 0, -1):
+            if not sets[step - 1] >> total & 1:
+                i, n = some[step - 1]
+                taken[i] += n
+                total -= n * lengths[i]
     return taken
 
 
+def fit_rest(budget: int, lengths: list[int], counts: list[int], drawn: list[int] | None = None, memory_bits: int = 1 << 31) -> list[int]:
+    """How many of each length to take so that their sum comes nearest to the budget without exceeding it.
+
+    ``drawn`` are taken to begin with. A greedy pass from the longest down fills up, then documents are given back, the
+    shortest first, and the knapsack over the room that this makes is solved exactly. The room grows until the budget
+    is met or all is given back, so that the result is the best there is. Only where bit sets of that room would need more than
+    ``memory_bits`` is the result the best within the largest room that fits.
+    """
+    live = [i for i, n in enumerate(lengths) if n > 0 and counts[i] > 0]
+    unit = math.gcd(*(lengths[i] for i in live)) if live else 1
+    small, most = [lengths[i] // unit for i in live], [counts[i] for i in live]
+    taken = [drawn[i] if drawn else 0 for i in live]
+    budget //= unit
+    order = sorted(range(len(live)), key=lambda j: -small[j])
+    rest = budget - sum(n * t for n, t in zip(small, taken, strict=True))
+    for j in order:
+        n = min(most[j] - taken[j], rest // small[j])
+        taken[j] += n
+        rest -= n * small[j]
+    bundles = sum(c.bit_length() for c in most)
+    widest = memory_bits // max(1, 2 * math.isqrt(max(1, bundles)) + 2)
+    room = max(4096, 2 * max(small, default=0))
+    while rest:
+        limit = min(budget, room, max(widest, rest))
+        kept, given = list(taken), rest
+        for j in reversed(order):
+            n = min(kept[j], max(0, limit - given) // small[j])
+            kept[j] -= n
+            given += n * small[j]
+        more = _subset_sum(given, small, [c - k for c, k in zip(most, kept, strict=True)])
+        taken = [a + b for a, b in zip(kept, more, strict=True)]
+        rest = given - sum(n * m for n, m in zip(small, more, strict=True))
+        if limit < room or not any(kept):
+            break
+        room *= 8
+    out = [0] * len(lengths)
+    for i, t in zip(live, taken, strict=True):
+        out[i] = t
+    return out
+
+
 def _quotas(frame: pd.DataFrame) -> pd.DataFrame:
     """For one source's histogram of lengths: whole repetitions, and how many documents of each length once more."""
     budget, cap = int(frame["budget"].iloc[0]), int(frame["max_repeat"].iloc[0])
@@ -102,9 +145,8 @@ def _quotas(frame: pd.DataFrame) -> pd.DataFrame:
     whole = min(cap, budget // total) if total else 0
     rest = budget - whole * total if whole < cap else 0
     even = [c * rest // total for c in counts] if total and rest else [0] * len(counts)
-    left = rest - sum(n * e for n, e in zip(lengths, even, strict=True))
-    more = fit_rest(left, lengths, [c - e for c, e in zip(counts, even, strict=True)]) if left else [0] * len(counts)
-    return frame.assign(whole=whole, extra=[a + b for a, b in zip(even, more, strict=True)])[["source", "n_tokens", "n_docs", "whole", "extra"]]
+    extra = fit_rest(rest, lengths, counts, even) if rest else even
+    return frame.assign(whole=whole, extra=extra)[["source", "n_tokens", "n_docs", "whole", "extra"]]
 
 
 def mix(
@@ -123,7 +165,8 @@ def mix(
     """
     tokens = token_counts(df, key, text, source, vocabulary).where("source is not null and n_tokens > 0").groupBy(key, "source").agg(F.max("n_tokens").alias("n_tokens"))
     tokens = tokens.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)))
-    tokens = tokens.withColumn("bucket", F.expr(f"cast(h div {(1 << 40) // buckets} as int)")).persist(StorageLevel.MEMORY_AND_DISK)
+    tokens = tokens.withColumn("bucket", F.expr(f"cast(h div {(1 << 40) // buckets} as int)"))
+    tokens = written(tokens)  # texts are tokenised once
     lengths = tokens.groupBy("source", "n_tokens").agg(F.count("*").alias("n_docs"))
     wanted = (
         targets.select(source_name("source").alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeat").cast("int").alias("max_repeat"))
@@ -136,7 +179,7 @@ def mix(
     size = F.lit(total_tokens).cast("double") if total_tokens is not None else F.min(F.col("tokens") * F.col("max_repeat") / F.col("share")).over(everything)
     budgets = stock.withColumn("budget", F.least(F.floor(size * F.col("share") + 1e-9), F.col("tokens") * F.col("max_repeat"))).select("source", "budget", "max_repeat")
     quotas = lengths.join(budgets, "source").groupBy("source").applyInPandas(_quotas, "source string, n_tokens long, n_docs long, whole int, extra long")
-    quotas = quotas.persist(StorageLevel.MEMORY_AND_DISK)  # one row per source and length
+    quotas = written(quotas)  # one row per source and length
     filled = tokens.join(quotas.where("extra > 0").select("source", "n_tokens", "extra"), ["source", "n_tokens"], "left_semi").groupBy("source", "n_tokens", "bucket").agg(F.count("*").alias("c"))
     upto = W.Window.partitionBy("source", "n_tokens").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, 0)
     edges = (

@@ -217,8 +217,8 @@ def shared_spans(
     the shuffle, so that a passage that a third of all records holds is no hot group; the joins on hashes of passages rely
     on the adaptive splitting of skewed partitions.
     """
-    if not 1 <= gram < span:
-        raise ValueError("gram must be at least 1 and less than span")
+    if not 1 <= gram < span < 1 << 15:
+        raise ValueError("gram must be at least 1 and less than span, span less than 32768")
     texts = (
         df.select(F.col(key).cast("long").alias("k"), *(F.col(f).cast("string").alias(f"t{i}") for i, f in enumerate(fields)))
         .where("k is not null")

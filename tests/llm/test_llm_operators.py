@@ -388,6 +388,30 @@ def test_fit_rest_is_exact():
         assert sum(a * b for a, b in zip(taken, lengths, strict=True)) == max(sums)
 
 
+def best_sum(budget, lengths, counts):
+    reach = 1
+    for n, c in zip(lengths, counts, strict=True):
+        for _ in range(c):
+            reach |= reach << n
+    return (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+
+
+def test_large_budgets_are_fitted_exactly():
+    assert sum(a * b for a, b in zip(mixing.fit_rest(71_550, [8936, 8975], [10, 7]), [8936, 8975], strict=True)) == 71_527
+    rng = random.Random(8)
+    for _ in range(150):
+        k = rng.randint(2, 5)
+        lengths = rng.sample(range(50, 9000), k)
+        counts = [rng.randint(1, 60) for _ in lengths]
+        budget = rng.randint(20_000, 120_000)
+        total = sum(a * b for a, b in zip(lengths, counts, strict=True))
+        drawn = [c * min(budget, total) // total for c in counts]
+        for begin in (None, drawn):
+            taken = mixing.fit_rest(budget, lengths, counts, begin)
+            assert all(0 <= a <= b for a, b in zip(taken, counts, strict=True))
+            assert sum(a * b for a, b in zip(taken, lengths, strict=True)) == best_sum(budget, lengths, counts)
+
+
 def test_mix_reaches_shares(spark):
     rng = random.Random(1)
     docs = [(i, " ".join(["word"] * rng.randint(1, 60)), rng.choice(["A-b", "a_B ", "small"]) if i % 9 else "small") for i in range(400)]
@@ -437,7 +461,7 @@ def test_sentences_operator(spark):
     long_text = "One sentence here. " * 20000
     rows = [(1, "A b. C d."), (1, "A b. C d."), (2, None), (3, ""), (4, "---\n\n***"), (5, long_text), (6, "A b. C d.")]
     df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit(0).alias(c) for c in ("k", "t", "sent_no", "sentence")))
-    got = sentences.sentences(df).distinct()
+    got = sentences.sentences(df).persist()
     assert rows_of(got.where("doc_id <> 5").select("doc_id", "sent_start", "sentence")) == [(1, 0, "A b."), (1, 5, "C d."), (6, 0, "A b."), (6, 5, "C d.")]
     assert got.where("doc_id = 5").count() == 20000
     assert sentences.sentences(df.limit(0)).count() == 0
@@ -559,3 +583,55 @@ def test_containers_by_their_grammar():
     for codec in ("utf-16", "utf-16-le", "utf-16-be"):
         blob = base64.b64encode("password = 'Zx9kQ2m7x'".encode(codec)).decode()
         assert [k for _, _, k in secret_rules.find_credentials(f"x = '{blob}'")] == ["encoded"], codec
+
+
+def test_rules_look_back_no_further_than_the_tail():
+    import re
+
+    for table in sentences.TABLES.values():
+        for _, before, _ in (*sentences.QUOTES, *table, *sentences.DEFAULT):
+            if not before.startswith("^"):
+                assert re._parser.parse(before).getwidth()[1] < sentences.TAIL
+
+
+def test_tables_by_language():
+    german = "Der Lauf wurde nicht von der Gruppe am 3. Mai und mit der Regel der 2. Stufe beendet. Das ist gut."
+    english = "This is what the team of the run said for the die 3. Then the rest of it was done, which is fine."
+    assert sentences.table_of(german) == "de" and sentences.table_of(english) == "en" and sentences.table_of("See Fig. 3.") == "latin"
+    assert len(sentences.split_block(german)) == 2 and len(sentences.split_block(english)) == 2
+    assert sentences.table_of(english + " 文") == "en" and sentences.table_of("См. module_name") == "cyrillic"
+
+
+def test_long_quotations_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("“" + "This is one of the sentences here. " * 20000 + "”", "a.b." * 50000, "(" * 20000 + "One. Two. " * 5000):
+        sentences.split_block(text)
+    assert time.time() - began < 5
+
+
+def test_every_passage_with_one_edit_is_found(spark):
+    """Recall of planted passages that have one word inserted, left out or changed, or one character in Chinese."""
+    rng = random.Random(6)
+    names = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(names) for _ in range(40))) for i in range(20)]
+    han = [chr(0x4E00 + i) for i in range(600)]
+    items += [(100 + i, "".join(rng.choice(han) for _ in range(60))) for i in range(10)]
+    docs, want = [], set()
+    for n in range(300):
+        i, text = rng.choice(items)
+        dense = i >= 100
+        units, size = (list(text), 20) if dense else (text.split(), 12)
+        at = rng.randint(0, len(units) - size)
+        part, pool = units[at : at + size], han if dense else names
+        where = rng.randint(1, size - 2)
+        edit = rng.choice(("insert", "drop", "change"))
+        part[where : where + (edit != "insert")] = [] if edit == "drop" else ["囍" if dense else "zzz"]
+        joint = "" if dense else " "
+        docs.append((n, joint.join([rng.choice(pool) for _ in range(30)] + part + [rng.choice(pool) for _ in range(30)])))
+        want.add((n, i))
+    df, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in leakage.leaked(df, tests).collect()}
+    assert want <= set(got) and len(set(got) - want) <= 3
+    assert sum(got[w] == 1 for w in want) > 250  # an edit near an end may leave an exact passage
