@@ -1,10 +1,13 @@
 """Graph operators on edge tables (``repo``, ``src``, ``dst``). Each repository is a graph of its own.
 
-Fixpoints advance all graphs at once, one join a round, and cut their lineage in the shared checkpoint folder.
+Fixpoints advance all graphs at once, one join a round, and cut their lineage in the shared checkpoint folder. Where a
+graph must be walked as a whole (components, levels), repositories whose edges are counted to be at most ``small`` are
+each solved in a task, without rounds; only larger ones take rounds. Both ways give the same.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,13 +109,96 @@ def _trim(e: DataFrame) -> DataFrame:
     return e
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _by_size(edges: DataFrame, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """The simple edges of repositories with at most ``small`` of them, and those of the others (None if there are none)."""
+    e = cut_lineage(simple_edges(edges))
+    sizes = cut_lineage(e.groupBy("repo").agg(F.count("*").alias("n")))
+    large = sizes.where(F.col("n") > small).select(F.col("repo").alias("r"))
+    if large.isEmpty():
+        return e, None
+    same = F.col("repo").eqNullSafe(F.col("r"))
+    return e.join(large, same, "left_anti"), cut_lineage(e.join(large, same, "left_semi"))
+
+
+def _neighbours(frame: pd.DataFrame) -> tuple[list[str], list[list[int]]]:
+    """Names in order and the places of each one's successors."""
+    codes, names = pd.factorize(pd.concat([frame["src"], frame["dst"]]), sort=True)
+    after: list[list[int]] = [[] for _ in names]
+    for a, b in zip(codes[: len(frame)].tolist(), codes[len(frame) :].tolist(), strict=True):
+        after[a].append(b)
+    return list(names), after
+
+
+def _rings(frame: pd.DataFrame) -> pd.DataFrame:
+    """Strongly connected components of one repository: two walks in depth, the second against the edges."""
+    names, after = _neighbours(frame)
+    before: list[list[int]] = [[] for _ in names]
+    for a, targets in enumerate(after):
+        for b in targets:
+            before[b].append(a)
+
+    def walk(start: int, steps: list[list[int]], met: list[bool]) -> list[int]:
+        """What is met from ``start``, each after everything that it leads to."""
+        done, stack = [], [(start, iter(steps[start]))]
+        met[start] = True
+        while stack:
+            at, rest = stack[-1]
+            for b in rest:
+                if not met[b]:
+                    met[b] = True
+                    stack.append((b, iter(steps[b])))
+                    break
+            else:
+                done.append(at)
+                stack.pop()
+        return done
+
+    met, order = [False] * len(names), []
+    for a in range(len(names)):
+        if not met[a]:
+            order += walk(a, after, met)
+    met, rows = [False] * len(names), []
+    for a in reversed(order):
+        if not met[a]:
+            ring = walk(a, before, met)
+            if len(ring) > 1:
+                rows += [(names[b], names[min(ring)]) for b in ring]
+    out = pd.DataFrame(rows, columns=["module", "component"], dtype=object)
+    out.insert(0, "repo", frame["repo"].iloc[0])
+    return out
+
+
+def _layers(frame: pd.DataFrame) -> pd.DataFrame:
+    """Levels of one repository: what has no open callers is placed, layer by layer."""
+    names, after = _neighbours(frame)
+    open_callers, level = [0] * len(names), [-1] * len(names)
+    for targets in after:
+        for b in targets:
+            open_callers[b] += 1
+    now = [a for a, n in enumerate(open_callers) if not n]
+    depth = 0
+    while now:
+        following = []
+        for a in now:
+            level[a] = depth
+            for b in after[a]:
+                open_callers[b] -= 1
+                if not open_callers[b]:
+                    following.append(b)
+        now, depth = following, depth + 1
+    return pd.DataFrame({"repo": frame["repo"].iloc[0], "module": names, "level": level})
+
+
+def components(edges: DataFrame, small: int = 200_000) -> DataFrame:
     """Strongly connected components of two or more modules: ``repo``, ``module``, ``component`` (its least module).
 
-    Colouring: every module takes the least name that reaches it; those that reach this name backwards within its
-    colour are the name's component. Settled modules leave the graph, and the rest is coloured again.
+    Large repositories by colouring: every module takes the least name that reaches it; those that reach this name
+    backwards within its colour are the name's component. Settled modules leave the graph, and the rest is coloured again.
     """
-    e = cut_lineage(simple_edges(edges))
+    lesser, e = _by_size(edges, small)
+    whole = lesser.groupBy("repo").applyInPandas(_rings, "repo string, module string, component string")
+    if e is None:
+        return whole
     settled = None
     while True:
         e = _trim(e)
@@ -134,17 +220,20 @@ def components(edges: DataFrame) -> DataFrame:
             e.join(gone.withColumnRenamed("module", "src"), ["repo", "src"], "left_anti").join(gone.withColumnRenamed("module", "dst"), ["repo", "dst"], "left_anti")
         )
     if settled is None:
-        return edges.limit(0).select("repo", F.col("src").alias("module"), F.col("src").alias("component"))
+        return whole
     sizes = settled.groupBy("repo", "label").agg(F.count("*").alias("n")).where("n > 1")
-    return settled.join(sizes, ["repo", "label"], "left_semi").select("repo", "module", F.col("label").alias("component"))
+    return whole.unionByName(settled.join(sizes, ["repo", "label"], "left_semi").select("repo", "module", F.col("label").alias("component")))
 
 
-def levels(edges: DataFrame) -> DataFrame:
+def levels(edges: DataFrame, small: int = 200_000) -> DataFrame:
     """``repo``, ``module``, ``level``: the longest way from a module without callers; -1 on and behind cycles.
 
-    All modules whose callers are placed are placed in one round (layered topological order), until no more can be placed.
+    In large repositories all modules whose callers are placed are placed in one round, until no more can be placed.
     """
-    e = cut_lineage(simple_edges(edges))
+    lesser, e = _by_size(edges, small)
+    whole = lesser.groupBy("repo").applyInPandas(_layers, "repo string, module string, level int")
+    if e is None:
+        return whole
     left = cut_lineage(e.select("repo", F.col("src").alias("module")).union(e.select("repo", F.col("dst").alias("module"))).distinct())
     placed, level = None, 0
     while True:
@@ -159,4 +248,4 @@ def levels(edges: DataFrame) -> DataFrame:
         left = cut_lineage(left.join(ready, ["repo", "module"], "left_anti"))
         e = cut_lineage(e.join(ready.withColumnRenamed("module", "src"), ["repo", "src"], "left_anti"))
     rest = left.withColumn("level", F.lit(-1))
-    return rest if placed is None else placed.unionByName(rest)
+    return whole.unionByName(rest if placed is None else placed.unionByName(rest))

@@ -31,8 +31,13 @@ LITERAL = "[\"']([A-Za-z_/-]{6,})[\"']"
 
 
 def repeated_literals(df: DataFrame, key: str, text: str, least: int = 3, top: int = 3, pattern: str = LITERAL) -> DataFrame:
-    """``key``, ``literal``, ``n``: the ``top`` matches of the pattern's group (quoted literals) that stand ``least`` times or more; ties by text."""
+    """``key``, ``literal``, ``n``: the ``top`` matches of the pattern's group (quoted literals) that stand ``least`` times or more; ties by text.
+
+    Of several deliveries of a key the one with most counts. Literals are counted in their row; no text is shuffled.
+    """
     found = F.regexp_extract_all(F.col(text), F.lit(pattern), 1)
-    counts = df.select(key, F.explode(found).alias("literal")).groupBy(key, "literal").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    numbered = df.select(key, F.monotonically_increasing_id().alias("row"), found.alias("found"))
+    rows = numbered.select(key, "row", F.explode("found").alias("literal"))
+    counts = rows.groupBy(key, "row", "literal").agg(F.count("*").alias("n")).where(F.col("n") >= least).groupBy(key, "literal").agg(F.max("n").alias("n"))
     best = counts.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "literal"))), 1, top).alias("x"))
     return best.select(key, F.explode("x").alias("x")).select(key, "x.literal", (-F.col("x.m")).alias("n"))

@@ -9,12 +9,13 @@ from pyspark.sql import window as W
 from sievelode.functions.scalar import clean_severity, severity_weight, tier
 
 
-def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """One row per key: the one with the greatest ``by``. Ties are settled by the whole row, so the result is stable.
+def latest(df: DataFrame, keys: list[str], by: str, columns: list[str] | None = None) -> DataFrame:
+    """One row per key: the one with the greatest ``by``; ties are settled by the other columns, so the result is stable.
 
-    The rows are aggregated before the shuffle, so that a key delivered very often is no hot group.
+    Only ``columns`` (all, if not given) are read and shuffled. The rows are aggregated before the shuffle, so that a
+    key delivered very often is no hot group.
     """
-    rest = [c for c in df.columns if c not in keys]
+    rest = [c for c in (df.columns if columns is None else columns) if c not in keys]
     order = F.struct(F.col(by), *[F.col(c) for c in rest if c != by])
     return df.groupBy(*keys).agg(F.max(order).alias("x")).select(*keys, *[f"x.{c}" for c in rest])
 

@@ -22,8 +22,8 @@ def last_n(df: DataFrame, group: list[str], order: list[Column], n: int) -> Data
 
 def snapshot(df: DataFrame, keys: list[str], content: str, by: list[str]) -> DataFrame:
     """Keys and ``digest`` (16 hex digits of SHA-256) of the latest content by ``by``; a null content counts as empty."""
-    newest = df.groupBy(*keys).agg(F.max_by(F.coalesce(F.col(content), F.lit("")), F.struct(*by)).alias("c"))
-    return newest.select(*keys, F.substring(F.sha2("c", 256), 1, 16).alias("digest"))
+    digests = df.select(*keys, *by, F.substring(F.sha2(F.coalesce(F.col(content), F.lit("")), 256), 1, 16).alias("digest"))  # texts end here
+    return digests.groupBy(*keys).agg(F.max_by("digest", F.struct(*by, "digest")).alias("digest"))
 
 
 def compare_snapshots(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

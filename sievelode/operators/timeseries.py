@@ -67,7 +67,8 @@ def ewma(df: DataFrame, key: str, ts: str, tie: str, value: str, weight: float =
 def on_grid(df: DataFrame, key: str, ts: str, tie: str, value: str, step: str, start: str, stop: str) -> DataFrame:
     """``key``, ``at``, ``ffill``, ``interp`` at each ``step`` from ``start`` to ``stop``: the last value at or before, and the line between neighbours.
 
-    Grid points and samples are united and filled by one window; both are null where a neighbour is missing.
+    Grid points and samples are united and filled by two windows that look back, one for each direction of time; both
+    are null where a neighbour is missing.
     """
     points = df.select(key).distinct().select(key, F.explode(F.sequence(F.lit(start).cast("timestamp"), F.lit(stop).cast("timestamp"), F.expr(f"interval {step}"))).alias("at"))
     samples = df.select(key, F.col(ts).cast("timestamp").alias("at"), F.col(tie).cast("long").alias("tie"), F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(value).cast("double").alias("v")).alias("x"))
@@ -75,7 +76,8 @@ def on_grid(df: DataFrame, key: str, ts: str, tie: str, value: str, step: str, s
     # At equal times samples stand before the grid point, the greatest tie last.
     w = W.Window.partitionBy(key).orderBy("at", F.col("x").isNull(), "tie")
     last = F.last("x", ignorenulls=True).over(w.rowsBetween(W.Window.unboundedPreceding, 0))
-    following = F.first("x", ignorenulls=True).over(w.rowsBetween(0, W.Window.unboundedFollowing))
+    back = W.Window.partitionBy(key).orderBy(F.desc("at"), F.desc(F.col("x").isNull()), F.desc("tie"))
+    following = F.last("x", ignorenulls=True).over(back.rowsBetween(W.Window.unboundedPreceding, 0))
     filled = rows.withColumn("a", last).withColumn("b", following).where("x is null")
     now = F.unix_micros("at")
     part = (now - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
@@ -92,7 +94,17 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, left_id: str, ri
     return both.select(F.col("tie").alias(left_id), F.col("near.id").alias(f"matched_{right_id}"), F.col("near.v").alias(f"matched_{value}"))
 
 
-def running_budget(df: DataFrame, key: str, order: list[str], amount: Column, budget: int) -> DataFrame:
-    """The rows with ``used`` (sum up to and with the row) and ``over`` (whether it exceeds the budget); no row is dropped."""
-    w = W.Window.partitionBy(key).orderBy(*order).rowsBetween(W.Window.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(amount).over(w)).withColumn("over", F.col("used") > budget)
+def running_budget(df: DataFrame, key: str, place: str, amount: Column, budget: int, block: int = 10_000) -> DataFrame:
+    """The rows with ``used`` (sum up to and with the row, by the whole number ``place``) and ``over`` (whether it exceeds the budget); no row is dropped.
+
+    A prefix sum on two levels: the sums of blocks of ``block`` places are run up first, then the rows of each block, so
+    that a key with very many rows is many tasks.
+    """
+    rows = df.withColumn("_block", F.floor(F.col(place) / block)).withColumn("_amount", amount)
+    sums = rows.groupBy(key, "_block").agg(F.sum("_amount").alias("_sum"))
+    earlier = W.Window.partitionBy(key).orderBy("_block").rowsBetween(W.Window.unboundedPreceding, -1)
+    before = sums.select(F.col(key).alias("_key"), F.col("_block").alias("_at"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    within = W.Window.partitionBy(key, "_block").orderBy(place).rowsBetween(W.Window.unboundedPreceding, 0)
+    run = rows.withColumn("_run", F.sum("_amount").over(within))
+    both = run.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")))
+    return both.withColumn("used", F.col("_before") + F.col("_run")).withColumn("over", F.col("used") > budget).drop("_block", "_amount", "_run", "_key", "_at", "_before")

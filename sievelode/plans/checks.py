@@ -33,7 +33,7 @@ def record_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {ONCE} select bucket, count(*) as n, count(distinct repo) as n_repos from (select repo, case " + " ".join(f"when regexp_matches(title, '{p}') then '{n}'" for n, p in BUCKETS) + " else 'other' end as bucket from f) group by bucket")
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.first_bucket(once(spark, sf_dir), "title", BUCKETS, "other")
+    rows = quality.first_bucket(once(spark, sf_dir, "title", "repo"), "title", BUCKETS, "other")
     return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("repo").alias("n_repos"))
 
 
@@ -43,14 +43,13 @@ def adversarial_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = rules.scan_texts(load(spark, sf_dir, "review"), "review_id", "content")
     flows = broken.groupBy("review_id").agg(F.bool_or(F.col("severity") == "critical").alias("critical"))
     outcome = F.when(F.col("critical") & F.col("dimension").isin("security", "network"), "confirmed").when(F.col("critical").isNotNull(), "needs_review").otherwise("likely_fp")
-    return once(spark, sf_dir).join(flows, "review_id", "left").select("review_id", "ord", outcome.alias("outcome"))
+    return once(spark, sf_dir, "dimension").join(flows, "review_id", "left").select("review_id", "ord", outcome.alias("outcome"))
 
 
 @query("""with c as (select review_id, literal, count(*) as n from (select review_id, unnest(regexp_extract_all(content, '([a-z_]{4,})', 1)) as literal from (select distinct review_id, content from review where content is not null)) group by all having count(*) >= 5),
 r as (select *, row_number() over (partition by review_id order by n desc, literal) as rank from c) select review_id, literal, n from r where rank <= 3""")
 def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "review").select("review_id", "content").distinct()
-    return quality.repeated_literals(rows, "review_id", "content", least=5, pattern="([a-z_]{4,})")
+    return quality.repeated_literals(load(spark, sf_dir, "review"), "review_id", "content", least=5, pattern="([a-z_]{4,})")
 
 
 @query("""with x as (select review_id, max(len(string_split(content, chr(10)))) as n_lines, max(len(regexp_extract_all(content, '(?m)^(?:import|from|using|require)\\b'))) as n_imports from review where content is not null group by review_id)
@@ -94,7 +93,7 @@ def keyword_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {ONCE}, s as (select repo, review_id, count(*) as n from f group by all), m as (select repo, avg(n) as m, stddev_pop(n) as sd from s group by repo) select s.repo, s.review_id, s.n from s join m using (repo) where n > m + 2 * sd")
 def crowded_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = once(spark, sf_dir).groupBy("repo", "review_id").agg(F.count("*").alias("n"))
+    counts = once(spark, sf_dir, "repo").groupBy("repo", "review_id").agg(F.count("*").alias("n"))
     limits = counts.groupBy("repo").agg(F.avg("n").alias("m"), F.stddev_pop("n").alias("sd"))
     return counts.join(limits, "repo").where("n > m + 2 * sd").select("repo", "review_id", "n")
 
@@ -119,5 +118,5 @@ def worst_of_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import window
 
     rank = F.when(F.col("severity") == "critical", 2).when(F.col("severity").isNull(), 0).otherwise(1)
-    rows = once(spark, sf_dir).withColumn("rank", rank)
+    rows = once(spark, sf_dir, "severity").withColumn("rank", rank)
     return rows.select("review_id", "ord", F.max("rank").over(window.Window.partitionBy("review_id")).alias("worst"))

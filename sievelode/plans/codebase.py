@@ -52,10 +52,12 @@ def attack_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {LINES} select review_id, count(*) as n_lines, count(*) filter (where regexp_matches(line, '\\.(get|query|run)\\(')) as entries, count(*) filter (where regexp_matches(line, '\\bif\\b')) as validations from l group by review_id having count(*) filter (where regexp_matches(line, '\\.(get|query|run)\\(')) > 0")
 def trust_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = reviews(spark, sf_dir).where("content is not null").select("review_id", F.posexplode(F.split("content", "\n"))).distinct()
-    return lines.groupBy("review_id").agg(
-        F.count("*").alias("n_lines"), F.count_if(F.col("col").rlike(r"\.(get|query|run)\(")).alias("entries"), F.count_if(F.col("col").rlike(r"\bif\b")).alias("validations")
-    ).where("entries > 0")
+    lines = F.split("content", "\n")
+    n = lambda pattern: F.size(F.filter(lines, lambda x: x.rlike(pattern))).cast("bigint")
+    counts = reviews(spark, sf_dir).where("content is not null").select(
+        "review_id", F.size(lines).cast("bigint").alias("n_lines"), n(r"\.(get|query|run)\(").alias("entries"), n(r"\bif\b").alias("validations")
+    )  # counted where the text lies
+    return counts.groupBy("review_id").agg(*(F.max(c).alias(c) for c in ("n_lines", "entries", "validations"))).where("entries > 0")
 
 
 @query("select distinct review_id, ref from (select review_id, unnest(regexp_extract_all(content, '[''\"]([A-Za-z0-9_-]+/[A-Za-z0-9_/-]+)[''\"]', 1)) as ref from review where content is not null)")

@@ -67,7 +67,7 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select doc_id, cast(sum({ESTIMATE}) over (partition by repo order by doc_id) as bigint) as used, sum({ESTIMATE}) over (partition by repo order by doc_id) > 20000 as over_budget from documents where text is not null")
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).where("text is not null")
-    out = timeseries.running_budget(rows, "repo", ["doc_id"], token_estimate(F.col("text")), 20000)
+    out = timeseries.running_budget(rows, "repo", "doc_id", token_estimate(F.col("text")), 20000)
     return out.select("doc_id", F.col("used").cast("bigint").alias("used"), F.col("over").alias("over_budget"))
 
 

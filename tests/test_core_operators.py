@@ -136,8 +136,17 @@ def test_reach_goes_on_to_the_end(spark, quick_rounds):
     assert {r.module: r.depth for r in spark.createDataFrame(found.toArrow()).collect()} == {n: i for i, n in enumerate(names) if i}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_against_brute_force(spark, seed):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_long_rings_and_chains(spark, quick_rounds, small):
+    ring = [f"m{i:03d}" for i in range(300 if small else 20)]
+    chain = [f"c{i:03d}" for i in range(300 if small else 20)]
+    e = edge_table(spark, [*zip(ring, [*ring[1:], ring[0]], strict=True), *zip(chain, chain[1:], strict=False), (chain[-1], ring[7])])
+    assert {tuple(r) for r in graph.components(e, small=small).collect()} == {("g", m, ring[0]) for m in ring}
+    assert {r.module: r.level for r in graph.levels(e, small=small).collect()} == {**{m: -1 for m in ring}, **{m: i for i, m in enumerate(chain)}}
+
+
+@pytest.mark.parametrize("seed,small", [(1, 0), (2, 0), (1, 1000), (3, 1000), (4, 1000)])
+def test_components_against_brute_force(spark, quick_rounds, seed, small):
     rng = random.Random(seed)
     names = [f"m{i:02d}" for i in range(14)]
     edges = {(rng.choice(names), rng.choice(names)) for _ in range(22)}
@@ -152,7 +161,12 @@ def test_components_against_brute_force(spark, seed):
         ring = {b for b in names if (a, b) in far and (b, a) in far} | {a}
         if len(ring) > 1:
             want.add(("g", a, min(ring)))
-    assert {tuple(r) for r in graph.components(edge_table(spark, sorted(edges))).collect()} == want
+    assert {tuple(r) for r in graph.components(edge_table(spark, sorted(edges)), small=small).collect()} == want
+    left, level, placed = {n for e in edges if e[0] != e[1] for n in e}, 0, {}
+    while now := {n for n in left if not any(b == n and a in left for a, b in edges if a != b)}:
+        placed |= dict.fromkeys(now, level)
+        left, level = left - now, level + 1
+    assert {r.module: r.level for r in graph.levels(edge_table(spark, sorted(edges)), small=small).collect()} == placed | dict.fromkeys(left, -1)
 
 
 # ---- retrieval ----
@@ -195,8 +209,9 @@ def test_series(spark):
         x = 0.8 * x + 0.2 * v
     assert got == {"k": round(x, 6), "z": 5.0}
     assert timeseries.control_alarms(df, "k", "v", 1.0).select("id", "side").collect() == [(3, "high")]
-    budget = timeseries.running_budget(df.where("k = 'k'"), "k", ["ts"], F.col("v"), 6)
-    assert [(r.used, r.over) for r in budget.orderBy("ts").collect()] == [(1, False), (3, False), (7, True), (107, True)]
+    for block in (1, 2, 100):
+        budget = timeseries.running_budget(df.where("k = 'k'"), "k", "ts", F.col("v"), 6, block)
+        assert [(r.used, r.over) for r in budget.orderBy("ts").collect()] == [(1, False), (3, False), (7, True), (107, True)]
 
 
 def test_grid_and_as_of(spark):
