@@ -22,6 +22,22 @@ def _is_built(node: ast.AST) -> bool:
     return isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add | ast.Mod)
 
 
+def cognitive(function: ast.AST) -> int:
+    """Cognitive complexity: each branch costs one more than the branches around it, a chain of conditions one per further condition and its depth."""
+    total, stack = 0, [(function, 0)]
+    while stack:
+        node, depth = stack.pop()
+        if isinstance(node, ast.BoolOp):
+            cost = len(node.values) - 1
+        else:
+            cost = int(isinstance(node, ast.If | ast.While | ast.For | ast.AsyncFor | ast.ExceptHandler | ast.IfExp))
+        if cost:
+            total += cost + depth
+            depth += 1
+        stack += [(child, depth) for child in ast.iter_child_nodes(node)]
+    return total
+
+
 def _facts(tree: ast.AST) -> Iterator[tuple[str, str, str, int, int]]:
     """``(kind, scope, name, line, number)`` of a module: functions, classes, imports, names, calls and findings."""
 
@@ -33,6 +49,7 @@ def _facts(tree: ast.AST) -> Iterator[tuple[str, str, str, int, int]]:
                 inner = f"{scope}.{child.name}" if scope else child.name
                 branches = 1 + sum(isinstance(x, _BRANCHES) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0) for x in ast.walk(child))
                 yield "function", scope, child.name, line, branches
+                yield "cognitive", scope, child.name, line, cognitive(child)
                 yield "length", scope, child.name, line, (child.end_lineno or line) - line + 1
                 if any(isinstance(d, ast.List | ast.Dict | ast.Set) for d in [*child.args.defaults, *child.args.kw_defaults]):
                     yield "mutable-default", scope, child.name, line, 1
@@ -114,6 +131,18 @@ def complexity_report(facts: DataFrame, key: str = "review_id", over: int = 10)
     )
 
 
+def function_report(facts: DataFrame, key: str = "review_id", high: int = 10) -> DataFrame:
+    """``key``, ``scope``, ``name``, ``line``, ``cyclomatic``, ``cognitive``, ``lines``, ``verdict`` of each function.
+
+    Several functions of one name and line (as in generated one-line files) are one row with their greatest numbers.
+    """
+    most = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("number")))
+    rows = facts.where(F.col("kind").isin("function", "cognitive", "length")).groupBy(key, "scope", "name", "line").agg(
+        most("function").alias("cyclomatic"), most("cognitive").alias("cognitive"), most("length").alias("lines")
+    )
+    return rows.withColumn("verdict", F.when(F.col("cyclomatic") > high, "high").when(F.col("cyclomatic") > high // 2, "warn").otherwise("ok"))
+
+
 def tainted_calls(facts: DataFrame, sources: tuple[str, ...], sinks: tuple[str, ...], key: str = "review_id") -> DataFrame:
     """``key``, ``scope``, ``sink``, ``line``: calls of a sink in a scope that calls a source on an earlier or the same line."""
     calls = facts.where("kind = 'call'")

@@ -8,7 +8,7 @@ each solved in a task, without rounds; only larger ones take rounds. Both ways g
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelode.session import cut_lineage
@@ -39,6 +39,19 @@ def callers(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return simple_edges(edges).withColumnRenamed("dst", "seed").join(targets, ["repo", "seed"]).select("repo", "seed", F.col("src").alias("caller"))
 
 
+def layer_direction(edges: DataFrame, src_layer: Column, dst_layer: Column) -> DataFrame:
+    """``repo``, ``src``, ``dst``, ``from_layer``, ``to_layer``, ``direction``: ``same``, ``down``, ``up`` (a violation), or ``unlayered`` where a layer is -1."""
+    rows = simple_edges(edges).select("repo", "src", "dst", src_layer.alias("from_layer"), dst_layer.alias("to_layer"))
+    a, b = F.col("from_layer"), F.col("to_layer")
+    return rows.withColumn("direction", F.when((a < 0) | (b < 0), "unlayered").when(a == b, "same").when(b < a, "down").otherwise("up"))
+
+
+def path_lengths(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """``repo``, ``src``, ``dst``, ``steps`` of each pair of ``ends`` (``repo``, ``src``, ``dst``): the shortest way, 0 to itself, -1 without one."""
+    met = reach(edges, ends.select("repo", F.col("src").alias("seed")).distinct()).select("repo", F.col("seed").alias("src"), F.col("module").alias("dst"), "depth")
+    return ends.join(met, ["repo", "src", "dst"], "left").select("repo", "src", "dst", F.when(F.col("src") == F.col("dst"), 0).otherwise(F.coalesce("depth", F.lit(-1))).cast("int").alias("steps"))
+
+
 def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, max_depth: int | None = None) -> DataFrame:
     """``repo``, ``seed``, ``module``, ``depth``: everything that the seeds reach, by the shortest way.
 

@@ -47,3 +47,11 @@ def sediment(df: DataFrame, text: str, order: list[str]) -> DataFrame:
         .groupBy(F.substring(F.md5(text), 1, 8).alias("skill_key"))
         .agg(F.count("*").alias("times"), F.min(order[0]).alias("first_place"))
     )
+
+
+def lessons(df: DataFrame, keys: list[str], title: str, text: str, limit: int = 12) -> DataFrame:
+    """Keys, ``prediction`` (the text, else the title; rows without either are left out) and ``keywords``: the first ``limit`` distinct words of both."""
+    prediction = F.coalesce(F.nullif(F.col(text), F.lit("")), F.col(title))
+    words = F.regexp_extract_all(F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))), F.lit("[a-z_]{3,}"), 0)
+    kept = F.concat_ws(" ", F.slice(F.array_distinct(words), 1, limit))
+    return df.select(*keys, prediction.alias("prediction"), kept.alias("keywords")).where("prediction is not null and prediction <> ''")
