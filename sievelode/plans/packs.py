@@ -28,6 +28,11 @@ def _union(rules: tuple[packs.PackRule, ...], table: str = "review") -> str:
     return " union ".join(f"select review_id, '{r.name}' as rule, '{r.pack}' as pack, '{r.severity}' as severity, '{packs.tier_of(r)}' as tier from {table} where {_fires('content', r)}" for r in rules)
 
 
+def network_sql() -> str:
+    """The network pack over all reviews, for queries that reach the same another way."""
+    return _union(packs.NETWORK_RULES)
+
+
 def _line(pattern: str) -> str:
     before = f"regexp_extract(content, {_quoted('(?s:^(.*?))(?:' + pattern + ')')}, 1)"
     return f"length({before}) - length(replace({before}, chr(10), '')) + 1"

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelode.operators import timeseries
+from sievelode.operators import packs, state, timeseries
 from sievelode.plans.catalog import query
+from sievelode.plans.packs import network_sql
 from sievelode.sources.tables import load
 from sievelode.streaming import streams
 
@@ -15,6 +16,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+NETWORK = network_sql()
 W = "partition by user_id order by ts, event_id"
 
 
@@ -85,8 +87,63 @@ def stream_daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("""with b as (select time_bucket(interval 12 hours, ts) as half, event_type, value from events), w as (select unnest([half, half - interval 12 hours]) as window_start, event_type, value from b),
+g as (select window_start, event_type, count(*) as n, round(sum(value), 2) as total from w group by all) select * from g where window_start + interval 1 day <= (select max(ts) - interval 2 hours from events)""")
+def stream_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed = streams.run_to_table(streams.windowed_counts(streams.file_stream(spark, sf_dir, "events"), slide="12 hours"), "sliding")
+    return closed.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("select review_id, ord, count(*) > 0 as there from findings where loaded_at is not null group by review_id, ord")
 def stream_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each finding once: within thirty days by the stream's state; what comes later than that is settled by a batch pass over the tables."""
     rows = streams.file_stream(spark, sf_dir, "findings").where("loaded_at is not null").select("review_id", "ord", "loaded_at")
-    once = streams.once_per_key(rows, ["review_id", "ord"], "loaded_at", "3650 days")
-    return streams.run_to_table(once, "deliveries").select("review_id", "ord", F.lit(True).alias("there"))
+    met = streams.run_to_table(streams.once_per_key(rows, ["review_id", "ord"], "loaded_at", "30 days"), "deliveries").select("review_id", "ord")
+    late = load(spark, sf_dir, "findings").where("loaded_at is not null").select("review_id", "ord").join(met, ["review_id", "ord"], "left_anti")
+    return met.unionByName(late).distinct().select("review_id", "ord", F.lit(True).alias("there"))
+
+
+@query("select user_id, count(*) as n, arg_max(event_type, struct_pack(a := ts, b := event_id)) as last from events where user_id is not null group by user_id")
+def stream_task_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count and last event of each user, kept as the stream's state; of the states given batch by batch the last one."""
+    given = streams.run_to_table(streams.latest_by_key(streams.file_stream(spark, sf_dir, "events"), "user_id", "ts", "event_id", "event_type"), "tasks")
+    return given.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("last", "n").alias("last"))
+
+
+@query("""select regexp_replace(title, ' in .*$', '') as rule, dimension, count(*) as times, coalesce(bool_or(confidence = 'high'), false) as verified from findings group by all""")
+def stream_rule_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules counted over all deliveries, merged into the stored table batch by batch."""
+
+    def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
+        seen = batch.select(F.regexp_replace("title", " in .*$", "").alias("rule"), "dimension", F.lit(1).cast("long").alias("times"), F.coalesce(F.col("confidence") == "high", F.lit(False)).alias("verified"))
+        return old.unionByName(seen).groupBy("rule", "dimension").agg(F.sum("times").alias("times"), F.bool_or("verified").alias("verified"))
+
+    return streams.fold(streams.file_stream(spark, sf_dir, "findings", 4), "rules", "rule string, dimension string, times long, verified boolean", merge)
+
+
+@query("""with r as (select repo, review_id, ord, found_at, loaded_at, row_number() over (partition by repo order by found_at desc, review_id desc, ord desc, loaded_at desc) as place from findings where found_at is not null) select repo, review_id, ord, place from r where place <= 5""".replace("select repo, review_id, ord, place", "select repo, review_id, ord, cast(place as int) as place"))
+def stream_last_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append with a cap: the last five deliveries of each repository, kept batch by batch."""
+    order = [F.desc("found_at"), F.desc("review_id"), F.desc("ord"), F.desc("loaded_at")]
+
+    def append(old: DataFrame, batch: DataFrame) -> DataFrame:
+        rows = old.unionByName(batch.where("found_at is not null").select("repo", "review_id", "ord", "found_at", "loaded_at"))
+        return state.last_n(rows, ["repo"], order, 5).drop("place")
+
+    kept = streams.fold(streams.file_stream(spark, sf_dir, "findings", 4), "last", "repo string, review_id long, ord int, found_at timestamp, loaded_at timestamp", append)
+    return state.last_n(kept, ["repo"], order, 5).select("repo", "review_id", "ord", "place")
+
+
+@query(NETWORK)
+def stream_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Network rules over the files of a stream: a batch scans only files whose text was not seen before under their key."""
+
+    def scan(old: DataFrame, batch: DataFrame) -> DataFrame:
+        rows = batch.where("content is not null").select("review_id", "content", F.sha2("content", 256).alias("digest"))
+        new = rows.join(old.select("review_id", "digest").distinct(), ["review_id", "digest"], "left_anti")
+        hits = packs.scan_packs(new, "review_id", "content", packs.NETWORK_RULES).select("review_id", F.lit(None).cast("string").alias("digest"), "rule", "pack", "severity", "tier")
+        none = [F.lit(None).cast("string").alias(c) for c in ("rule", "pack", "severity", "tier")]
+        return old.unionByName(new.select("review_id", "digest", *none).distinct()).unionByName(hits).distinct()
+
+    schema = "review_id long, digest string, rule string, pack string, severity string, tier string"
+    return streams.fold(streams.file_stream(spark, sf_dir, "review", 4), "changed", schema, scan).where("rule is not null").drop("digest")

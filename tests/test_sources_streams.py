@@ -66,3 +66,21 @@ def test_quality(spark):
     assert rows_of(quality.expectations(df.limit(0), {"pos": "v > 0"})) == [("pos", 0, 0)]
     text = spark.createDataFrame([(1, "'abcdef' 'abcdef' 'ghijkl' 'abcdef' 'ghijkl' 'ghijkl'"), (2, None)], "k int, t string")
     assert rows_of(quality.repeated_literals(text, "k", "t", top=1)) == [(1, "abcdef", 3)]
+
+
+def test_batches_are_folded_and_state_kept(spark, tmp_path):
+    rows = [(1, 7, "2024-01-01 01:00:00", "a"), (2, 7, "2024-01-03 02:00:00", "b"), (3, 7, "2024-01-02 05:00:00", "c"), (4, 8, "2024-01-02 05:00:00", "d"), (5, None, "2024-01-02 05:00:00", "e")]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for i in range(3):  # three files, three batches
+        df.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    batches = []
+
+    def step(old, batch):
+        batches.append(1)
+        return old.unionByName(batch.select("user_id", F.lit(1).cast("long").alias("n"))).groupBy("user_id").agg(F.sum("n").alias("n"))
+
+    folded = streams.fold(streams.file_stream(spark, str(tmp_path), "events", 1), "f", "user_id long, n long", step)
+    assert rows_of(folded) == sorted([(7, 3), (8, 1), (None, 1)], key=str) and len(batches) == 3
+    given = streams.run_to_table(streams.latest_by_key(streams.file_stream(spark, str(tmp_path), "events", 1), "user_id", "ts", "event_id", "event_type"), "k").collect()
+    last = {k: max((r.n, r.last) for r in given if r.user_id == k) for k in (7, 8)}
+    assert last == {7: (3, "b"), 8: (1, "d")}
