@@ -32,7 +32,8 @@ def all_terms(post: DataFrame, key: str, terms: list[str]) -> DataFrame:
 def bm25(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query_key: str = "item_id", query_text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``query_key``, ``key``, ``score``, ``hits`` of every document that has a term of the query.
 
-    Only postings of query terms are kept, before anything is shuffled; the document lengths come from the same pass.
+    Only postings of query terms are kept, before anything is shuffled, each with its document's length; the number of
+    documents and their average length take a pass of their own before, since every weight needs them.
     Queries are a stated set; their terms are joined by hash, broadcast only under Spark's size threshold.
     """
     terms = queries.select(query_key, F.explode(F.array_distinct(search_terms(F.col(query_text)))).alias("term"))

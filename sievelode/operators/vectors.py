@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,30 +40,42 @@ def random_forest(df: DataFrame, key: str, vector: str, label: str, trees: int =
     return out.select(key, F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), F.round(F.array_max(vector_to_array("probability")), 6).alias("confidence"))
 
 
+def _path(n: float) -> float:
+    """Mean depth at which a value is told apart in a random tree over ``n`` rows."""
+    return 0.0 if n <= 1 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+
+def _grow(x: np.ndarray, depth: int, limit: int, rng: np.random.Generator) -> tuple:
+    """A random tree: ``(column, cut, left, right)`` or ``(depth,)``."""
+    spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) > 1 else np.array([], dtype=int)
+    if depth >= limit or not len(spread):
+        return (depth + _path(len(x)),)
+    c = int(rng.choice(spread))
+    cut = float(rng.uniform(x[:, c].min(), x[:, c].max()))
+    return c, cut, _grow(x[x[:, c] < cut], depth + 1, limit, rng), _grow(x[x[:, c] >= cut], depth + 1, limit, rng)
+
+
 def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 50, sample: int = 256, seed: int = 1) -> DataFrame:
     """``key``, ``score`` in (0, 1) of an isolation forest; higher is stranger. Null values count as 0.
 
-    Each tree is grown on ``sample`` rows drawn by hash (a documented bound); every row is scored where it lies.
+    Each tree is grown in a task of its own on ``sample`` rows (a documented bound) that are drawn for it over the whole
+    table by a hash of tree and key: of the rows below a bound that about four samples pass, those with the least hash.
+    Every row is scored where it lies.
     """
     rows = df.select(F.col(key).cast("long").alias("k"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns))
-    drawn = rows.orderBy(F.xxhash64(F.lit(seed), "k")).limit(sample * 8).select(*columns)
-    pool = np.array([tuple(r) for r in drawn.collect()], dtype=float).reshape(-1, len(columns))
-    rng = np.random.default_rng(seed)
-    size = min(sample, len(pool))
+    n = rows.count()
+    size = min(sample, n)
     limit = max(1, math.ceil(math.log2(max(2, size))))
+    drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "tree", "k"), F.lit(1 << 40)))
+    drawn = drawn.where(F.col("h") <= int(min(1.0, 4 * sample / max(n, 1)) * (1 << 40)))
 
-    def path(n: float) -> float:
-        return 0.0 if n <= 1 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
-
-    def grow(x: np.ndarray, depth: int) -> tuple:
-        spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) > 1 else np.array([], dtype=int)
-        if depth >= limit or not len(spread):
-            return (depth + path(len(x)),)
-        c = int(rng.choice(spread))
-        cut = float(rng.uniform(x[:, c].min(), x[:, c].max()))
-        return c, cut, grow(x[x[:, c] < cut], depth + 1), grow(x[x[:, c] >= cut], depth + 1)
+    def grown(frame: pd.DataFrame) -> pd.DataFrame:
+        tree = int(frame["tree"].iloc[0])
+        x = frame.sort_values(["h", "k"])[columns].head(sample).to_numpy(dtype=float)
+        return pd.DataFrame({"tree": [tree], "model": [pickle.dumps(_grow(x, 0, limit, np.random.default_rng([seed, tree])))]})
 
-    forest = [grow(pool[rng.choice(len(pool), size, replace=False)], 0) for _ in range(trees)] if size else []
+    models = drawn.groupBy("tree").applyInPandas(grown, "tree int, model binary").collect()  # one row a tree
+    forest = [pickle.loads(r.model) for r in sorted(models)]
 
     def depths(tree: tuple, x: np.ndarray) -> np.ndarray:
         if len(tree) == 1:
@@ -75,6 +88,6 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 5
         for frame in frames:
             x = frame[columns].to_numpy(dtype=float)
             mean = np.mean([depths(t, x) for t in forest], axis=0) if forest else np.zeros(len(x))
-            yield pd.DataFrame({"k": frame["k"], "score": np.round(2 ** (-mean / max(path(size), 1e-9)), 6)})
+            yield pd.DataFrame({"k": frame["k"], "score": np.round(2 ** (-mean / max(_path(size), 1e-9)), 6)})
 
     return rows.mapInPandas(score, "k long, score double").withColumnRenamed("k", key)

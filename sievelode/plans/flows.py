@@ -20,7 +20,8 @@ def _flow_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taint.taint_flows(_flow_facts(spark, sf_dir))
+    """Flows from the sources and lookups of these files to the sinks and the calls by which they query, store and log."""
+    return taint.taint_flows(_flow_facts(spark, sf_dir), sources=(*taint.SOURCES, "get", "load"), sinks=(*taint.SINKS, "run", "query", "append", "info", "error", "warning"))
 
 
 @query()
@@ -44,7 +45,7 @@ def flow_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def adversarial_by_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = _flow_facts(spark, sf_dir)
-    return taint.adversarial(once(spark, sf_dir, "title", "line", "severity"), taint.taint_flows(facts), facts)
+    return taint.adversarial(once(spark, sf_dir, "title", "line", "severity"), taint.taint_flows(facts, sources=(*taint.SOURCES, "get", "load"), sinks=(*taint.SINKS, "run", "query")), facts)
 
 
 @query()
@@ -98,15 +99,14 @@ def dependency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules.join(counts, "repo").join(rings, "repo", "left").fillna(0, ["n_cyclic"])
 
 
-@query(f"""with {ONCE}, {EDGES}, named as (select review_id, ord, repo, regexp_extract(title, ' in ([a-z]+)$', 1) as word from f), parts as (select distinct repo, dst, unnest(string_split(regexp_replace(dst, '^[^.]*[.]', ''), '_')) as w from e), p2 as (select distinct repo, dst, unnest(string_split(w, '.')) as w from parts)
-select n.review_id, n.ord, count(distinct e.src) as n_callers from named n join p2 on p2.repo = n.repo and p2.w = n.word join e on e.repo = p2.repo and e.dst = p2.dst group by all""")
+@query()
 def issue_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many modules call the modules that a finding's title names; findings without such modules are left out."""
-    named = once(spark, sf_dir, "title", "repo").select("review_id", "ord", "repo", F.regexp_extract("title", " in ([a-z]+)$", 1).alias("word"))
-    simple = graph.simple_edges(edges(spark, sf_dir))
-    words = simple.withColumn("word", F.explode(F.array_distinct(F.split(F.regexp_replace("dst", r"^[^.]*[.]", ""), "[_.]")))).select("repo", "word", "src").distinct()
-    callers = words.groupBy("repo", "word").agg(F.count("*").alias("n_callers"))  # one row a name before the findings are joined
-    return named.join(callers, ["repo", "word"]).select("review_id", "ord", "n_callers")
+    """How many Python files of the repository import the file of each finding; findings that none imports are left out."""
+    rows = load(spark, sf_dir, "review")
+    imports = code_ast.module_edges(code_ast.code_facts(rows, lang="lang", path="path"), rows)
+    callers = imports.select("repo", F.element_at(F.split("dst", r"\."), -1).alias("stem"), "src").distinct().groupBy("repo", "stem").agg(F.count("*").alias("n_callers"))
+    stem = F.regexp_extract("file", r"([^/\\\\.]+)(?:\.[^/\\\\]*)?$", 1)
+    return once(spark, sf_dir, "repo", "file").withColumn("stem", stem).join(callers, ["repo", "stem"]).select("review_id", "ord", "n_callers")
 
 
 @query(f"""with recursive {EDGES}, seeds as (select repo, min(src) as a, max(dst) as b from e group by repo), r(repo, b, module, depth) as (select repo, b, a, 0 from seeds union select r.repo, r.b, e.dst, r.depth + 1 from r join e on e.repo = r.repo and e.src = r.module where r.depth < 400)

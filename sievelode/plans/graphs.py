@@ -31,9 +31,9 @@ def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.callers(e, graph.hubs(e))
 
 
-@query("select dst, kind, count(*) as n_refs, count(distinct src) as n_callers, coalesce(min(line), -1) as first_line from call_edges where dst is not null group by dst, kind")
+@query("select repo, dst, kind, count(*) as n_refs, count(distinct src) as n_callers, coalesce(min(line), -1) as first_line from call_edges where dst is not null group by repo, dst, kind")
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(spark, sf_dir).where("dst is not null").groupBy("dst", "kind").agg(
+    return edges(spark, sf_dir).where("dst is not null").groupBy("repo", "dst", "kind").agg(
         F.count("*").alias("n_refs"), F.count_distinct("src").alias("n_callers"), F.coalesce(F.min("line"), F.lit(-1)).alias("first_line")
     )
 

@@ -28,13 +28,13 @@ def _union(rules: tuple[packs.PackRule, ...], table: str = "review") -> str:
     return " union ".join(f"select review_id, '{r.name}' as rule, '{r.pack}' as pack, '{r.severity}' as severity, '{packs.tier_of(r)}' as tier from {table} where {_fires('content', r)}" for r in rules)
 
 
-def network_sql() -> str:
-    """The network pack over all reviews, for queries that reach the same another way."""
-    return _union(packs.NETWORK_RULES)
+def dimension_sql() -> str:
+    """The security dimensions over all reviews, for queries that reach the same another way."""
+    return _union(packs.DIMENSION_RULES)
 
 
-def _line(pattern: str) -> str:
-    before = f"regexp_extract(content, {_quoted('(?s:^(.*?))(?:' + pattern + ')')}, 1)"
+def _line(pattern: str, text: str = "content") -> str:
+    before = f"regexp_extract({text}, {_quoted('(?s:^(.*?))(?:' + pattern + ')')}, 1)"
     return f"length({before}) - length(replace({before}, chr(10), '')) + 1"
 
 
@@ -63,9 +63,9 @@ def command_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.scan_packs(reviews(spark, sf_dir), "review_id", "content", packs.GUARD_RULES)
 
 
-@query(DEFECTS)
+@query(" union ".join(f"select file_id, '{r.name}' as rule, '{r.severity}' as severity, '{packs.tier_of(r)}' as tier, cast({_line(r.pattern, 'src')} as int) as line from dep_audit where {_fires('src', r)}" for r in packs.KNOWN_DEFECTS))
 def known_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packs.scan_defects(reviews(spark, sf_dir), "review_id", "content")
+    return packs.scan_defects(load(spark, sf_dir, "dep_audit"), "file_id", "src")
 
 
 @query(f"""with {LINES}, m as (select review_id, line_no, line, case {SECRET} end as i from l), n(i, rule, severity, tier) as (values {NAMES})

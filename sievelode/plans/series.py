@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelode.operators import packs, state, timeseries
 from sievelode.plans.catalog import query
-from sievelode.plans.packs import network_sql
+from sievelode.plans.packs import dimension_sql
 from sievelode.sources.tables import load
 from sievelode.streaming import streams
 
@@ -16,7 +16,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-NETWORK = network_sql()
+DIMENSIONS = dimension_sql()
 W = "partition by user_id order by ts, event_id"
 
 
@@ -134,14 +134,14 @@ def stream_last_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.last_n(kept, ["repo"], order, 5).select("repo", "review_id", "ord", "place")
 
 
-@query(NETWORK)
+@query(DIMENSIONS)
 def stream_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Network rules over the files of a stream: a batch scans only files whose text was not seen before under their key."""
+    """Security rules over the files of a stream: a batch scans only files whose text was not seen before under their key."""
 
     def scan(old: DataFrame, batch: DataFrame) -> DataFrame:
         rows = batch.where("content is not null").select("review_id", "content", F.sha2("content", 256).alias("digest"))
         new = rows.join(old.select("review_id", "digest").distinct(), ["review_id", "digest"], "left_anti")
-        hits = packs.scan_packs(new, "review_id", "content", packs.NETWORK_RULES).select("review_id", F.lit(None).cast("string").alias("digest"), "rule", "pack", "severity", "tier")
+        hits = packs.scan_packs(new, "review_id", "content", packs.DIMENSION_RULES).select("review_id", F.lit(None).cast("string").alias("digest"), "rule", "pack", "severity", "tier")
         none = [F.lit(None).cast("string").alias(c) for c in ("rule", "pack", "severity", "tier")]
         return old.unionByName(new.select("review_id", "digest", *none).distinct()).unionByName(hits).distinct()
 
