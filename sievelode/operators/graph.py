@@ -39,6 +39,15 @@ def callers(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return simple_edges(edges).withColumnRenamed("dst", "seed").join(targets, ["repo", "seed"]).select("repo", "seed", F.col("src").alias("caller"))
 
 
+def neighbours(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """``repo``, ``seed``, ``module``, ``direction`` (``in``, ``out`` or ``both``) of what is one edge away from the targets (``repo``, ``seed``)."""
+    e = simple_edges(edges)
+    out = e.withColumnRenamed("src", "seed").join(targets, ["repo", "seed"]).select("repo", "seed", F.col("dst").alias("module"), F.lit(1).alias("d"))
+    back = e.withColumnRenamed("dst", "seed").join(targets, ["repo", "seed"]).select("repo", "seed", F.col("src").alias("module"), F.lit(2).alias("d"))
+    sums = out.unionByName(back).groupBy("repo", "seed", "module").agg(F.sum("d").alias("d"))
+    return sums.select("repo", "seed", "module", F.when(F.col("d") == 3, "both").when(F.col("d") == 2, "in").otherwise("out").alias("direction"))
+
+
 def layer_direction(edges: DataFrame, src_layer: Column, dst_layer: Column) -> DataFrame:
     """``repo``, ``src``, ``dst``, ``from_layer``, ``to_layer``, ``direction``: ``same``, ``down``, ``up`` (a violation), or ``unlayered`` where a layer is -1."""
     rows = simple_edges(edges).select("repo", "src", "dst", src_layer.alias("from_layer"), dst_layer.alias("to_layer"))

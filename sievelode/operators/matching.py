@@ -54,16 +54,14 @@ def glob_pattern(glob: str) -> str:
 
 
 def decide(df: DataFrame, path: str, rules: list[tuple[str, str]], order: tuple[str, ...], default: str) -> DataFrame:
-    """The rows with ``decision``: of all rules (action, glob) that fit the cleaned path, the first action of ``order`` wins."""
+    """The rows with ``decision`` and ``rule``: of all rules (action, glob) that fit the cleaned path, the first action of ``order`` wins, by its first glob; null ``rule`` for the default."""
     clean = normal_path(F.col(path))
-    out = F.lit(default)
+    found = F.struct(F.lit(default).alias("decision"), F.lit(None).cast("string").alias("rule"))
     for action in reversed(order):
-        fits = F.lit(False)
-        for a, glob in rules:
+        for a, glob in reversed(rules):
             if a == action:
-                fits = fits | clean.rlike(glob_pattern(glob))
-        out = F.when(fits, action).otherwise(out)
-    return df.withColumn("decision", out)
+                found = F.when(clean.rlike(glob_pattern(glob)), F.struct(F.lit(action).alias("decision"), F.lit(glob).alias("rule"))).otherwise(found)
+    return df.withColumn("_found", found).withColumn("decision", F.col("_found.decision")).withColumn("rule", F.col("_found.rule")).drop("_found")
 
 
 def missing_references(df: DataFrame, column: str, known: DataFrame, known_column: str) -> DataFrame:
@@ -80,3 +78,10 @@ def quality(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     row = df.agg(*aggregates)
     parts = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"{c}_null").alias("n_null"), F.col(f"{c}_blank").alias("n_blank")) for c in columns))
     return row.select("n_rows", "n_keys", F.explode(parts).alias("x")).select("x.column", "x.n_null", "x.n_blank", "n_rows", "n_keys")
+
+
+def mentions(df: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
+    """``key``, ``name`` of every known name that stands in a text as a word; names are lower case. Texts end in the scan, words are joined."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9][a-z0-9_-]*"), 0))
+    known = names.select(F.lower(name).alias("name")).where("name is not null").distinct()
+    return df.select(key, F.explode(words).alias("name")).join(known, "name", "left_semi").distinct().select(key, "name")

@@ -75,3 +75,24 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int)
     """The first ``n`` rows of each group in the given total order, with their ``rank``. Spark limits groups before the shuffle."""
     w = W.Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def merged_verdicts(parts: list[DataFrame], group: list[str]) -> DataFrame:
+    """``group``, ``verdict``, ``n_guards``: the worst verdict (fail, warn, pass) of several guards (``group``, ``verdict``) and how many spoke."""
+    rows = None
+    for part in parts:
+        one = part.select(*group, F.when(F.col("verdict") == "fail", 2).when(F.col("verdict") == "warn", 1).otherwise(0).alias("_rank"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy(*group).agg(verdict(F.max("_rank")).alias("verdict"), F.count("*").alias("n_guards"))
+
+
+def mutation_scores(results: DataFrame, group: list[str], outcome: str = "outcome") -> DataFrame:
+    """``group``, ``killed``, ``survived``, ``score`` in percent over rows of mutants; other outcomes (skipped, null) count in neither; null score without any."""
+    killed, survived = F.count_if(F.col(outcome) == "killed"), F.count_if(F.col(outcome) == "survived")
+    return results.groupBy(*group).agg(killed.alias("killed"), survived.alias("survived"), F.when(killed + survived > 0, F.round(100 * killed / (killed + survived), 1)).alias("score"))
+
+
+def coverage_gate(lines: DataFrame, group: list[str], covered: str = "covered", threshold: float = 80.0) -> DataFrame:
+    """``group``, ``lines``, ``hit``, ``pct`` and ``passed`` over rows of lines with a boolean ``covered`` (null counts as not); nothing to cover passes."""
+    n, hit = F.count("*"), F.count_if(F.coalesce(F.col(covered), F.lit(False)))
+    return lines.groupBy(*group).agg(n.alias("lines"), hit.alias("hit"), F.round(100 * hit / n, 1).alias("pct")).withColumn("passed", F.col("pct") >= threshold)

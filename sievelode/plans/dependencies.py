@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievelode.functions.scalar import normal_path
 from sievelode.operators import matching, scoring, state
 from sievelode.plans.catalog import query
+from sievelode.sources import readers
 from sievelode.sources.tables import load
 
 PARSED = """raw as (select distinct line_id, repo, source, line from dep_lines where line is not null and regexp_matches(line, '^\\s*[A-Za-z0-9]')),
@@ -131,3 +132,31 @@ def kept_refinements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scoring.latest(load(spark, sf_dir, "review").where("score is not null").select("review_id", "loaded_at", "score"), ["review_id"], "loaded_at")
     return rows.select("review_id", "loaded_at", F.col("score").alias("score_last"))
+
+
+RULE = " ".join(f"when regexp_full_match(p, '{matching.glob_pattern(g)[1:-1]}', 's') then '{g}'" for action in ("deny", "ask", "allow") for a, g in POLICY if a == action)
+
+
+@query(f"with x as (select distinct file_id, {CLEAN_PATH} as p from dep_audit where file is not null), y as (select distinct file_id, case {RULE} end as rule from x) select rule, count(*) as n_files from y group by rule")
+def policy_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rule decides how many files; null for those that none fits."""
+    files = load(spark, sf_dir, "dep_audit").where("file is not null").select("file_id", "file").distinct()
+    rows = matching.decide(files, "file", POLICY, ("deny", "ask", "allow"), "ask").select("file_id", "rule").distinct()
+    return rows.groupBy("rule").agg(F.count("*").alias("n_files"))
+
+
+KIND = "case " + " ".join(f"when regexp_matches(p, '{pattern}') then '{kind}'" for kind, pattern in readers.DEPENDENCY_FILES) + " end"
+
+
+@query(f"with x as (select distinct repo, file_id, {CLEAN_PATH} as p from dep_audit where file is not null union select distinct repo, line_id, source from dep_lines), y as (select repo, p, {KIND} as kind from x) select repo, kind, count(distinct p) as n_paths from y where kind is not null group by all")
+def dependency_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of dependency files that each repository has, by the paths of its files and the sources of its requirement lines."""
+    files = load(spark, sf_dir, "dep_audit").where("file is not null").select("repo", normal_path(F.col("file")).alias("p"))
+    rows = files.unionByName(load(spark, sf_dir, "dep_lines").select("repo", F.col("source").alias("p"))).distinct()
+    return rows.withColumn("kind", readers.dependency_file(F.col("p"))).where("kind is not null").groupBy("repo", "kind").agg(F.count_distinct("p").alias("n_paths"))
+
+
+@query("with w as (select distinct line_id, unnest(regexp_extract_all(lower(line), '[a-z0-9][a-z0-9_-]*')) as name from dep_lines where line is not null) select line_id, name from w where name in (select lower(package) from signatures)")
+def package_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirement lines, comments included, that name a package with a known signature."""
+    return matching.mentions(load(spark, sf_dir, "dep_lines"), "line_id", "line", load(spark, sf_dir, "signatures"), "package")

@@ -88,3 +88,9 @@ def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = prefixes(e.where("src is not null").select(F.col("src").alias("m")).distinct(), "m").select("prefix").distinct()
     imports = prefixes(e.where("kind = 'import' and dst is not null and src is not null").select("repo", "src", "dst").distinct(), "dst")
     return imports.join(known, "prefix").groupBy("repo", "src", "dst").agg(F.max("i").cast("bigint").alias("matched_parts"))
+
+
+@query(f"with {HUBS}, x as (select h.repo, h.seed, e.dst as module, 1 as d from h join e on e.repo = h.repo and e.src = h.seed union all select h.repo, h.seed, e.src, 2 from h join e on e.repo = h.repo and e.dst = h.seed) select repo, seed, module, case sum(d) when 3 then 'both' when 2 then 'in' else 'out' end as direction from x group by repo, seed, module")
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir)
+    return graph.neighbours(e, graph.hubs(e))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelode.functions.scalar import severity_weight
-from sievelode.operators import packs
+from sievelode.operators import packs, rules, scoring
 from sievelode.plans.catalog import query
+from sievelode.plans.findings import ONCE, SEVERITY, once
 from sievelode.sources.tables import load
 
 LINES = "l as (select distinct review_id, i as line_no, line from (select review_id, string_split(content, chr(10)) as s from review where content is not null), unnest(s) with ordinality u(line, i))"
@@ -131,3 +132,33 @@ def project_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_review(spark, sf_dir).join(home, "review_id").groupBy("repo").agg(
         F.count("*").alias("n_files"), F.bround(F.avg("score"), 0).cast("bigint").alias("average"), *(F.sum(t).alias(t) for t in ("p0", "p1", "p2")), verdict.alias("verdict")
     )
+
+
+@query(f"""with x as (select distinct review_id, content from review where content is not null), y as (select review_id, length(content) - length(regexp_replace(content, {_quoted(rules.RULE_COMMENT)}, '', 'g')) as n from x) select review_id, max(n) as emptied_chars from y where n > 0 group by review_id""")
+def self_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of comment lines that only name what rules look for, and are left out before a scan of rules."""
+    n = F.length("content") - F.length(rules.without_rule_comments(F.col("content")))
+    return reviews(spark, sf_dir).where("content is not null").select("review_id", n.cast("bigint").alias("n")).where("n > 0").groupBy("review_id").agg(F.max("n").alias("emptied_chars"))
+
+
+COUNT = "len(list_filter(string_split(replace(content, chr(13), ''), chr(10)), lambda x: regexp_matches(x, '{0}')))"
+
+
+@query(f"""with x as (select review_id, len(string_split(content, chr(10))) as n_lines, {COUNT.format('^[ ' + chr(9) + ']*$')} as n_blank, {COUNT.format('^[ ' + chr(9) + ']*(#|//|[*]|/[*])')} as n_comment, {COUNT.format('^[ ' + chr(9) + ']*(if|elif|else|for|while|except|catch|case|switch)' + chr(92) + 'b')} as n_branches from review where content is not null)
+select review_id, max(n_lines) as n_lines, max(n_blank) as n_blank, max(n_comment) as n_comment, max(n_branches) as n_branches, max(n_lines) - max(n_blank) - max(n_comment) as n_code from x group by review_id""")
+def line_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.line_estimates(reviews(spark, sf_dir), "review_id", "content")
+
+
+GUARDS = f"""a as (select repo, case when bool_or(coalesce({SEVERITY} in ('critical','high'), false)) then 'fail' else 'warn' end as verdict from f group by repo),
+b as (select repo, case when bool_or(tier = 'P0') then 'fail' else 'warn' end as verdict from ({_union(packs.TEXT_PACKS)}) join (select review_id, max(repo) as repo from review group by review_id) using (review_id) group by repo)"""
+
+
+@query(f"with {ONCE}, {GUARDS}, g as (select * from a union all select * from b) select repo, case when bool_or(verdict = 'fail') then 'fail' when bool_or(verdict = 'warn') then 'warn' else 'pass' end as verdict, count(*) as n_guards from g group by repo")
+def guard_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of two guards over each repository, its findings and the packs over its files, merged to the worst."""
+    home = reviews(spark, sf_dir).groupBy("review_id").agg(F.max("repo").alias("repo"))
+    hits = packs.scan_packs(reviews(spark, sf_dir), "review_id", "content").join(home, "review_id")
+    by_packs = hits.groupBy("repo").agg(F.when(F.bool_or(F.col("tier") == "P0"), "fail").otherwise("warn").alias("verdict"))
+    by_findings = scoring.guard_verdicts(once(spark, sf_dir, "repo", "severity"), ["repo"])
+    return scoring.merged_verdicts([by_findings, by_packs], ["repo"])

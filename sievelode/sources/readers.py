@@ -52,9 +52,25 @@ def front_matter(text: Column) -> Column:
 
 
 def declared_packages(text: Column) -> Column:
-    """Package names of a ``dependencies = [...]`` or ``install_requires=[...]`` block, in order."""
-    block = F.regexp_extract(text, r"(?:dependencies|install_requires)\s*=\s*\[([\s\S]*?)\]", 1)
-    return F.regexp_extract_all(block, F.lit(r"['\"]\s*([A-Za-z0-9_.-]+)"), 1)
+    """Package names of all ``dependencies = [...]`` and ``install_requires=[...]`` blocks, in order."""
+    blocks = F.regexp_extract_all(text, F.lit(r"(?:dependencies|install_requires)\s*=\s*\[([^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*)\]"), 1)
+    return F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r"['\"]\s*([A-Za-z0-9_.-]+)"), 1)))
+
+
+# ---- fixed values: names of files that declare dependencies ----
+DEPENDENCY_FILES = (
+    ("requirements", r"(^|/)requirements[\w.-]*\.txt$"), ("pyproject", r"(^|/)pyproject\.toml$"), ("setup", r"(^|/)setup\.(py|cfg)$"), ("pipfile", r"(^|/)Pipfile$"),
+    ("package", r"(^|/)package\.json$"), ("go", r"(^|/)go\.mod$"), ("maven", r"(^|/)pom\.xml$"), ("gradle", r"(^|/)build\.gradle(\.kts)?$"),
+    ("lock", r"(^|/)([\w.-]+\.lock|package-lock\.json|pnpm-lock\.yaml|go\.sum)$"),
+)
+
+
+def dependency_file(path: Column) -> Column:
+    """Kind of dependency file that a clean path names; null for any other file."""
+    out = F.lit(None).cast("string")
+    for kind, pattern in reversed(DEPENDENCY_FILES):
+        out = F.when(path.rlike(pattern), kind).otherwise(out)
+    return out
 
 
 def write_capped(df: DataFrame, path: str, group: list[str], order: list[Column], cap: int) -> None:

@@ -354,3 +354,25 @@ def test_layers_and_paths(spark):
     assert {(r.src, r.dst): r.direction for r in graph.layer_direction(e, *level).collect()} == {("a", "b"): "up", ("b", "c"): "up", ("c", "a"): "down", ("d", "c"): "unlayered"}
     ends = spark.createDataFrame([("g", "a", "c"), ("g", "a", "a"), ("g", "a", "d"), ("g", "d", "b")], "repo string, src string, dst string")
     assert {(r.src, r.dst): r.steps for r in graph.path_lengths(e, ends).collect()} == {("a", "c"): 2, ("a", "a"): 0, ("a", "d"): -1, ("d", "b"): 3}
+
+
+def test_result_rows(spark):
+    rows = spark.createDataFrame([("a", "killed"), ("a", "survived"), ("a", "killed"), ("a", None), ("b", "skipped")], "f string, outcome string")
+    assert rows_of(scoring.mutation_scores(rows, ["f"])) == [("a", 2, 1, 66.7), ("b", 0, 0, None)]
+    lines = spark.createDataFrame([("a", True), ("a", None), ("b", True), ("b", True)], "f string, covered boolean")
+    assert rows_of(scoring.coverage_gate(lines, ["f"])) == [("a", 2, 1, 50.0, False), ("b", 2, 2, 100.0, True)]
+    guards = [spark.createDataFrame([(r, v)], "repo string, verdict string") for r, v in (("x", "pass"), ("x", "warn"), ("y", "fail"), ("y", "pass"))]
+    assert rows_of(scoring.merged_verdicts(guards, ["repo"])) == [("x", "warn", 2), ("y", "fail", 2)]
+
+
+def test_deciding_rules_and_mentions(spark):
+    df = spark.createDataFrame([("src/a.min.js",), ("src/a.py",), ("x/a.py",), (None,)], "p string")
+    got = {r.p: (r.decision, r.rule) for r in matching.decide(df, "p", [("allow", "src/*"), ("deny", "*.min.js")], ("deny", "allow"), "ask").collect()}
+    assert got == {"src/a.min.js": ("deny", "*.min.js"), "src/a.py": ("allow", "src/*"), "x/a.py": ("ask", None), None: ("ask", None)}
+    texts = spark.createDataFrame([(1, "Uses Flask-x and flask."), (2, None), (3, "flasks")], "doc_id long, text string")
+    names = spark.createDataFrame([("Flask",), (None,)], "package string")
+    assert rows_of(matching.mentions(texts, "doc_id", "text", names, "package")) == [(1, "flask")]
+    text = "# eval( is found\nx = 1  # eval\n  # plain\n"
+    assert one(spark, rules.without_rule_comments(F.col("t")), t=text) == "\nx = 1  # eval\n  # plain\n"
+    estimates = spark.createDataFrame([(1, "if a:\n    b\n\n# c\n"), (2, None)], "k long, t string")
+    assert rows_of(rules.line_estimates(estimates, "k", "t").select("k", "n_lines", "n_blank", "n_comment", "n_branches", "n_code")) == [(1, 5, 2, 1, 1, 2)]

@@ -34,8 +34,8 @@ def test_rows_json_and_front_matter(spark, tmp_path):
     assert rows_of(readers.json_rows(spark, str(tmp_path / "r.json"), "a int, b int")) == [(1, None), (None, 2)]
     df = spark.createDataFrame([("---\nname: x: y\n bad\nname: z\nk:v\n---\nbody",), ("no",), (None,)], "t string").select(readers.front_matter(F.col("t")).alias("m"))
     assert [r.m for r in df.collect()] == [{"name": "x: y", "k": "v"}, {}, None]
-    text = 'x\ndependencies = [\n  "a>=1",\n  \'b-c\'\n]\n'
-    assert spark.createDataFrame([(text,)], "t string").select(readers.declared_packages(F.col("t"))).first()[0] == ["a", "b-c"]
+    text = 'x\ndependencies = [\n  "a[z]>=1",\n  \'b-c\'\n]\ninstall_requires=["d"]\n'
+    assert spark.createDataFrame([(text,)], "t string").select(readers.declared_packages(F.col("t"))).first()[0] == ["a", "b-c", "d"]
 
 
 def test_sinks(spark, tmp_path):
