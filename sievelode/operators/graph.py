@@ -7,6 +7,8 @@ each solved in a task, without rounds; only larger ones take rounds. Both ways g
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,15 +63,46 @@ def path_lengths(edges: DataFrame, ends: DataFrame) -> DataFrame:
     return ends.join(met, ["repo", "src", "dst"], "left").select("repo", "src", "dst", F.when(F.col("src") == F.col("dst"), 0).otherwise(F.coalesce("depth", F.lit(-1))).cast("int").alias("steps"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, max_depth: int | None = None) -> DataFrame:
+def _walks(max_depth: int | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Breadth first from every seed of one repository: what is met, with its depth."""
+
+    def walk(steps: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+        after: dict[str, list[str]] = {}
+        for a, b in zip(steps["module"], steps["next"], strict=True):
+            after.setdefault(a, []).append(b)
+        rows = []
+        for seed in seeds["seed"]:
+            met, now, depth = {seed}, [seed], 0
+            while now and (max_depth is None or depth < max_depth):
+                depth += 1
+                now = list(dict.fromkeys(b for a in now for b in after.get(a, ()) if b not in met))
+                met.update(now)
+                rows += [(seed, b, depth) for b in now]
+        out = pd.DataFrame(rows, columns=["seed", "module", "depth"])
+        out.insert(0, "repo", steps["repo"].iloc[0] if len(steps) else seeds["home"].iloc[0])
+        return out
+
+    return walk
+
+
+def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, max_depth: int | None = None, small: int = 20_000_000) -> DataFrame:
     """``repo``, ``seed``, ``module``, ``depth``: everything that the seeds reach, by the shortest way.
 
     Breadth first; the seed itself is not given. Cycles end, since only modules not met before go on. ``max_depth`` is
-    for queries that ask for a number of steps.
+    for queries that ask for a number of steps. A repository whose edges times seeds are counted to be at most ``small``
+    is walked in a task; all others take rounds together.
     """
     e = simple_edges(edges)
     step = e.select("repo", F.col("dst" if reverse else "src").alias("module"), F.col("src" if reverse else "dst").alias("next"))
-    step = cut_lineage(step)
+    step, seeds = cut_lineage(step), cut_lineage(seeds.select("repo", "seed").distinct())
+    sizes = step.groupBy("repo").agg(F.count("*").alias("n")).join(seeds.groupBy("repo").agg(F.count("*").alias("m")), "repo")
+    large = cut_lineage(sizes.where(F.col("n") * F.col("m") > small).select("repo"))
+    steps_here = step.join(large, "repo", "left_anti")
+    seeds_here = seeds.join(large, "repo", "left_anti").select(F.col("repo").alias("home"), "seed")
+    whole = steps_here.groupBy("repo").cogroup(seeds_here.groupBy("home")).applyInPandas(_walks(max_depth), "repo string, seed string, module string, depth int")
+    if large.isEmpty():
+        return whole
+    step, seeds = (cut_lineage(df.join(large, "repo", "left_semi")) for df in (step, seeds))
     met = cut_lineage(seeds.select("repo", "seed", F.col("seed").alias("module"), F.lit(0).alias("depth")))
     frontier = met
     depth = 0
@@ -82,7 +115,7 @@ def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, max_depth:
         met = met.unionByName(frontier)  # each part is written, so the union has no long lineage
         if depth % 16 == 0:  # nor many parts
             met = cut_lineage(met.repartition("repo", "module"))
-    return met.where("depth > 0")
+    return whole.unionByName(met.where("depth > 0"))
 
 
 def _spread(labels: DataFrame, step: DataFrame) -> DataFrame:

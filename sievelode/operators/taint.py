@@ -133,20 +133,21 @@ def taint_flows(facts: DataFrame, key: str = "review_id", sources: tuple[str, ..
     """``key``, ``scope``, ``line``, ``sink``, ``distance``: calls of a sink that outside data reaches.
 
     Outside data enters by a parameter with a telling name or by a source's result, and goes on along assignments, over
-    any number of names (``distance`` assignments; 0 where the source is the argument itself). Each function is a graph of its own.
+    any number of names (``distance`` assignments; 0 where the source is the argument itself).
     """
     entry = (
         facts.where((F.col("kind") == "parameter") & F.col("a").isin(*ENTRY_PARAMETERS) | (F.col("kind") == "from-call") & _is("b", sources))
         .select(key, "scope", F.col("a").alias("name")).distinct()
     )
-    home = F.concat_ws("\n", F.col(key).cast("string"), "scope")
-    edges = facts.where("kind = 'from-name'").select(home.alias("repo"), F.col("b").alias("src"), F.col("a").alias("dst"))
-    reached = graph.reach(edges, entry.select(home.alias("repo"), F.col("name").alias("seed")))
-    tainted = entry.select(home.alias("home"), "name", F.lit(1).alias("distance")).unionByName(
-        reached.select(F.col("repo").alias("home"), F.col("module").alias("name"), (F.col("depth") + 1).alias("distance"))
-    ).groupBy("home", "name").agg(F.min("distance").alias("distance"))
-    used = facts.where((F.col("kind") == "argument") & _is("a", sinks)).select(key, "scope", "line", F.col("a").alias("sink"), home.alias("home"), F.col("b").alias("name"))
-    through = used.join(tainted, ["home", "name"]).select(key, "scope", "line", "sink", "distance")
+    home = F.col(key).cast("string")  # a file is a graph whose nodes are the names of its functions
+    node = lambda name: F.concat_ws("\n", "scope", name)
+    edges = facts.where("kind = 'from-name'").select(home.alias("repo"), node("b").alias("src"), node("a").alias("dst"))
+    begin = entry.select(home.alias("repo"), node("name").alias("seed"))
+    reached = graph.reach(edges, begin)
+    tainted = begin.select("repo", F.col("seed").alias("node"), F.lit(1).alias("distance")).unionByName(reached.select("repo", F.col("module").alias("node"), (F.col("depth") + 1).alias("distance")))
+    tainted = tainted.groupBy("repo", "node").agg(F.min("distance").alias("distance"))
+    used = facts.where((F.col("kind") == "argument") & _is("a", sinks)).select(key, "scope", "line", F.col("a").alias("sink"), home.alias("repo"), node("b").alias("node"))
+    through = used.join(tainted, ["repo", "node"]).select(key, "scope", "line", "sink", "distance")
     direct = facts.where((F.col("kind") == "nested") & _is("a", sinks) & _is("b", sources)).select(key, "scope", "line", F.col("a").alias("sink"), F.lit(0).alias("distance"))
     return through.unionByName(direct).groupBy(key, "scope", "line", "sink").agg(F.min("distance").cast("int").alias("distance"))
 

@@ -129,13 +129,23 @@ def quick_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "cut_lineage", lambda df: spark.createDataFrame(df.toArrow()))
 
 
-def test_reach_goes_on_to_the_end(spark, quick_rounds):
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_reach_goes_on_to_the_end(spark, quick_rounds, small):
     names = [f"m{i:04d}" for i in range(67)]
     deep = edge_table(spark, list(zip(names, names[1:], strict=False)))
-    found = graph.reach(deep, spark.createDataFrame([("g", names[0])], "repo string, seed string"))
+    found = graph.reach(deep, spark.createDataFrame([("g", names[0])], "repo string, seed string"), small=small)
     assert {r.module: r.depth for r in spark.createDataFrame(found.toArrow()).collect()} == {n: i for i, n in enumerate(names) if i}
 
 
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_reach_in_tasks_and_in_rounds(spark, quick_rounds, small):
+    e = edge_table(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "x"), ("d", None)]).unionByName(spark.createDataFrame([("h", "a", "z")], "repo string, src string, dst string"))
+    seeds = spark.createDataFrame([("g", "a"), ("g", "d"), ("h", "a"), ("none", "q"), ("g", "a")], "repo string, seed string")
+    found = {tuple(r) for r in graph.reach(e, seeds, small=small).collect()}
+    assert found == {("g", "a", "b", 1), ("g", "a", "c", 2), ("g", "a", "d", 3), ("h", "a", "z", 1)}
+    assert {tuple(r) for r in graph.reach(e, seeds, reverse=True, max_depth=1, small=small).collect()} == {("g", "a", "c", 1), ("g", "d", "c", 1)}
+
+
 @pytest.mark.parametrize("small", [0, 1000])
 def test_long_rings_and_chains(spark, quick_rounds, small):
     ring = [f"m{i:03d}" for i in range(300 if small else 20)]
