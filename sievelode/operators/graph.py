@@ -7,9 +7,10 @@ each solved in a task, without rounds; only larger ones take rounds. Both ways g
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,26 +64,24 @@ def path_lengths(edges: DataFrame, ends: DataFrame) -> DataFrame:
     return ends.join(met, ["repo", "src", "dst"], "left").select("repo", "src", "dst", F.when(F.col("src") == F.col("dst"), 0).otherwise(F.coalesce("depth", F.lit(-1))).cast("int").alias("steps"))
 
 
-def _walks(max_depth: int | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Breadth first from every seed of one repository: what is met, with its depth."""
-
-    def walk(steps: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
-        after: dict[str, list[str]] = {}
-        for a, b in zip(steps["module"], steps["next"], strict=True):
-            after.setdefault(a, []).append(b)
+def _walks(batches: Iterator[pa.RecordBatch], max_depth: int | None) -> Iterator[pa.RecordBatch]:
+    """Breadth first from every seed of each repository (a row with its steps and seeds): what is met, with its depth."""
+    for batch in batches:
         rows = []
-        for seed in seeds["seed"]:
-            met, now, depth = {seed}, [seed], 0
-            while now and (max_depth is None or depth < max_depth):
-                depth += 1
-                now = list(dict.fromkeys(b for a in now for b in after.get(a, ()) if b not in met))
-                met.update(now)
-                rows += [(seed, b, depth) for b in now]
-        out = pd.DataFrame(rows, columns=["seed", "module", "depth"])
-        out.insert(0, "repo", steps["repo"].iloc[0] if len(steps) else seeds["home"].iloc[0])
-        return out
-
-    return walk
+        for repo, steps, seeds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            after: dict[str, list[str]] = {}
+            for step in steps:
+                after.setdefault(step["module"], []).append(step["next"])
+            for seed in seeds:
+                met, now, depth = {seed}, [seed], 0
+                while now and (max_depth is None or depth < max_depth):
+                    depth += 1
+                    now = list(dict.fromkeys(b for a in now for b in after.get(a, ()) if b not in met))
+                    met.update(now)
+                    rows += [(repo, seed, b, depth) for b in now]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        types = (pa.string(), pa.string(), pa.string(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["repo", "seed", "module", "depth"])
 
 
 def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, max_depth: int | None = None, small: int = 20_000_000) -> DataFrame:
@@ -97,9 +96,10 @@ def reach(edges: DataFrame, seeds: DataFrame, reverse: bool = False, max_depth:
     step, seeds = cut_lineage(step), cut_lineage(seeds.select("repo", "seed").distinct())
     sizes = step.groupBy("repo").agg(F.count("*").alias("n")).join(seeds.groupBy("repo").agg(F.count("*").alias("m")), "repo")
     large = cut_lineage(sizes.where(F.col("n") * F.col("m") > small).select("repo"))
-    steps_here = step.join(large, "repo", "left_anti")
-    seeds_here = seeds.join(large, "repo", "left_anti").select(F.col("repo").alias("home"), "seed")
-    whole = steps_here.groupBy("repo").cogroup(seeds_here.groupBy("home")).applyInPandas(_walks(max_depth), "repo string, seed string, module string, depth int")
+    steps_here = step.join(large, "repo", "left_anti").groupBy("repo").agg(F.collect_list(F.struct("module", "next")).alias("steps"))
+    seeds_here = seeds.join(large, "repo", "left_anti").groupBy("repo").agg(F.collect_list("seed").alias("seeds"))
+    both = steps_here.join(seeds_here, "repo").select("repo", "steps", "seeds")  # each within the bound
+    whole = both.mapInArrow(lambda b: _walks(b, max_depth), "repo string, seed string, module string, depth int")
     if large.isEmpty():
         return whole
     step, seeds = (cut_lineage(df.join(large, "repo", "left_semi")) for df in (step, seeds))

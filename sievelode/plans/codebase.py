@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelode.operators import code_ast, rules
 from sievelode.plans.catalog import query
+from sievelode.session import spread
 from sievelode.sources.tables import load
 
 
@@ -26,7 +27,7 @@ FIRST = " ".join(f"when {_fires('line', r)} then '{r.name}'" for r in rules.SECU
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "review")
+    return spread(load(spark, sf_dir, "review"))
 
 
 @query(ALL)

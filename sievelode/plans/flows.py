@@ -10,12 +10,12 @@ from sievelode.plans import dependencies
 from sievelode.plans.catalog import query
 from sievelode.plans.findings import ONCE, SEVERITY, once
 from sievelode.plans.graphs import COUPLING, EDGES, edges
-from sievelode.session import written
+from sievelode.session import spread, written
 from sievelode.sources.tables import load
 
 
 def _flow_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(taint.flow_facts(load(spark, sf_dir, "review")))  # files are parsed once
+    return written(taint.flow_facts(spread(load(spark, sf_dir, "review"))))  # files are parsed once
 
 
 @query()
@@ -50,7 +50,7 @@ def adversarial_by_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def function_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_ast.function_report(code_ast.code_facts(load(spark, sf_dir, "review"), lang="lang", path="path"))
+    return code_ast.function_report(code_ast.code_facts(spread(load(spark, sf_dir, "review")), lang="lang", path="path"))
 
 
 # ---- graphs ----

@@ -9,6 +9,7 @@ from sievelode.functions.scalar import severity_weight
 from sievelode.operators import packs, rules, scoring
 from sievelode.plans.catalog import query
 from sievelode.plans.findings import ONCE, SEVERITY, once
+from sievelode.session import spread
 from sievelode.sources.tables import load
 
 LINES = "l as (select distinct review_id, i as line_no, line from (select review_id, string_split(content, chr(10)) as s from review where content is not null), unnest(s) with ordinality u(line, i))"
@@ -46,7 +47,7 @@ NAMES = ", ".join(f"({i}, '{r.name}', '{r.severity}', '{'P0' if r.severity == 'c
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "review")
+    return spread(load(spark, sf_dir, "review"))
 
 
 @query(_union(packs.DIMENSION_RULES))
