@@ -320,34 +320,47 @@ _BASE = "struct<cls:string,base:string,ord:int,stem:string>"
 
 
 def _extracted(df: DataFrame, key: str, text: str, lang: str, path: str, repo: str, with_code: bool) -> DataFrame:
-    """``k, repo, fam, stem, cls, name, line, doc, says, code`` of the functions that say something or may inherit it; ``bases`` and ``classes`` of a file on its first row."""
-    schema = f"k long, repo string, fam string, stem string, cls string, name string, line int, doc string, says boolean, code string, bases array<{_BASE}>, classes array<string>"
+    """``rid, k, repo, fam, stem, cls, name, line, doc, says, code`` of the functions that say something or may inherit it; ``bases`` and ``classes`` of a file on its first row."""
+    schema = f"rid long, k long, repo string, fam string, stem string, cls string, name string, line int, doc string, says boolean, code string, bases array<{_BASE}>, classes array<string>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_type = pa.list_(pa.struct([("cls", pa.string()), ("base", pa.string()), ("ord", pa.int32()), ("stem", pa.string())]))
-        types = (pa.int64(), *[pa.string()] * 5, pa.int32(), pa.string(), pa.bool_(), pa.string(), base_type, pa.list_(pa.string()))
-        names = ["k", "repo", "fam", "stem", "cls", "name", "line", "doc", "says", "code", "bases", "classes"]
+        types = (pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int32(), pa.string(), pa.bool_(), pa.string(), base_type, pa.list_(pa.string()))
+        names = ["rid", "k", "repo", "fam", "stem", "cls", "name", "line", "doc", "says", "code", "bases", "classes"]
         for batch in batches:
             out: list[tuple] = []
-            for k, body, language, place, home in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for rid, k, body, language, place, home in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not body:
                     continue
                 fam = family(language, place, body)
                 functions, bases, classes = extract(body, fam)
-                rows, deriving = [], {b[0] for b in bases}
+                found, deriving = {}, {b[0] for b in bases}
                 for name, line, cls, doc, start, end in functions:
-                    if (says := says_something(doc, name)) or cls in deriving:
-                        rows.append((cls, name, line, doc if says else None, says, body[start:end].rstrip() if with_code else None))
+                    says = says_something(doc, name)
+                    # Of functions with one name on one line, one that says something counts.
+                    if (says or cls in deriving) and ((name, line) not in found or says and not found[name, line][4]):
+                        found[name, line] = (cls, name, line, doc if says else None, says, body[start:end].rstrip() if with_code else None)
+                rows = list(found.values())
                 if classes and not rows:
                     rows.append((None, None, None, None, False, None))
                 for i, row in enumerate(rows):
                     links = [{"cls": c, "base": b, "ord": n, "stem": s} for c, b, n, s in bases]
-                    out.append((k, home, fam, stem_of(place), *row, *((links or None, classes or None) if i == 0 else (None, None))))
+                    out.append((rid, k, home, fam, stem_of(place), *row, *((links or None, classes or None) if i == 0 else (None, None))))
             columns = list(zip(*out, strict=True)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    rows = df.select(F.col(key).cast("long").alias("k"), *(F.col(c).cast("string").alias(n) for c, n in ((text, "t"), (lang, "l"), (path, "p"), (repo, "r"))))
-    return rows.mapInArrow(scan, schema)
+    fields = (F.col(c).cast("string").alias(n) for c, n in ((text, "t"), (lang, "l"), (path, "p"), (repo, "r")))
+    return df.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("k"), *fields).mapInArrow(scan, schema)
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """The functions, each once a key, name and line. Only rows of keys that were delivered more than once are shuffled."""
+    again = written(rows.select("k", "rid").distinct().groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("again")))
+    same = F.col("k").eqNullSafe(F.col("again"))
+    functions = rows.where("name is not null").drop("rid", "bases", "classes")
+    first = functions.join(again, same, "left_semi").groupBy("k", "name", "line").agg(F.min(F.struct(~F.col("says"), *(c for c in functions.columns if c not in ("k", "name", "line")))).alias("x"))
+    kept = first.select(*(c if c in ("k", "name", "line") else F.col(f"x.{c}").alias(c) for c in functions.columns))
+    return functions.join(again, same, "left_anti").unionByName(kept)
 
 
 def _hierarchy(rows: DataFrame) -> DataFrame:
@@ -423,11 +436,11 @@ def function_pairs(
     """
     rows = written(_extracted(df, key, text, lang, path, repo, with_code).withColumn("repo", F.coalesce("repo", F.lit(""))))
     found = _inherited(rows)
-    functions = rows.where("name is not null")
-    own = functions.where("says").select("k", "name", "line", "cls", "doc", F.lit("own").alias("source"), "code").dropDuplicates(["k", "name", "line"])
+    functions = _once(rows)
+    own = functions.where("says").select("k", "name", "line", "cls", "doc", F.lit("own").alias("source"), "code")
     docs = functions.where("says and cls is not null").groupBy(F.col("k").alias("dk"), F.col("cls").alias("dcls"), "name").agg(F.min_by("doc", "line").alias("doc"))
     inherited = (
-        functions.where("not says").select("k", "name", "line", "cls", "code").dropDuplicates(["k", "name", "line"])
+        functions.where("not says").select("k", "name", "line", "cls", "code")
         .join(found, ["k", "name", "line"]).join(docs, ["dk", "dcls", "name"])
         .select("k", "name", "line", "cls", "doc", F.lit("inherited").alias("source"), "code")
     )

@@ -202,6 +202,20 @@ def test_documented_functions(spark):
     assert function_docs.documented(df.limit(0)).count() == 0
 
 
+def test_one_row_a_name_and_line(spark):
+    """Files with functions on one line, keys delivered twice with equal, longer or null texts, and null keys."""
+    line = "/** Counts all the open rows here. */ function a(x) { } /** Counts all the open rows here. */ function a(y) { }\n"
+    more = line + "/** Closes every one of the rows. */\nfunction b(x) { }\n"
+    df = reviews(spark, [(1, "a.js", None, line, None, None), (2, "a.js", None, line, None, None), (2, "a.js", None, more, None, None), (2, None, None, None, None, None), (None, "a.js", None, more, None, None), (None, "a.js", None, more, None, None)])
+    want = [(1, "a", 1), (2, "a", 1), (2, "b", 3), (None, "a", 1), (None, "b", 3)]
+    assert sorted(rows_of_any(function_docs.documented(df).drop("doc")), key=str) == sorted(want, key=str)
+    assert sorted(rows_of_any(function_docs.function_pairs(df).select("review_id", "func_name", "func_line")), key=str) == sorted(want, key=str)
+
+
+def rows_of_any(df):
+    return [tuple(r) for r in df.collect()]
+
+
 def test_circular_bases_end(spark):
     text = "class A(B):\n    def f(self):\n        pass\n\nclass B(A):\n    def f(self):\n        pass\n"
     assert function_docs.function_pairs(reviews(spark, [(1, "a.py", None, text, None, None)])).count() == 0
