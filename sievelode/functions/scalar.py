@@ -81,6 +81,9 @@ def search_terms(text: Column) -> Column:
 
 
 def keywords(text: Column, limit: int = 12) -> Column:
-    """The first distinct words of three or more Latin letters or two or more Han letters, in lower case."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z_]{3,}|[\x{4e00}-\x{9fff}]{2,}"), 0)
-    return F.slice(F.array_distinct(found), 1, limit)
+    """The first distinct of: runs of two or more Han letters, the pairs within them, words of three or more Latin letters in lower case."""
+    runs = F.regexp_extract_all(text, F.lit(r"[\x{4e00}-\x{9fff}]{2,}"), 0)
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]{3,}"), 0)
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))
+    found = _let(runs, lambda h: F.concat(h, F.flatten(F.transform(h, pairs))))
+    return F.slice(F.array_distinct(F.concat(found, words)), 1, limit)

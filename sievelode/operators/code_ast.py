@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import builtins
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from sievelode.functions.languages import family
 
+_MUTATORS = ("append", "extend", "insert", "pop", "remove", "clear", "add", "discard")
+_RETURN_CODES = ("os.system", "subprocess.run", "subprocess.call")
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert)
 
 
@@ -38,6 +41,29 @@ def cognitive(function: ast.AST) -> int:
     return total
 
 
+def _is_forwarding(function: ast.FunctionDef | ast.AsyncFunctionDef) -> bool:
+    """Whether a function only passes its plain arguments on to one call."""
+    plain = not function.args.vararg and not function.args.kwarg and not any(a.arg.startswith("_") for a in function.args.args)
+    one = len(function.body) == 1 and isinstance(function.body[0], ast.Return | ast.Expr)
+    return plain and one and sum(isinstance(x, ast.Call) for x in ast.walk(function)) == 1
+
+
+def _changes_what_it_walks(loop: ast.For | ast.AsyncFor) -> Iterator[int]:
+    """Lines in a loop over a name on which that name's container is changed."""
+    if not isinstance(loop.iter, ast.Name):
+        return
+    for x in ast.walk(loop):
+        if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr in _MUTATORS:
+            if isinstance(x.func.value, ast.Name) and x.func.value.id == loop.iter.id:
+                yield x.lineno
+
+
+def _repeated_literals(tree: ast.AST, least: int = 3, top: int = 3) -> list[tuple[str, int]]:
+    """The ``top`` string constants of four or more characters that stand ``least`` times or more; ties by text."""
+    counts = Counter(x.value for x in ast.walk(tree) if isinstance(x, ast.Constant) and isinstance(x.value, str) and len(x.value) >= 4)
+    return sorted(((s, n) for s, n in counts.items() if n >= least), key=lambda x: (-x[1], x[0]))[:top]
+
+
 def _facts(tree: ast.AST) -> Iterator[tuple[str, str, str, int, int]]:
     """``(kind, scope, name, line, number)`` of a module: functions, classes, imports, names, calls and findings."""
 
@@ -53,9 +79,16 @@ def _facts(tree: ast.AST) -> Iterator[tuple[str, str, str, int, int]]:
                 yield "length", scope, child.name, line, (child.end_lineno or line) - line + 1
                 if any(isinstance(d, ast.List | ast.Dict | ast.Set) for d in [*child.args.defaults, *child.args.kw_defaults]):
                     yield "mutable-default", scope, child.name, line, 1
+                if child.name.startswith("_") and sum(isinstance(x, ast.stmt) for x in ast.walk(child)) <= 2:
+                    yield "thin-private", scope, child.name, line, 1
+                if _is_forwarding(child):
+                    yield "forwarding", scope, child.name, line, 1
             elif isinstance(child, ast.ClassDef):
                 inner = f"{scope}.{child.name}" if scope else child.name
                 yield "class", scope, child.name, line, len(child.bases)
+                methods = [x.name for x in child.body if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef)]
+                if methods == ["__init__"]:
+                    yield "only-init", scope, child.name, line, 1
             elif isinstance(child, ast.Import | ast.ImportFrom):
                 for alias in child.names:
                     yield "import", getattr(child, "module", None) or alias.name, (alias.asname or alias.name).split(".")[0], line, 1
@@ -77,6 +110,11 @@ def _facts(tree: ast.AST) -> Iterator[tuple[str, str, str, int, int]]:
                 yield "endless-loop", scope, "while", line, 1
             elif isinstance(child, ast.ExceptHandler) and child.type is None:
                 yield "bare-except", scope, "except", line, 1
+            elif isinstance(child, ast.For | ast.AsyncFor):
+                for at in _changes_what_it_walks(child):
+                    yield "mutated-loop", scope, "for", at, 1
+            elif isinstance(child, ast.Expr) and isinstance(child.value, ast.Call) and ast.unparse(child.value.func) in _RETURN_CODES:
+                yield "ignored-result", scope, ast.unparse(child.value.func), line, 1
             elif isinstance(child, ast.Compare) and any(isinstance(c, ast.Constant) and c.value is None for c in child.comparators) and any(isinstance(o, ast.Eq | ast.NotEq) for o in child.ops):
                 yield "none-compare", scope, "==", line, 1
             for body in (getattr(child, "body", None), getattr(child, "orelse", None)):
@@ -86,6 +124,8 @@ def _facts(tree: ast.AST) -> Iterator[tuple[str, str, str, int, int]]:
             yield from walk(child, inner)
 
     yield from walk(tree, "")
+    for text, n in _repeated_literals(tree):
+        yield "repeated-literal", "", text, 1, n
 
 
 def code_facts(df: DataFrame, key: str = "review_id", text: str = "content", lang: str | None = None, path: str | None = None) -> DataFrame:
@@ -143,6 +183,18 @@ def function_report(facts: DataFrame, key: str = "review_id", high: int = 10) ->
     return rows.withColumn("verdict", F.when(F.col("cyclomatic") > high, "high").when(F.col("cyclomatic") > high // 2, "warn").otherwise("ok"))
 
 
+def reuse_rules(facts: DataFrame, key: str = "review_id") -> DataFrame:
+    """``key``, ``rule``, ``name``, ``line``, ``n``: functions of one statement whose name begins with an underscore (``__init__`` too), functions that only forward, classes with nothing but ``__init__``, and repeated literals."""
+    kinds = ("thin-private", "forwarding", "only-init", "repeated-literal")
+    return facts.where(F.col("kind").isin(*kinds)).groupBy(key, F.col("kind").alias("rule"), "name", "line").agg(F.max("number").alias("n"))
+
+
+def defined_names(facts: DataFrame, key: str = "review_id") -> DataFrame:
+    """``key``, ``name``: the functions and classes that a file defines and the top packages that it imports, of two or more characters."""
+    name = F.when(F.col("kind") == "import", F.split("scope", r"\.")[0]).otherwise(F.col("name"))
+    return facts.where(F.col("kind").isin("import", "function", "class")).select(key, name.alias("name")).where(F.length("name") >= 2).distinct()
+
+
 def tainted_calls(facts: DataFrame, sources: tuple[str, ...], sinks: tuple[str, ...], key: str = "review_id") -> DataFrame:
     """``key``, ``scope``, ``sink``, ``line``: calls of a sink in a scope that calls a source on an earlier or the same line."""
     calls = facts.where("kind = 'call'")

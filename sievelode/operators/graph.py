@@ -64,6 +64,21 @@ def path_lengths(edges: DataFrame, ends: DataFrame) -> DataFrame:
     return ends.join(met, ["repo", "src", "dst"], "left").select("repo", "src", "dst", F.when(F.col("src") == F.col("dst"), 0).otherwise(F.coalesce("depth", F.lit(-1))).cast("int").alias("steps"))
 
 
+def affected_tests(edges: DataFrame, changed: DataFrame, is_test: Column, max_depth: int | None = 10) -> DataFrame:
+    """``repo``, ``test``, ``steps``: the test modules that depend on a changed module (``repo``, ``module``) over at most ``max_depth`` edges.
+
+    ``is_test`` is a condition on the column ``module``. A changed test is affected itself (0 steps); tests that nothing
+    links to a change are left out. Whole graphs are seen as one: a marker module stands before all that changed, so each
+    repository is walked once, however much of it changed.
+    """
+    marker = F.lit("\0changed")
+    first = changed.where("module is not null").select("repo", "module").distinct()
+    e = simple_edges(edges).select("repo", "src", "dst").unionByName(first.select("repo", F.col("module").alias("src"), marker.alias("dst")))
+    seeds = first.select("repo", marker.alias("seed")).distinct()
+    met = reach(e, seeds, reverse=True, max_depth=None if max_depth is None else max_depth + 1)
+    return met.where(is_test).select("repo", F.col("module").alias("test"), (F.col("depth") - 1).cast("int").alias("steps"))
+
+
 def _walks(batches: Iterator[pa.RecordBatch], max_depth: int | None) -> Iterator[pa.RecordBatch]:
     """Breadth first from every seed of each repository (a row with its steps and seeds): what is met, with its depth."""
     for batch in batches:

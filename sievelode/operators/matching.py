@@ -64,6 +64,15 @@ def decide(df: DataFrame, path: str, rules: list[tuple[str, str]], order: tuple[
     return df.withColumn("_found", found).withColumn("decision", F.col("_found.decision")).withColumn("rule", F.col("_found.rule")).drop("_found")
 
 
+def escalated(df: DataFrame, text: Column, words: tuple[str, ...], decision: str = "decision", to: str = "ask", final: str = "deny") -> DataFrame:
+    """The rows, their decision raised to ``to`` where the text has one of the words (in lower case); what is ``final`` stays, null texts raise nothing."""
+    risky = F.lit(False)
+    for word in words:
+        risky = risky | F.contains(F.lower(text), F.lit(word))
+    raised = F.when(F.coalesce(risky, F.lit(False)) & (F.col(decision) != final), to).otherwise(F.col(decision))
+    return df.withColumn(decision, raised)
+
+
 def missing_references(df: DataFrame, column: str, known: DataFrame, known_column: str) -> DataFrame:
     """The rows whose reference is not null and not known (anti join)."""
     keys = known.select(F.col(known_column).alias(column)).where(F.col(column).isNotNull()).distinct()

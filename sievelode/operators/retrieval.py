@@ -63,6 +63,27 @@ def fuse(lists: list[DataFrame], group: str, key: str, k: int = 60) -> DataFrame
     return rows.groupBy(group, key).agg(F.round(F.sum(1.0 / (k + F.col("rank") + 1)), 9).alias("score"))
 
 
+def suggestions(names: DataFrame, library: DataFrame, query_key: str, key: str, text: str, n: int = 3, shown: int = 4) -> DataFrame:
+    """``query_key``, ``key``, ``matched``, ``n_matched``, ``rank``: the ``n`` library texts that contain most of a query's names.
+
+    ``names`` has ``query_key`` and ``name`` (letters, digits, underscores); case does not matter, and a name may stand
+    inside a longer word. ``matched`` are the first ``shown`` by name. Ties go by ``key``. Null texts and names match nothing.
+
+    A name that a text contains lies within one of its words, so the parts of the library's distinct words, no longer
+    than the longest name, are joined to the names by equality. The library is bounded (a stated collection of
+    snippets), queries are not: each gives at most one row a library text before the ranking.
+    """
+    wanted = names.select(query_key, F.lower("name").alias("name")).where(F.length("name") > 0).distinct()
+    longest = wanted.agg(F.max(F.length("name")).alias("n")).first()["n"] or 0
+    words = library.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), 0))).alias("word"))
+    begins = words.select("word").distinct().select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
+    room = F.least(F.lit(longest), F.length("word") - F.col("at") + 1)
+    parts = begins.where(room > 0).select("word", F.explode(F.transform(F.sequence(F.lit(1), room), lambda m: F.substr("word", F.col("at"), m))).alias("name")).distinct()
+    held = parts.join(wanted.select("name").distinct(), "name").join(words, "word").select("name", key).distinct()
+    hits = wanted.join(held, "name").groupBy(query_key, key).agg(F.count("*").alias("n_matched"), F.concat_ws(" ", F.slice(F.array_sort(F.collect_list("name")), 1, shown)).alias("matched"))
+    return ranked(hits, query_key, key, "n_matched", n)
+
+
 def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", n: int = 5, block: int = 2048) -> DataFrame:
     """``query_id``, ``key``, ``cosine`` of the ``n`` nearest rows of each query vector, the query's own row left out.
 
@@ -81,6 +102,7 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
             query_ids, q = unit.value
             best = [pd.DataFrame({"query_id": [], "k": [], "cosine": []}).astype({"query_id": "int64", "k": "int64", "cosine": "float64"})]
             for frame in frames:
+                frame = frame.sort_values("k")  # ties go by key
                 m = np.array(frame["v"].tolist(), dtype=np.float64)
                 if not len(m):
                     continue

@@ -86,6 +86,13 @@ def merged_verdicts(parts: list[DataFrame], group: list[str]) -> DataFrame:
     return rows.groupBy(*group).agg(verdict(F.max("_rank")).alias("verdict"), F.count("*").alias("n_guards"))
 
 
+def delivery(steps: DataFrame, group: list[str], ok: Column, artifact: Column) -> DataFrame:
+    """``group``, ``n_ok``, ``n_steps``, ``verdict``, ``n_artifacts`` over rows of steps: ``passed`` if all are ok (null is not), else ``passed k/n``; artifacts count once."""
+    rows = steps.groupBy(*group).agg(F.count_if(F.coalesce(ok, F.lit(False))).alias("n_ok"), F.count("*").alias("n_steps"), F.count_distinct(artifact).alias("n_artifacts"))
+    some = F.concat(F.lit("passed "), F.col("n_ok").cast("string"), F.lit("/"), F.col("n_steps").cast("string"))
+    return rows.withColumn("verdict", F.when(F.col("n_ok") == F.col("n_steps"), "passed").otherwise(some))
+
+
 def mutation_scores(results: DataFrame, group: list[str], outcome: str = "outcome") -> DataFrame:
     """``group``, ``killed``, ``survived``, ``score`` in percent over rows of mutants; other outcomes (skipped, null) count in neither; null score without any."""
     killed, survived = F.count_if(F.col(outcome) == "killed"), F.count_if(F.col(outcome) == "survived")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from sievelode.functions.scalar import keywords
+
 
 def upsert_counts(df: DataFrame, keys: list[Column], verified: Column, evidence: str, order: list[str]) -> DataFrame:
     """Keys, ``times``, ``verified`` (whether any row is), ``evidence`` (the last one that is not blank, by ``order``)."""
@@ -50,8 +52,7 @@ def sediment(df: DataFrame, text: str, order: list[str]) -> DataFrame:
 
 
 def lessons(df: DataFrame, keys: list[str], title: str, text: str, limit: int = 12) -> DataFrame:
-    """Keys, ``prediction`` (the text, else the title; rows without either are left out) and ``keywords``: the first ``limit`` distinct words of both."""
+    """Keys, ``prediction`` (the text, else the title; rows without either are left out) and ``keywords``: the first ``limit`` keywords of both."""
     prediction = F.coalesce(F.nullif(F.col(text), F.lit("")), F.col(title))
-    words = F.regexp_extract_all(F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(text, F.lit("")))), F.lit("[a-z_]{3,}"), 0)
-    kept = F.concat_ws(" ", F.slice(F.array_distinct(words), 1, limit))
+    kept = F.concat_ws(" ", keywords(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(text, F.lit(""))), limit))
     return df.select(*keys, prediction.alias("prediction"), kept.alias("keywords")).where("prediction is not null and prediction <> ''")

@@ -123,7 +123,7 @@ def flow_facts(df: DataFrame, key: str = "review_id", text: str = "content", lan
 
 def _is(call: str, names: tuple[str, ...]) -> Column:
     """Whether a dotted call is one of the names, in full or by its last parts (``db.cursor.execute`` is ``cursor.execute``)."""
-    exact = F.col(call).isin(*names)
+    exact = F.coalesce(F.col(call).isin(*names), F.lit(False)) if names else F.lit(False)
     for n in names:
         exact = exact | F.col(call).endswith(f".{n}")
     return exact
@@ -170,6 +170,27 @@ def named_flows(facts: DataFrame, key: str = "review_id") -> DataFrame:
     return rows.select(key, "scope", "line", F.col("a").alias("sink"), severity[F.col("a")].alias("severity")).distinct()
 
 
+def learned_sinks(flows: DataFrame, key: str = "review_id", least: int = 2) -> DataFrame:
+    """``sink``, ``n_files``: sinks (by their last part) in which flows end in at least ``least`` files; what is learned from earlier reviews."""
+    last = F.element_at(F.split("sink", r"\."), -1)
+    return flows.groupBy(last.alias("sink")).agg(F.count_distinct(key).alias("n_files")).where(F.col("n_files") >= least)
+
+
+def sink_verdicts(facts: DataFrame, flows: DataFrame, learned: DataFrame, sinks: tuple[str, ...] = SINKS, doubtful: tuple[str, ...] = (), key: str = "review_id") -> DataFrame:
+    """``key``, ``line``, ``sink``, ``verdict``, ``evidence``: each call of a sink is taken for harmless until shown.
+
+    ``confirmed`` where a flow ends on its line or its sink is a learned one (evidence ``learned`` or ``flow``, the rule
+    first), ``needs_review`` for other calls of ``sinks``, ``likely_fp`` for other calls of the ``doubtful`` names.
+    """
+    calls = facts.where((F.col("kind") == "call") & (_is("a", sinks) | _is("a", doubtful))).select(key, "line", F.col("a").alias("sink")).distinct()
+    by_line = flows.select(key, "line", F.lit(True).alias("flow")).distinct()
+    rules = learned.select(F.col("sink").alias("last"), F.lit(True).alias("rule")).distinct()
+    rows = calls.withColumn("last", F.element_at(F.split("sink", r"\."), -1)).join(by_line, [key, "line"], "left").join(rules, "last", "left")
+    evidence = F.when(F.col("rule"), "learned").when(F.col("flow"), "flow").when(_is("sink", sinks), "call").otherwise("none")
+    verdict = F.when(F.col("rule") | F.col("flow"), "confirmed").when(_is("sink", sinks), "needs_review").otherwise("likely_fp")
+    return rows.select(key, "line", "sink", verdict.alias("verdict"), evidence.alias("evidence"))
+
+
 def adversarial(findings: DataFrame, flows: DataFrame, facts: DataFrame, key: str = "review_id", order: str = "ord") -> DataFrame:
     """``key``, ``order``, ``outcome`` of each finding (columns ``title``, ``line``, ``severity``): a finding is false until shown.
 

@@ -31,10 +31,23 @@ def dense_relu(vector: Column, weights: list[list[float]], bias: list[float]) ->
     return F.array(*rows)
 
 
+def _labelled(df: DataFrame, key: str, vector: str, label: str) -> tuple[DataFrame, Column]:
+    """Rows with a vector and a label, and which third of them (by hash of the key) is held out."""
+    rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(key, F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    return rows, F.pmod(F.xxhash64(key), F.lit(3)) == 0
+
+
+def forest_importances(df: DataFrame, key: str, vector: str, label: str, trees: int = 20, seed: int = 1) -> DataFrame:
+    """``dim``, ``importance`` (their sum is 1) of each dimension in the forest that ``random_forest`` fits; one row a dimension."""
+    rows, held = _labelled(df, key, vector, label)
+    model = RandomForestClassifier(numTrees=trees, maxDepth=6, seed=seed).fit(rows.where(~held))
+    values = [(i, round(float(x), 6)) for i, x in enumerate(model.featureImportances.toArray())]
+    return df.sparkSession.createDataFrame(values, "dim int, importance double")
+
+
 def random_forest(df: DataFrame, key: str, vector: str, label: str, trees: int = 20, seed: int = 1) -> DataFrame:
     """``key``, ``label``, ``prediction``, ``confidence`` of a forest fitted on two thirds of the rows (by hash of the key) for the rest."""
-    rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(key, F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    held = F.pmod(F.xxhash64(key), F.lit(3)) == 0
+    rows, held = _labelled(df, key, vector, label)
     model = RandomForestClassifier(numTrees=trees, maxDepth=6, seed=seed).fit(rows.where(~held))
     out = model.transform(rows.where(held))
     return out.select(key, F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), F.round(F.array_max(vector_to_array("probability")), 6).alias("confidence"))

@@ -10,7 +10,7 @@ from sievelode.operators import quality, retrieval, rules
 from sievelode.plans.catalog import query
 from sievelode.plans.codebase import ALL
 from sievelode.plans.findings import ONCE, once
-from sievelode.plans.search import HAN
+from sievelode.plans.search import keywords_sql
 from sievelode.sources.tables import load
 
 LINE_RULES = {
@@ -78,7 +78,7 @@ def payload_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(key: str, table: str) -> str:
-    return f"(select {key}, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z_]{{3,}}|{HAN}{{2,}}'))) as word from {table})"
+    return f"(select {key}, unnest(list_distinct({keywords_sql('text')})) as word from {table})"
 
 
 @query(f"""with q as {_words('item_id', '(select * from benchmark where item_id % 20 = 0)')}, d as {_words('doc_id', 'documents')}, o as (select item_id, doc_id, count(*) as overlap from q join d using (word) group by all),

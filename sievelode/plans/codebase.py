@@ -88,10 +88,15 @@ def complexity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bug_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = ("bare-except", "mutable-default", "none-compare", "syntax-error", "zero-division", "endless-loop", "unreachable", "built-query")
+    kinds = ("bare-except", "mutable-default", "none-compare", "syntax-error", "zero-division", "endless-loop", "unreachable", "built-query", "mutated-loop", "ignored-result")
     return _facts(spark, sf_dir).where(F.col("kind").isin(*kinds)).select("review_id", "kind", "line").distinct()
 
 
+@query()
+def reuse_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_ast.reuse_rules(_facts(spark, sf_dir))
+
+
 @query()
 def tainted_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_ast.tainted_calls(_facts(spark, sf_dir).persist(), ("get",), ("run", "append", "warning", "error", "info"))

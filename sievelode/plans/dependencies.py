@@ -87,6 +87,17 @@ def policy_variant_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.decide(files, "file", POLICY, ("deny", "allow", "ask"), "ask").select("file_id", "decision").distinct()
 
 
+RISKY = ("token", "schema", "policy", "secret", "deploy")  # words of paths that ask for a second look
+
+
+@query(f"with x as (select distinct file_id, {CLEAN_PATH} as p from dep_audit where file is not null), d as (select file_id, p, case when {_fits('deny')} then 'deny' when {_fits('ask')} then 'ask' when {_fits('allow')} then 'allow' else 'allow' end as decision from x) select distinct file_id, case when decision <> 'deny' and regexp_matches(lower(p), '{'|'.join(RISKY)}') then 'ask' else decision end as decision from d")
+def policy_escalated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions by rules, allowed by default, raised to a question where the path has a risky word."""
+    files = load(spark, sf_dir, "dep_audit").where("file is not null").select("file_id", "file").distinct()
+    decided = matching.decide(files, "file", POLICY, ("deny", "ask", "allow"), "allow")
+    return matching.escalated(decided, normal_path(F.col("file")), RISKY).select("file_id", "decision").distinct()
+
+
 @query(f"""with x as (select distinct repo, file_id, {CLEAN_PATH} as p from dep_audit where file is not null), y as (select repo, file_id, list_position(list_transform(['app','pkg','lib','src','tools','tests'], lambda s: list_contains(string_split(p, '/'), s)), true) as place from x)
 select repo, (['app','pkg','lib','src','tools','tests'])[place] as layer, count(distinct file_id) as n_files from y where place is not null group by all""")
 def layer_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,3 +114,12 @@ def write_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def findings_without_scored_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = load(spark, sf_dir, "review").where("score is not null")
     return matching.missing_references(load(spark, sf_dir, "findings"), "review_id", scored, "review_id").groupBy("repo").agg(F.count("*").alias("n"))
+
+
+@query("""with r as (select review_id, max(repo) as repo, max(score) as score, max(path) as path from review group by review_id)
+select repo, count(*) filter (where coalesce(score >= 60, false)) as n_ok, count(*) as n_steps, count(distinct path) as n_artifacts,
+case when count(*) filter (where coalesce(score >= 60, false)) = count(*) then 'passed' else 'passed ' || count(*) filter (where coalesce(score >= 60, false)) || '/' || count(*) end as verdict from r group by repo""")
+def delivery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many reviews of each repository reach 60 points, what that says, and how many files they cover."""
+    steps = load(spark, sf_dir, "review").groupBy("review_id").agg(*(F.max(c).alias(c) for c in ("repo", "score", "path")))
+    return scoring.delivery(steps, ["repo"], F.col("score") >= 60, F.col("path"))

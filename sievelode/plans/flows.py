@@ -10,6 +10,7 @@ from sievelode.plans import dependencies
 from sievelode.plans.catalog import query
 from sievelode.plans.findings import ONCE, SEVERITY, once
 from sievelode.plans.graphs import COUPLING, EDGES, edges
+from sievelode.plans.search import keywords_sql
 from sievelode.session import spread, written
 from sievelode.sources.tables import load
 
@@ -48,6 +49,15 @@ def adversarial_by_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taint.adversarial(once(spark, sf_dir, "title", "line", "severity"), taint.taint_flows(facts, sources=(*taint.SOURCES, "get", "load"), sinks=(*taint.SINKS, "run", "query")), facts)
 
 
+@query()
+def adversarial_by_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of sinks, and of the calls by which these files store and log, with what flows and learned sinks say of them."""
+    facts = _flow_facts(spark, sf_dir)
+    sinks, doubtful = (*taint.SINKS, "run", "query"), ("append", "info", "error", "warning")
+    flows = written(taint.taint_flows(facts, sources=(*taint.SOURCES, "get", "load"), sinks=(*sinks, *doubtful)))
+    return taint.sink_verdicts(facts, flows, taint.learned_sinks(flows, least=20), sinks, doubtful)
+
+
 @query()
 def function_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_ast.function_report(code_ast.code_facts(spread(load(spark, sf_dir, "review")), lang="lang", path="path"))
@@ -109,6 +119,20 @@ def issue_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "repo", "file").withColumn("stem", stem).join(callers, ["repo", "stem"]).select("review_id", "ord", "n_callers")
 
 
+TEST_MODULE = "[.](?:test_[a-z0-9_]+|test)(?:[.]|$)"
+
+
+@query(f"""with recursive {EDGES}, m as (select repo, max(loaded_at) as last from call_edges group by repo), ch as (select distinct c.repo, c.src as module from call_edges c join m on m.repo = c.repo where c.src is not null and c.loaded_at > m.last - interval 720 hours),
+r(repo, module, depth) as (select repo, module, 0 from ch union select r.repo, e.src, r.depth + 1 from r join e on e.repo = r.repo and e.dst = r.module where r.depth < 10)
+select repo, module as test, cast(min(depth) as int) as steps from r where regexp_matches(module, '{TEST_MODULE}') group by repo, module""")
+def affected_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test modules (by name) that depend on what was loaded in each repository's last thirty days, over at most ten edges."""
+    e = edges(spark, sf_dir)
+    last = e.groupBy("repo").agg(F.max("loaded_at").alias("last"))
+    changed = e.join(last, "repo").where("loaded_at > last - interval 720 hours").select("repo", F.col("src").alias("module"))
+    return graph.affected_tests(e, changed, F.col("module").rlike(TEST_MODULE))
+
+
 @query(f"""with recursive {EDGES}, seeds as (select repo, min(src) as a, max(dst) as b from e group by repo), r(repo, b, module, depth) as (select repo, b, a, 0 from seeds union select r.repo, r.b, e.dst, r.depth + 1 from r join e on e.repo = r.repo and e.src = r.module where r.depth < 400)
 select s.repo, s.a as src, s.b as dst, cast(coalesce((select min(depth) from r where r.repo = s.repo and r.module = s.b), -1) as int) as steps from seeds s""".replace(" where r.depth < 400", " where r.depth < 60"))
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +154,7 @@ def security_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "severity").groupBy("review_id").agg(F.count("*").alias("n_findings"), F.count_if(severe).alias("n_baseline"), F.min(rank).alias("worst")).where("n_baseline > 0")
 
 
-WORDS = "regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(suggestion, '')), '[a-z_]{3,}')"
+WORDS = keywords_sql("(coalesce(title, '') || ' ' || coalesce(suggestion, ''))")
 
 
 @query(f"""with {ONCE}, w as (select review_id, ord, coalesce(nullif(suggestion, ''), title) as prediction, {WORDS} as w from f)

@@ -63,11 +63,12 @@ def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with recursive e as (select distinct repo, src, dst from call_edges where kind = 'inherit' and src is not null and dst is not null and src <> dst), r(repo, src, dst) as (select repo, src, dst from e union select r.repo, r.src, e.dst from r join e on e.repo = r.repo and e.src = r.dst)
-select repo, src as seed, dst as module from r where src <> dst""")
+select repo, src as seed, dst as module from r where src <> dst union select repo, src, src from e""")
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir).where("kind = 'inherit'")
     seeds = graph.simple_edges(e).select("repo", F.col("src").alias("seed")).distinct()
-    return graph.reach(e, seeds).where("seed <> module").select("repo", "seed", "module")
+    met = graph.reach(e, seeds).where("seed <> module").select("repo", "seed", "module")
+    return met.unionByName(seeds.withColumn("module", F.col("seed")))  # each is its own ancestor
 
 
 @query("select e.repo, e.dst, count(*) as n from call_edges e where e.dst is not null and not exists (select 1 from call_edges k where k.src = e.dst) and e.kind = 'import' group by all")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelode.functions.scalar import keywords, slug, softmax, token_estimate
-from sievelode.operators import retrieval, rules, timeseries, vectors
+from sievelode.operators import code_ast, retrieval, rules, timeseries, vectors
 from sievelode.plans.catalog import query
+from sievelode.session import spread, written
 from sievelode.sources.tables import load
 
 HAN = "[\\x{4e00}-\\x{9fff}]"
@@ -19,6 +20,13 @@ s as (select q.item_id, used.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5
 b as (select *, row_number() over (partition by item_id order by score desc, doc_id) - 1 as rank from s), h as (select *, row_number() over (partition by item_id order by hits desc, doc_id) - 1 as rank from s)"""
 
 
+def keywords_sql(text: str) -> str:
+    """All keywords of a text with repetitions: runs of Han letters, the pairs within them, Latin words."""
+    runs = f"regexp_extract_all({text}, '{HAN}{{2,}}')"
+    pairs = f"flatten(list_transform({runs}, lambda r: list_transform(range(1, length(r)), lambda i: r[i:i + 1])))"
+    return f"list_concat({runs}, {pairs}, regexp_extract_all(lower({text}), '[a-z]{{3,}}'))"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents")
 
@@ -51,7 +59,7 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse(lists, "item_id", "doc_id")
 
 
-@query(f"select doc_id, array_to_string(list_distinct_ordered, ' ') as words from (select doc_id, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1])[1:12] as list_distinct_ordered from (select doc_id, regexp_extract_all(lower(text), '[a-z_]{{3,}}|{HAN}{{2,}}') as w from documents where text is not null))")
+@query(f"select doc_id, array_to_string(list_distinct_ordered, ' ') as words from (select doc_id, list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: list_position(w, p[1]) = p[2]), lambda p: p[1])[1:12] as list_distinct_ordered from (select doc_id, {keywords_sql('text')} as w from documents where text is not null))")
 def keyword_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).where("text is not null").select("doc_id", F.concat_ws(" ", keywords(F.col("text"))).alias("words"))
 
@@ -121,6 +129,18 @@ def random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.random_forest(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
 
 
+@query()
+def forest_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.forest_importances(load(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+@query()
+def reuse_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each Python review the three texts of the (fixed) benchmark that contain most of the names it defines or imports."""
+    facts = code_ast.code_facts(spread(load(spark, sf_dir, "review")), lang="lang", path="path")
+    return retrieval.suggestions(written(code_ast.defined_names(facts)), load(spark, sf_dir, "benchmark"), "review_id", "item_id", "text")
+
+
 @query()
 def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "events").select("event_id", "value", F.hour("ts").alias("hour"), F.length("props").alias("size"))

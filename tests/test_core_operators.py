@@ -45,7 +45,7 @@ def test_paths(spark, path, clean):
 def test_terms_and_keywords(spark):
     assert one(spark, scalar.search_terms(F.col("t")), t="Ab_1 扫描 x模") == ["ab_1", "x", "扫", "描", "模", "扫描", "描模"]
     assert one(spark, scalar.search_terms(F.col("t")), t="") == []
-    assert one(spark, scalar.keywords(F.col("t")), t="The the fox 扫描模块 of") == ["the", "fox", "扫描模块"]
+    assert one(spark, scalar.keywords(F.col("t")), t="The the fox 扫描模块 of") == ["扫描模块", "扫描", "描模", "模块", "the", "fox"]
     assert one(spark, scalar.slug(F.col("t")), t="--A b_C!") == "a-b-c"
     assert [one(spark, scalar.token_estimate(F.col("t")), t=t) for t in ("", "a", "abcdefgh", "ab扫描")] == [0, 1, 2, 2]
 
@@ -386,3 +386,95 @@ def test_deciding_rules_and_mentions(spark):
     assert one(spark, rules.without_rule_comments(F.col("t")), t=text) == "\nx = 1  # eval\n  # plain\n"
     estimates = spark.createDataFrame([(1, "if a:\n    b\n\n# c\n"), (2, None)], "k long, t string")
     assert rows_of(rules.line_estimates(estimates, "k", "t").select("k", "n_lines", "n_blank", "n_comment", "n_branches", "n_code")) == [(1, 5, 2, 1, 1, 2)]
+
+
+def test_reuse_rules_and_semantic_findings(spark):
+    source = """
+import os
+class Box:
+    def __init__(self, n):
+        self.n = n
+class Full:
+    def __init__(self):
+        pass
+    def more(self):
+        return 'word'
+def _thin(x):
+    return x
+def _thick(x):
+    y = x + 1
+    return y
+def passes_on(a, b):
+    return _thick(a)
+def not_plain(*a):
+    return _thick(a)
+def walk(rows):
+    for r in rows:
+        rows.append(r)
+        r.append(1)
+    os.system('word')
+    code = os.system('word')
+    return 'four', 'four', 'abc', 'abc', 'abc', code
+"""
+    facts = code_ast.code_facts(spark.createDataFrame([(1, source), (2, None), (3, "")], "review_id long, content string")).cache()
+    assert rows_of(code_ast.reuse_rules(facts)) == [
+        (1, "forwarding", "passes_on", 16, 1), (1, "only-init", "Box", 3, 1), (1, "repeated-literal", "word", 1, 3),
+        (1, "thin-private", "__init__", 4, 1), (1, "thin-private", "__init__", 7, 1), (1, "thin-private", "_thin", 11, 1),
+    ]
+    assert rows_of(facts.where("kind in ('mutated-loop', 'ignored-result')").select("kind", "line")) == [("ignored-result", 24), ("mutated-loop", 22)]
+    assert rows_of(code_ast.defined_names(facts)) == [(1, n) for n in sorted(["Box", "Full", "__init__", "_thick", "_thin", "more", "not_plain", "os", "passes_on", "walk"])]
+    facts.unpersist()
+
+
+def test_suggestions_against_brute_force(spark):
+    draw = random.Random(5)
+    parts = ["get", "set", "os", "json", "map", "red", "uce", "Ω", "块"]
+    word = lambda: "".join(draw.choices(parts, k=draw.randint(1, 3)))
+    names = [(q, word().title() if draw.random() < 0.3 else word()) for q in range(12) for _ in range(5)] + [(1, None), (99, "absent_everywhere"), (0, "os"), (0, "os")]
+    library = [(i, " ".join(word() for _ in range(6)) + ("\n_" + word())) for i in range(9)] + [(50, None), (51, "")]
+    got = rows_of(retrieval.suggestions(spark.createDataFrame(names, "q long, name string"), spark.createDataFrame(library, "id long, text string"), "q", "id", "text", shown=2).select("q", "id", "n_matched", "matched", "rank"))
+    want = []
+    for q in {q for q, _ in names}:
+        own = {n.lower() for k, n in names if k == q and n}
+        hits = [(i, sorted(n for n in own if n in t.lower())) for i, t in library if t]
+        best = sorted(((i, h) for i, h in hits if h), key=lambda x: (-len(x[1]), x[0]))[:3]
+        want += [(q, i, len(h), " ".join(h[:2]), r) for r, (i, h) in enumerate(best)]
+    assert got == sorted(want, key=str)
+    empty = retrieval.suggestions(spark.createDataFrame([], "q long, name string"), spark.createDataFrame(library, "id long, text string"), "q", "id", "text")
+    assert empty.count() == 0
+
+
+def test_verdicts_of_sinks(spark):
+    facts = spark.createDataFrame(
+        [(1, "f", "call", "os.system", None, 4), (1, "f", "call", "os.system", None, 4), (1, "f", "call", "eval", None, 5), (1, "f", "call", "log.info", None, 6), (2, "g", "call", "db.cursor.execute", None, 9), (2, "g", "call", None, None, 9)],
+        "review_id long, scope string, kind string, a string, b string, line int",
+    )
+    flows = spark.createDataFrame([(1, "f", 4, "os.system", 1), (3, "h", 1, "cursor.execute", 0), (4, "h", 1, "x.execute", 0)], "review_id long, scope string, line int, sink string, distance int")
+    learned = taint.learned_sinks(flows)
+    assert rows_of(learned) == [("execute", 2)]
+    assert rows_of(taint.sink_verdicts(facts, flows, learned, doubtful=("info",))) == [
+        (1, 4, "os.system", "confirmed", "flow"), (1, 5, "eval", "needs_review", "call"), (1, 6, "log.info", "likely_fp", "none"), (2, 9, "db.cursor.execute", "confirmed", "learned"),
+    ]
+
+
+def test_delivery_and_escalation(spark):
+    steps = spark.createDataFrame([("a", True, "x"), ("a", True, "x"), ("b", True, None), ("b", None, "y"), (None, False, "z")], "repo string, ok boolean, file string")
+    assert rows_of(scoring.delivery(steps, ["repo"], F.col("ok"), F.col("file"))) == [("a", 2, 2, 1, "passed"), ("b", 1, 2, 1, "passed 1/2"), (None, 0, 1, 1, "passed 0/1")]
+    decided = spark.createDataFrame([("allow", "Deploy now"), ("deny", "deploy"), ("allow", "read"), ("allow", None)], "decision string, t string")
+    assert rows_of(matching.escalated(decided, F.col("t"), ("deploy",)).select("t", "decision")) == [("Deploy now", "ask"), ("deploy", "deny"), ("read", "allow"), (None, "allow")]
+
+
+@pytest.mark.parametrize("depth,far", [(None, True), (2, False)])
+def test_affected_tests(spark, depth, far):
+    edges = [("r", "b", "a"), ("r", "test_b", "b"), ("r", "c", "b"), ("r", "test_c", "c"), ("r", "a", "c"), ("r", "test_d", "d"), ("s", "test_a", "a"), ("r", None, "a"), (None, "test_x", "a")]
+    got = rows_of(graph.affected_tests(spark.createDataFrame(edges, "repo string, src string, dst string"), spark.createDataFrame([("r", "a"), ("r", "a"), ("r", None), ("r", "test_z")], "repo string, module string"), F.col("module").startswith("test_"), depth))
+    assert got == [("r", "test_b", 2)] + ([("r", "test_c", 3)] if far else []) + [("r", "test_z", 0)]
+
+
+def test_importances_and_ties(spark):
+    rows = [(i, [float(i % 2), float(i % 7), 1.0], i % 2) for i in range(300)]
+    found = vectors.forest_importances(spark.createDataFrame(rows, "id long, v array<double>, label int"), "id", "v", "label", trees=5).collect()
+    assert max(found, key=lambda r: r.importance).dim == 0 and sum(r.importance for r in found) == pytest.approx(1, abs=1e-4)
+    same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(40, 0, -1)] + [(0, [1.0, 1.0])], "vec_id long, embedding array<double>").coalesce(1)
+    near = retrieval.nearest(same, same.where("vec_id = 0"), n=3)
+    assert [r.vec_id for r in near.orderBy("rank").collect()] == [1, 2, 3]
