@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelode.functions.scalar import keywords
-from sievelode.operators import quality, retrieval, rules
+from sievelode.operators import quality, retrieval, rules, timeseries
 from sievelode.plans.catalog import query
 from sievelode.plans.codebase import ALL
 from sievelode.plans.findings import ONCE, once
@@ -63,10 +63,7 @@ def size_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with e as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) as i from events) select user_id, min(i) as first_place, min(i) > 1 as fell_back, count(*) as successes from e where event_type = 'purchase' group by user_id""")
 def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import window
-
-    order = window.Window.partitionBy("user_id").orderBy("ts", "event_id")
-    placed = load(spark, sf_dir, "events").withColumn("i", F.row_number().over(order))
+    placed = timeseries.places(load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id").withColumnRenamed("place", "i")
     return placed.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("i").cast("bigint").alias("first_place"), (F.min("i") > 1).alias("fell_back"), F.count("*").alias("successes"))
 
 

@@ -74,8 +74,8 @@ def last_view_before(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import window
 
-    order = window.Window.partitionBy("user_id").orderBy("ts", "event_id")
-    pairs = events(spark, sf_dir).select(F.col("event_type").alias("src"), F.lead("event_type").over(order).alias("dst")).where("dst is not null")
+    followed = timeseries.followers(events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id", "event_type")
+    pairs = followed.select(F.col("event_type").alias("src"), F.col("following").alias("dst")).where("dst is not null")
     counts = pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(window.Window.partitionBy("src")), 6))
 

@@ -478,3 +478,23 @@ def test_importances_and_ties(spark):
     same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(40, 0, -1)] + [(0, [1.0, 1.0])], "vec_id long, embedding array<double>").coalesce(1)
     near = retrieval.nearest(same, same.where("vec_id = 0"), n=3)
     assert [r.vec_id for r in near.orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_long_series_in_parts_give_the_same(spark):
+    draw = random.Random(11)
+    at = lambda: draw.choice([None, *(f"2024-01-01 00:{m:02d}:{s:02d}" for m in range(20) for s in (0, 30))])
+    rows = [(draw.choice(["hot", "hot", "hot", "b", "c", None]), at(), i, draw.choice([None, float(i % 7), float(i % 5)]), draw.choice("xy")) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t string, i long, v double, kind string").withColumn("t", F.col("t").cast("timestamp")).withColumn("place", F.lit("own")).cache()
+    timed, few = df.where("t is not null"), {"most": 8, "block": 45}
+    for run in (
+        lambda **a: timeseries.rolling(df, "k", "t", "i", "v", 5, **a),
+        lambda **a: timeseries.centred_average(df, "k", "t", "i", "v", 6, **a),
+        lambda **a: timeseries.followers(df, "k", "t", "i", "kind", **a),
+        lambda **a: timeseries.places(df.drop("place"), "k", "t", "i", **a),
+        lambda **a: timeseries.ewma(df.where("v is not null"), "k", "t", "i", "v", **a),
+        lambda **a: timeseries.on_grid(timed.where("v is not null"), "k", "t", "i", "v", "90 seconds", "2023-12-31 23:59:00", "2024-01-01 00:21:00", **a),
+        lambda **a: timeseries.as_of(timed.where("kind = 'x'"), timed.where("kind = 'y'"), "k", "t", "i", "i", "v", **a),
+    ):
+        whole, parts = rows_of(run()), rows_of(run(**few))
+        assert whole and parts == whole
+    df.unpersist()
