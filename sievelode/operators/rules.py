@@ -80,6 +80,30 @@ def text_shape(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+#: What marks a text as unfinished (fixed values); the first that occurs is told.
+UNFINISHED = ("TODO", "FIXME", "lorem", "placeholder", "示例", "待补充")
+
+
+def mode_rules(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    """``key``, ``mode``, ``issue``: what the modes design (loose, thin), layout (no-media, long-line) and content (unfinished marks) find in each text.
+
+    Loose are more than 30 blank lines, thin fewer than 40 words, long more than 160 characters in a line; pages without
+    a media rule are told by their ending, so a null path has none. Null texts give no rows; repeated rows give theirs once.
+    """
+    body = F.col(text)
+    blank = (F.length(body) - F.length(F.replace(body, F.lit("\n\n"), F.lit("")))) / 2
+    words = F.size(F.filter(F.split(body, r"\s+"), lambda w: w != ""))
+    unfinished = F.coalesce(*(F.when(F.contains(F.lower(body), F.lit(w.lower())), w) for w in UNFINISHED))
+    found = (
+        ("design", F.when(blank > 30, "loose")), ("design", F.when(words < 40, "thin")),
+        ("layout", F.when(F.col(path).endswith(".html") & ~F.contains(body, F.lit("@media")), "no-media")),
+        ("layout", F.when(F.exists(F.split(body, "\n"), lambda x: F.length(x) > 160), "long-line")),
+        ("content", unfinished),
+    )
+    issues = F.filter(F.array(*(F.struct(F.lit(mode).alias("mode"), issue.alias("issue")) for mode, issue in found)), lambda x: x["issue"].isNotNull())
+    return df.where(body.isNotNull()).select(key, F.explode(issues).alias("x")).select(key, "x.mode", "x.issue").distinct()
+
+
 #: Comments that only name what a scanner looks for (a fixed value).
 RULE_COMMENT = r"(?m)^[ \t]*#[^\n]*(SELECT|INSERT|UPDATE|DELETE|pickle\.loads|yaml\.load|eval|exec|os\.system|cursor\.execute|AKIA|BEGIN \w+ PRIVATE KEY|password)[^\n]*$"
 

@@ -104,6 +104,30 @@ def file_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(reviews(spark, sf_dir))
 
 
+MODES = ("code", "design", "layout", "content")
+_MARKS = " ".join(f"when contains(lower(content), '{w.lower()}') then '{w}'" for w in rules.UNFINISHED)
+MODE_ISSUES = f"""mi as (select review_id, 'design' as mode, 'loose' as issue from review where (length(content) - length(replace(content, chr(10) || chr(10), ''))) / 2 > 30
+union select review_id, 'design', 'thin' from review where len(list_filter(regexp_split_to_array(content, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) < 40
+union select review_id, 'layout', 'no-media' from review where path like '%.html' and not contains(content, '@media')
+union select review_id, 'layout', 'long-line' from review where list_max(list_transform(string_split(content, chr(10)), lambda l: length(l))) > 160
+union select review_id, 'content', issue from (select review_id, case {_MARKS} end as issue from review) where issue is not null)"""
+
+
+@query(f"with {MODE_ISSUES} select * from mi")
+def mode_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.mode_rules(reviews(spark, sf_dir), "review_id", "content", "path")
+
+
+@query(f"""with {FILE_REVIEW}, {MODE_ISSUES}, t as ({SCORED} from (select distinct review_id from review where content is not null) r left join s using (review_id)), n as (select review_id, mode, count(*) as k from mi group by all)
+select t.review_id, m.mode, greatest(0, score - 3 * coalesce(k, 0)) as score, coalesce(k, 0) as n_mode_issues from t, (select unnest({list(MODES)}) as mode) m left join n on n.review_id = t.review_id and n.mode = m.mode""")
+def mode_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every file in each mode of review: that of its static review less three points for each issue of the mode."""
+    found = rules.mode_rules(reviews(spark, sf_dir), "review_id", "content", "path").groupBy("review_id", "mode").agg(F.count("*").alias("n_mode_issues"))
+    every = file_review(spark, sf_dir).select("review_id", "score", F.explode(F.array(*map(F.lit, MODES))).alias("mode"))
+    both = every.join(found, ["review_id", "mode"], "left").fillna(0, ["n_mode_issues"])
+    return both.select("review_id", "mode", F.greatest(F.lit(0), F.col("score") - 3 * F.col("n_mode_issues")).alias("score"), "n_mode_issues")
+
+
 CHANGED = """seen as (select review_id, repo, path, reviewed_at, sha256(coalesce(content, '')) as h from review where path is not null and reviewed_at is not null),
 one as (select distinct review_id, repo, path, reviewed_at, h from seen), w as (select *, lag(h) over (partition by repo, path order by reviewed_at, review_id, h) as before from one), changed as (select distinct review_id from w where before is null or before <> h)"""
 

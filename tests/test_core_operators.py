@@ -498,3 +498,10 @@ def test_long_series_in_parts_give_the_same(spark):
         whole, parts = rows_of(run()), rows_of(run(**few))
         assert whole and parts == whole
     df.unpersist()
+
+
+def test_mode_rules(spark):
+    words = "\nword" * 50
+    texts = [(1, "a.html", "x\n\n" * 31), (1, "a.html", "x\n\n" * 31), (2, "b.html", "@media" + words), (3, None, words + "x" * 161), (4, "c.py", "todo: Lorem" + words), (5, "d.html", None), (6, "e", "")]
+    got = rows_of(rules.mode_rules(spark.createDataFrame(texts, "id long, path string, t string"), "id", "t", "path"))
+    assert got == [(1, "design", "loose"), (1, "design", "thin"), (1, "layout", "no-media"), (3, "layout", "long-line"), (4, "content", "TODO"), (6, "design", "thin")]
