@@ -151,10 +151,10 @@ def _compiled(rules: tuple[Rule, ...]) -> list[tuple[bool, bool, re.Pattern, re.
 
 
 _CASCADES = {name: _compiled(QUOTES + rules + DEFAULT) for name, rules in TABLES.items()}
-_CANDIDATE = re.compile(rf"[{_MARK}]+|(?<=[฀-๿])\s+|\s+(?=[฀-๿])")
+_CANDIDATE = re.compile(rf"[{_MARK}]+|(?<=[฀-๿])\s+|(?<!\s)\s++(?=[฀-๿])")
 _DELIMITER = re.compile(r"[“”„«»‘’\"「」『』（）()]")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "‘": "’", "「": "」", "『": "』", "（": "）", "(": ")", '"': '"'}
-_FENCE = re.compile(r"[ \t]*(?:>[ \t]?)*[ \t]*(```|~~~)")
+_FENCE = re.compile(r"[ \t]*+(?:>[ \t]?)*+[ \t]*+(```|~~~)")
 _ITEM = re.compile(r"[ \t]*(?:[-*+•][ \t]+|\d{1,9}[.)][ \t]+)")
 _BULLET = re.compile(r"[ \t]*[-*+•][ \t]+")
 _HEADING = re.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]+|$)")

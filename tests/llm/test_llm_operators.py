@@ -2,6 +2,7 @@
 
 import base64
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -649,3 +650,10 @@ def test_every_passage_with_one_edit_is_found(spark):
     got = {(r.doc_id, r.item_id): r.distance for r in leakage.leaked(df, tests).collect()}
     assert want <= set(got) and len(set(got) - want) <= 3
     assert sum(got[w] == 1 for w in want) > 250  # an edit near an end may leave an exact passage
+
+
+@pytest.mark.parametrize("text", [" " * 200_000 + "A word.", "\t" * 200_000 + "- A word.", "A" + " " * 200_000 + "word.", "> " * 50_000 + "A word."])
+def test_sentences_of_long_padding_take_linear_time(text):
+    begun = time.monotonic()
+    assert sentences.sentence_starts(text) == [(text.index("A"), len(text))]
+    assert time.monotonic() - begun < 5
