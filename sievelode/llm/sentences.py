@@ -151,7 +151,7 @@ def _compiled(rules: tuple[Rule, ...]) -> list[tuple[bool, bool, re.Pattern, re.
 
 
 _CASCADES = {name: _compiled(QUOTES + rules + DEFAULT) for name, rules in TABLES.items()}
-_CANDIDATE = re.compile(rf"[{_MARK}]+|(?<=[฀-๿])\s+|(?<!\s)\s++(?=[฀-๿])")
+_CANDIDATE = re.compile(rf"[{_MARK}]+|(?<=[฀-๿])\s+|\s(?<!\s\s)\s*+(?=[฀-๿])")
 _DELIMITER = re.compile(r"[“”„«»‘’\"「」『』（）()]")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "‘": "’", "「": "」", "『": "』", "（": "）", "(": ")", '"': '"'}
 _FENCE = re.compile(r"[ \t]*+(?:>[ \t]?)*+[ \t]*+(```|~~~)")
